@@ -25,9 +25,22 @@ def text_bytes(text: Column | str = "text") -> Column:
 
 
 def fold(doc_id: Column | str, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds."""
+    """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(column.cast("string")) % folds
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5) -> DataFrame:
+    """At most `rows` labelled documents outside fold 0 (those of smallest id hash): doc_id, y, body.
+
+    Of several labels for one id the largest counts; null labels don't count. The chosen labels are at most `rows` small
+    rows, so they are broadcast.
+    """
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0))
+    one = one.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    slim = docs.select("doc_id", text_bytes().alias("body"))
+    return slim.join(F.broadcast(chosen), "doc_id")
 
 
 def shared_dir(spark: SparkSession) -> str:
