@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from litsieve.llm import exact_dedup, language_id, packing, quality
+from litsieve.llm import exact_dedup, jaccard_join, language_id, packing, quality
 
-MODULES = [exact_dedup, packing, quality, language_id]
+MODULES = [exact_dedup, packing, quality, language_id, jaccard_join]
 QUERIES = {name: getattr(module, name) for module in MODULES for name in vars(module) if name.startswith("op") and name[2].isdigit()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
