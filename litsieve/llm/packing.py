@@ -7,7 +7,7 @@ fits in none it is cut, which fills the fullest open sequence to the brim. At th
 are laid out again, cut to full length; the last rest is cut into lengths that are powers of two, which need no padding.
 
 Ids come from the word-level vocabulary; as its words never cross ASCII white space, each distinct space-separated word is
-encoded once per worker and looked up afterwards.
+encoded once and looked up afterwards.
 
 Defined results: null and empty texts are one end id; repeated ids are packed each as its own example; pieces keep
 document order within an example but may lie in several sequences; an empty table gives an empty result; other columns
@@ -16,15 +16,19 @@ are ignored.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.bpe import PairMerger
 from litsieve.llm.common import read, text_bytes
 
 MAX_TOKENS = 4096
@@ -32,33 +36,103 @@ MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 4096
 END_ID = 2
 OPEN_SEQUENCES = 24
-CACHED_WORDS = 300_000
+CACHED_WORDS = 350_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of texts by a `tokenizers` file whose words end at white space, as little-endian unsigned 32-bit bytes."""
+    """Ids of texts by a `tokenizers` file whose words end at white space, as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    The file's normaliser (NFC, lower case) and word pattern are applied to each new space-separated word, and the ranked
+    merges of all new words of a batch run together in numpy. Words are kept in two generations: when the young one is full
+    it becomes the old one, and words in use move up again, so frequent words stay and memory is bounded. One encoder serves
+    all tasks of a worker process.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
+        suffix = file["model"]["end_of_word_suffix"]
+        names = byte_characters()
+        self.inner = np.array([vocabulary[c] for c in names], np.int32)
+        self.final = np.array([vocabulary[c + suffix] for c in names], np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        left, right = np.array([vocabulary[a] for a, _ in pairs]), np.array([vocabulary[b] for _, b in pairs])
+        self.merger = PairMerger(left, right, np.arange(len(pairs)), np.array([vocabulary[a + b] for a, b in pairs], np.int32))
+        (pattern,) = [p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.pattern = regex.compile(pattern)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> WordEncoder:
+        return _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+
+    def _pieces(self, word: bytes) -> list[bytes]:
+        """The word normalised and split by the pattern."""
+        if word.isalpha():  # ASCII letters only
+            return [word.lower()]
+        body, end = word[:-1], word[-1:]
+        if end in b",.":
+            if body.isalpha():
+                return [body.lower(), end]
+        else:
+            body, end = word, b""
+        if word.isascii():
+            return [x.encode() for x in self.pattern.findall(word.lower().decode())]
+        text = unicodedata.normalize("NFC", body.decode("utf-8"))
+        # characters are lowered one by one, which differs for a final sigma only
+        text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
+        if text.isalpha():
+            return [text.encode(), end] if end else [text.encode()]
+        return [x.encode() for x in self.pattern.findall(text + end.decode())]
+
+    def _add(self, fresh: list[bytes]) -> None:
+        split = [self._pieces(w) for w in fresh]
+        pieces = list({p for w in split for p in w})
+        codes: dict[bytes, bytes] = {}
+        if pieces:
+            lengths = np.array([len(p) for p in pieces])
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            symbols = self.inner[data]
+            ends = np.cumsum(lengths) - 1
+            symbols[ends] = self.final[data[ends]]
+            ids, sizes = self.merger.merge(symbols, lengths)
+            blob, at = ids.astype("<u4").tobytes(), 0
+            for piece, size in zip(pieces, (4 * sizes).tolist(), strict=True):
+                codes[piece] = blob[at : at + size]
+                at += size
+        words = self.words
+        for word, own in zip(fresh, split, strict=True):
+            words[word] = codes[own[0]] if len(own) == 1 else b"".join([codes[p] for p in own])
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         split = [body.split() for body in bodies]  # bytes split at ASCII white space only
-        words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        fresh = list({w for doc in split for w in doc if w not in words})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                words[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join([words[w] for w in doc]) for doc in split]
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        fresh = []
+        for word in {w for doc in split for w in doc}.difference(words):
+            code = older.get(word)
+            if code is None:
+                fresh.append(word)
+            else:
+                words[word] = code
+        self._add(fresh)
+        return [b"".join(map(words.__getitem__, doc)) for doc in split]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class Sequence:
@@ -186,7 +260,7 @@ def pack(
     data: the length of its prompt); without it all tokens bear loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = WordEncoder.of(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
         # 2**33 sequences a partition; a retried task reads the same rows and numbers them alike
