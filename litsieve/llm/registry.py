@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from litsieve.llm import chat_perspectives, exact_dedup, jaccard_join, language_id, packing, projection_dedup, quality, toxicity
+from litsieve.llm import byte_bpe, chat_perspectives, exact_dedup, jaccard_join, language_id, packing, projection_dedup, quality, toxicity
 
-MODULES = [exact_dedup, packing, quality, language_id, jaccard_join, toxicity, projection_dedup, chat_perspectives]
+MODULES = [exact_dedup, packing, quality, byte_bpe, language_id, jaccard_join, toxicity, projection_dedup, chat_perspectives]
 QUERIES = {name: getattr(module, name) for module in MODULES for name in vars(module) if name.startswith("op") and name[2].isdigit()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
