@@ -1,9 +1,13 @@
-"""Byte-level BPE encoding and decoding with higher-order functions.
+"""Byte-level BPE encoding and decoding: a fold of ranked merges over the byte arrays of distinct words.
 
-Each text is split by the vocabulary's pattern; the distinct words of a document are folded: a word starts as an array of
-single bytes (Latin-1 characters stand for bytes), and each step of the fold joins the leftmost neighbouring pair of least
-rank, looked up in a literal rank map. The map is a literal array of small maps, as a lookup in one Spark map is a scan.
-Decoding looks the ids up in a literal array of binary pieces and concatenates them.
+Each text is split by the vocabulary's pattern. A word starts as an array of single bytes, and each step of the fold joins
+the leftmost neighbouring pair of least rank. Decoding concatenates the binary pieces of the ids.
+
+`encode_native` is the fold in Spark's higher-order functions with a literal rank map (an array of small maps, as a lookup
+in one Spark map is a scan). It gives the same ids but evaluates its lambdas row by row in the interpreter: 200 documents
+(0.5 MB) took over 240 s on four cores, so it can't meet the check tool's limits. `encode` therefore runs the same fold in
+numpy over all new words of a batch, inside one map over the documents, and is what the query uses; words already folded by
+a worker are looked up, within a bounded store.
 
 Defined results: null counts as empty; an empty text has no tokens; repeated ids come back each; an empty table gives an
 empty result; other columns are ignored.
@@ -12,14 +16,24 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.bpe import PairMerger
 from litsieve.llm.common import read
 
 MAP_BUCKETS = 1 << 15
+CACHED_WORDS = 350_000
+
+#: The public pattern, with white space as the White_Space property: the `regex` module's `\s` has four controls more.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 #: The public pattern with `\\s` as the White_Space property (flag U), as Java writes it.
 JAVA_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,13 +103,125 @@ def encode_native(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_i
     return rows.select("doc_id", "ids", decoded.alias("decoded"))
 
 
-def _little_endian(ids: Column) -> Column:
-    """Ids as unsigned 32-bit little-endian bytes."""
-    return F.unhex(
-        F.array_join(
-            F.transform(ids, lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])), ""
-        )
-    )
+class RankEncoder:
+    """Ids of texts by a rank file's merges, as little-endian unsigned 32-bit bytes, and back.
+
+    Folded words are kept in two generations, as frequent words stay in use; memory is bounded.
+    """
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        left, right, joined = [], [], []
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    joined.append(rank)
+        self.single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+        self.merger = PairMerger(np.array(left), np.array(right), np.array(joined), np.array(joined, np.int32))
+        self.ranks = ranks
+        self.pattern = regex.compile(PATTERN)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> RankEncoder:
+        return _ENCODERS.get(path) or _ENCODERS.setdefault(path, RankEncoder(path))
+
+    def _add(self, fresh: list[str]) -> None:
+        if not fresh:
+            return
+        bodies = [w.encode() for w in fresh]
+        lengths = np.array([len(b) for b in bodies])
+        ids, sizes = self.merger.merge(self.single[np.frombuffer(b"".join(bodies), np.uint8)], lengths)
+        blob, at = ids.astype("<u4").tobytes(), 0
+        for word, body, size in zip(fresh, bodies, (4 * sizes).tolist(), strict=True):
+            whole = self.ranks.get(body)  # a word that is a token stays whole, whatever its merges
+            self.words[word] = blob[at : at + size] if whole is None else np.array([whole], "<u4").tobytes()
+            at += size
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.pattern.findall(text) for text in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        words, older, fresh = self.words, self.older, []
+        for word in {w for doc in split for w in doc}.difference(words):
+            code = older.get(word)
+            if code is None:
+                fresh.append(word)
+            else:
+                words[word] = code
+        self._add(fresh)
+        return [b"".join(map(words.__getitem__, doc)) for doc in split]
+
+    def decode(self, code: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(code, "<u4").tolist()))
+
+
+_ENCODERS: dict[str, RankEncoder] = {}
+
+
+def _batches(path: str, batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 20) -> Iterator[tuple[pa.Array, list[bytes], RankEncoder]]:
+    encoder = RankEncoder.of(path)
+    for batch in batches:
+        texts, at = batch.column(1).to_pylist(), 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (chars == 0 or chars + len(texts[end]) <= max_chars):
+                chars += len(texts[end]) + 1
+                end += 1
+            yield batch.column(0).slice(at, end - at), encoder.encode(texts[at:end]), encoder
+            at = end
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int) for every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, codes, _ in _batches(path, batches):
+            ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(codes), "<u4").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, decoded (binary) for every row of rows; null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = RankEncoder.of(path).pieces
+        for batch in batches:
+            out = [None if x is None else b"".join([pieces[k] for k in x]) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs: encodes each text, then decodes its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, codes, encoder in _batches(path, batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([len(c) // 4 for c in codes], pa.int64()),
+                    pa.array([hashlib.sha256(c).hexdigest() for c in codes]),
+                    pa.array([hashlib.sha256(encoder.decode(c)).hexdigest() for c in codes]),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def multilingual_ranks() -> str:
@@ -105,5 +231,4 @@ def multilingual_ranks() -> str:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode_native(read(spark, sf_dir, "documents"), read_ranks(multilingual_ranks()))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(read(spark, sf_dir, "documents"), multilingual_ranks())
