@@ -114,4 +114,4 @@ def register(spark: SparkSession) -> None:
 
 def payload_files(spark: SparkSession, path: str):
     """Captured answers, one file each: path, payload."""
-    return spark.read.option("wholetext", True).text(path).selectExpr("_metadata.file_path AS path", "value AS payload")
+    return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "value AS payload")
