@@ -186,9 +186,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that own their text, with all their columns. Rows without an id stay."""
-    decided = exact_dedup(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(decided, docs[id_col] == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs that own their text, with all their columns.
+
+    Of rows that repeat an id with its text one stays; rows without an id stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    decided = exact_dedup(named, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = named.join(decided, named[id_col] == decided["_kept_id"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
