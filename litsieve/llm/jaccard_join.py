@@ -11,7 +11,7 @@ shared, so only prefix shingles of frequency two and more are indexed: ordinary
 3. Group pairs. The groups that share a prefix shingle (a bucket) are first compared with one pivot of the bucket and size
    band. Most buckets of near copies are connected by that, and a pair of documents that are connected needs no check.
    What stays between different components is paired group by group, under length and position filters, expanded to
-   members and verified. So no link between different components can be lost, whatever the size of a bucket, and a bucket of
+   members, held against parity bitmaps of the sets, which rule out most, and verified. So no link between different components can be lost, whatever the size of a bucket, and a bucket of
    thousands of near copies costs some comparisons a document, not all pairs.
 4. Components by large-star and small-star steps.
 
@@ -36,6 +36,8 @@ from litsieve.llm.kernel import mix, shingle_sets
 DOCS_PER_CHUNK = 1000
 DOCS_PER_RANGE = 4000
 PIVOT_ROUNDS = 6
+BITMAP = 256
+PAIRS_PER_POSTING = 100  # another round of pivots costs more than to filter this many pairs of groups
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -104,7 +106,7 @@ def _prefixes(words: int, ranges: int, percent: int):
         classes = np.zeros(len(keys), np.uint8)
         for r, block in zip(answers.column("key_range").to_pylist(), answers.column("classes"), strict=True):
             classes[cuts[r] : cuts[r + 1]] = np.frombuffer(block.as_py(), np.uint8)
-        sizes, signatures, prefixes, places, stored = [], [], [], [], []
+        sizes, signatures, prefixes, places, bitmaps, stored = [], [], [], [], [], []
         for s in sets:
             n = len(s)
             of = classes[np.searchsorted(keys, (s >> np.uint64(32)).astype(np.uint32))].astype(np.uint64)
@@ -116,11 +118,14 @@ def _prefixes(words: int, ranges: int, percent: int):
             signatures.append(np.array([n, s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes() if n else b"")
             prefixes.append(ahead.view(np.int64).tolist())
             places.append(length - len(ahead))
+            parity = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1 if len(ahead) else np.zeros(0, np.int64)
+            bitmaps.append(np.packbits(parity.astype(np.uint8)).view(np.int64).tolist())
             stored.append(s.tobytes() if len(ahead) else b"")
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "n": pa.array(sizes, pa.int64()), "signature": pa.array(signatures, pa.binary()),
-                "prefix": pa.array(prefixes, pa.list_(pa.int64())), "place": pa.array(places, pa.int64()), "members": pa.array(stored, pa.binary()),
+                "prefix": pa.array(prefixes, pa.list_(pa.int64())), "place": pa.array(places, pa.int64()),
+                "bitmap": pa.array(bitmaps, pa.list_(pa.int64())), "members": pa.array(stored, pa.binary()),
             }
         )
 
@@ -157,11 +162,11 @@ def indexed_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_i
     n_docs = docs.count()
     chunks, ranges = max(1, -(-n_docs // DOCS_PER_CHUNK)), max(12, n_docs // DOCS_PER_RANGE)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)))
     sent = slim.groupBy("chunk").applyInArrow(_send_keys(words, ranges), "key_range int, chunk long, sent_keys binary, counts binary")
     answers = sent.groupBy("key_range").applyInArrow(_add_frequencies, "key_range int, chunk long, classes binary")
     return slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _prefixes(words, ranges, percent), "doc_id long, n long, signature binary, prefix array<long>, place long, members binary"
+        _prefixes(words, ranges, percent), "doc_id long, n long, signature binary, prefix array<long>, place long, bitmap array<long>, members binary"
     )
 
 
@@ -177,20 +182,20 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
     reps = table.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     owner = write_table(reps, "owners")
     sets = table.where("size(prefix) > 0").join(owner.select(F.col("rep").alias("doc_id"), F.col("signature").alias("own")), "doc_id").where("signature = own")
-    sets = write_table(sets.select(F.col("doc_id").alias("rep"), "n", "prefix", "place", "members"), "indexed")
+    sets = write_table(sets.select(F.col("doc_id").alias("rep"), "n", "prefix", "place", "bitmap", "members"), "indexed")
 
     # documents with the same indexed prefix and size are one group, named by its least member
-    members = sets.select("rep", "n", "place", F.xxhash64("n", "prefix").alias("g"), "prefix")
+    members = sets.select("rep", "n", "place", "bitmap", F.xxhash64("n", "prefix").alias("g"), "prefix")
     groups = members.groupBy("g").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("place").alias("place"))
     groups = write_table(groups, "groups")
-    members = write_table(members.select("rep", "g").join(groups.select("g", "gid"), "g").select("rep", "gid"), "members")
+    members = write_table(members.select("rep", "g", "n", "bitmap").join(groups.select("g", "gid"), "g").select("rep", "gid", "n", "bitmap"), "members")
     postings = groups.select("gid", "n", "place", F.posexplode("prefix").alias("k", "shingle"))
     postings = postings.select("shingle", "gid", "n", (F.col("place") + F.col("k")).alias("at"), _band("n", percent).alias("band"))
     # a shingle of one group alone pairs nothing but the members of that group
     postings = write_table(postings, "postings")
 
     labels = members.select("rep", F.col("rep").alias("component"))
-    edges = spark.createDataFrame([], "a long, b long")
+    edges, last = spark.createDataFrame([], "a long, b long"), float("inf")
     for salt in range(PIVOT_ROUNDS + 1):
         state = members.join(labels, "rep").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         open_postings = postings.join(state, "gid")
@@ -203,10 +208,11 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
             pairs, rows = sizes.agg(F.sum(F.col("x") * F.col("y")), F.sum("y")).first()
             if rows is None:
                 break
-            if salt == PIVOT_ROUNDS or pairs <= 8 * rows + 10_000:
+            if salt == PIVOT_ROUNDS or pairs <= PAIRS_PER_POSTING * rows or pairs > 0.7 * last:
                 edges = _rest(open_postings, members, labels, sets, percent).unionByName(edges)
                 edges, labels = _labelled(edges, members)
                 break
+            last = pairs
         # pivots: the group with the least salted hash in a bucket's size band, for that band and the next
         least = open_postings.groupBy("shingle", "band").agg(F.min_by("gid", F.struct(F.xxhash64("gid", F.lit(salt)), "gid")).alias("pivot"))
         pivots = least.unionByName(least.withColumn("band", F.col("band") + 1))
@@ -244,13 +250,19 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
         (F.col("settled_y") | (F.col("gid_x") <= F.col("gid_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
+        # after the first shared shingle in order at most that many more are shared; a later one only says less
+        & (most * (100 + percent) >= need)
     )
-    # the first shared shingle in order has at most that many more after it; a later one only says less, so keep the best
-    pairs = pairs.groupBy("gid_x", "gid_y").agg(F.max(most * (100 + percent) >= need).alias("possible")).where("possible")
+    pairs = pairs.select("gid_x", "gid_y").distinct()
     member = members.join(labels, "rep")
-    one = member.select(F.col("gid").alias("gid_x"), F.col("rep").alias("a"), F.col("component").alias("ca"))
-    two = member.select(F.col("gid").alias("gid_y"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = pairs.join(one, "gid_x").join(two, "gid_y").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = member.select(F.col("gid").alias("gid_x"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
+    two = member.select(F.col("gid").alias("gid_y"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
+    # each bit in which two parity bitmaps differ is a shingle that one set lacks: too many of them rule a link out
+    sizes = F.col("na") + F.col("nb")
+    apart = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP // 64))
+    near = apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent))
+    pairs = pairs.join(one, "gid_x").join(two, "gid_y").where((F.col("ca") != F.col("cb")) & near)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _verified(pairs, sets, percent)
 
 
@@ -262,4 +274,4 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """The rows of docs that name their component, with all their columns; rows without an id stay."""
     groups = similar_groups(docs.where(F.col("doc_id").isNotNull()), words, percent)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
