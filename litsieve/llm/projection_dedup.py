@@ -1,13 +1,12 @@
-"""Embedding near-dedup: sorted projection passes.
+"""Embedding near-dedup: every pair of a label is compared.
 
-Equal vectors of a label become one row with its number of copies. In each pass the vectors of a label are sorted by the
-concatenated signs of their random projections, and every vector is compared with its next `window` neighbours; pairs of
-enough cosine are united across passes. Rows near the ends of a task's range meet those of the next task in a second step.
-The number of passes follows from the largest label's size, so that a pair at the threshold is met with about 99 %.
+Equal vectors of a label become one row with its number of copies. The distinct vectors of a label and length are dealt by
+hash into groups of at most about GROUP_BYTES, and every pair of groups (and each group with itself) is a cell: one task
+multiplies it tile by tile, adds up exact link counts a vector, and passes on only links that unite something new in the
+cell, so no pair is emitted. Sorted projection windows, as used before, miss most links of labels whose vectors share a
+direction; no bound rules out pairs of such a label safely, so none is tried and the work grows with the label's square.
 
-Windows find groups, not all of their pairs, so links are then counted exactly within each group: its vectors are laid in
-blocks, pairs of blocks are multiplied as matrices, and only counts a vector leave a task. A group of any size is split
-that way, and no pair is emitted.
+Products are taken in 32 bits; those nearer to the threshold than their rounding error are taken again in 64 bits.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
 with nothing and are kept; vectors of other length never link; repeated ids are vectors of their own; an empty table gives
@@ -22,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +29,16 @@ from litsieve.llm.components import connected_components
 
 THRESHOLD = 0.93
 WINDOW = 128
-BLOCK = 256
+GROUP_BYTES = 8 << 20
+TILE = 1024
 MAX_PASSES = 32
-_BITS = 64
 
 
 def passes_needed(n: int, threshold: float, window: int, missed: float = 0.01) -> int:
-    """Passes after which a pair at the threshold has shared a window with probability 1 - missed, among n vectors."""
+    """Passes after which a pair at the threshold has shared a window with probability 1 - missed, among n vectors.
+
+    Holds for evenly split signs only; near_vectors compares every pair and takes no passes.
+    """
     bits = max(0.0, math.log2(max(2, n) / window))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return max(2, min(MAX_PASSES, math.ceil(math.log(missed) / math.log(max(1e-12, 1 - min(together, 1 - 1e-9))))))
@@ -64,177 +65,106 @@ def _units(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _project(passes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            blobs = [x.as_py() for x in batch.column(2)]
-            keys = [[b""] * len(blobs) for _ in range(passes)]
-            for size in {len(b) for b in blobs}:
-                rows = [k for k, b in enumerate(blobs) if len(b) == size]
-                if size not in planes:
-                    planes[size] = np.random.default_rng(size).normal(size=(size // 8, passes * _BITS))
-                for at in range(0, len(rows), 1024):
-                    some = rows[at : at + 1024]
-                    packed = np.packbits((_units([blobs[k] for k in some]) @ planes[size] > 0).reshape(len(some), passes, _BITS), axis=2)
-                    for k, own in zip(some, packed, strict=True):
-                        for p in range(passes):
-                            keys[p][k] = own[p].tobytes()
-            for p in range(passes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(blobs), p), pa.int32()), batch.column(1), pa.array([len(b) for b in blobs], pa.int32()), pa.array(keys[p], pa.binary()), batch.column(0), batch.column(2)],
-                    ["pass", "label", "size", "sort_key", "rep", "vector"],
-                )
-
-    return run
-
-
-class _Union:
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(up, up)
-            x = up
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _window_links(ids: np.ndarray, units: np.ndarray, window: int, threshold: float, union: _Union) -> list[tuple[int, int]]:
-    """Pairs within the window that reach the threshold and unite something new."""
-    out = []
-    for i in range(0, len(ids), 512):
-        j = min(len(ids), i + 512 + window)
-        near = units[i : i + 512] @ units[i:j].T
-        a, b = np.nonzero(near >= threshold)
-        ok = (b > a) & (b - a <= window)
-        out += [(int(x), int(y)) for x, y in zip(ids[i + a[ok]], ids[i + b[ok]], strict=True) if union.join(int(x), int(y))]
-    return out
-
-
-_LINKS = "a long, b long, border int, side int, pass int, label long, size int, rep long, vector binary, place int"
-_LINK_FIELDS = ["a", "b", "border", "side", "pass", "label", "size", "rep", "vector", "place"]
-
-
-def _sorted_windows(window: int, threshold: float):
-    """Links within a task's range, and its first and last `window` rows for the borders with its neighbours."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        run_key, rows, seen, head, tail, links, union = None, [], 0, [], [], [], _Union()
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
-
-        def out(records: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records, strict=True), types, strict=True)], _LINK_FIELDS)
-
-        def compare() -> None:
-            if len(rows) > 1:
-                links.extend(_window_links(np.array([r[0] for r in rows]), _units([r[1] for r in rows]), window, threshold, union))
-
-        for batch in batches:
-            for p, label, size, rep, vector in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True):
-                key = (p, label, size)
-                if key != run_key:
-                    compare()
-                    run_key, rows, union = key, [], _Union()
-                rows.append((rep, vector))
-                if len(rows) >= 8192:
-                    compare()
-                    rows = rows[-window:]
-                record = (None, None, task, 1, p, label, size, rep, vector, seen)
-                if seen < window:
-                    head.append(record[:2] + (task - 1, 2) + record[4:])
-                tail.append(record)
-                if len(tail) > 2 * window:
-                    tail = tail[-window:]
-                seen += 1
-            if links:
-                yield out([(a, b, *[None] * 8) for a, b in links])
-                links.clear()
-        compare()
-        if links:
-            yield out([(a, b, *[None] * 8) for a, b in links])
-        if head or tail:
-            yield out(head + tail[-window:])
+def _links(a: np.ndarray, b: np.ndarray, a_32: np.ndarray, b_32: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (of a, of b) of the pairs that reach the threshold."""
+    slack = 2.0**-23 * (a.shape[1] + 8)
+    near = a_32 @ b_32.T
+    i, j = np.nonzero(near >= np.float32(threshold - slack))
+    close = np.flatnonzero(near[i, j] < threshold + slack)
+    drop = []
+    for at in range(0, len(close), 65536):
+        some = close[at : at + 65536]
+        drop.append(some[np.einsum("ij,ij->i", a[i[some]], b[j[some]]) < threshold])
+    return (np.delete(i, np.concatenate(drop)), np.delete(j, np.concatenate(drop))) if drop else (i, j)
+
+
+def _unite(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Groups of all rows after the links (a, b), and which links it took: every round each group follows one link."""
+    taken: list[int] = []
+    live = np.arange(len(a))
+    while len(live := live[group[a[live]] != group[b[live]]]):
+        _, first = np.unique(group[a[live]], return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for k in live[first].tolist():
+            x, y = find(int(group[a[k]])), find(int(group[b[k]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                taken.append(k)
+        to = np.arange(len(group))
+        for x in parent:
+            to[x] = find(x)
+        group = to[group]
+    return group, taken
+
+
+def _cell(threshold: float):
+    """Link counts of a cell's vectors (a, null, n) and the links that unite them (a, b, null)."""
 
-    return run
-
-
-def _border_links(window: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "place", "pass", "label", "size", "rep", "vector")), strict=True), key=lambda r: r[:2])
-        links: list[tuple[int, int]] = []
-        for key in {r[2:5] for r in rows}:
-            own = [r for r in rows if r[2:5] == key]
-            if {r[0] for r in own} == {1, 2}:
-                links += _window_links(np.array([r[5] for r in own]), _units([r[6] for r in own]), window, threshold, _Union())
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        low = table.column("low")[0].as_py()
+        same = low == table.column("high")[0].as_py()
+        g = table.column("g").to_numpy()
+        order = np.argsort(g != low, kind="stable")  # the low group's rows first
+        ids, copies = (table.column(c).to_numpy()[order] for c in ("rep", "copies"))
+        units = _units(table.column("vector").take(pa.array(order)).to_pylist())
+        units_32 = units.astype(np.float32)
+        n_low = int((g == low).sum())
+        n, group, links = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        for i in range(0, n_low, TILE):
+            rows = slice(i, min(n_low, i + TILE))
+            for j in range(i if same else n_low, len(ids), TILE):
+                columns = slice(j, j + TILE)
+                a, b = _links(units[rows], units[columns], units_32[rows], units_32[columns], threshold)
+                if i == j:
+                    ok = a < b
+                    a, b = a[ok], b[ok]
+                if not len(a):
+                    continue
+                a, b = a + i, b + j
+                np.add.at(n, a, copies[b])
+                np.add.at(n, b, copies[a])
+                group, taken = _unite(group, a, b)
+                links.append((ids[a[taken]], ids[b[taken]]))
+        if same:
+            n += copies
+        a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
+        some = np.flatnonzero(n)
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([ids[some], a]), pa.int64()),
+                "b": pa.array([None] * len(some) + b.tolist(), pa.int64()),
+                "n": pa.array(n[some].tolist() + [None] * len(a), pa.int64()),
+            }
+        )
 
     return run
 
 
-def _block(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table.column("rep").to_pylist(), table.column("copies").to_pylist(), table.column("vector").to_pylist(), strict=True))
-    units = _units([r[2] for r in rows])
-    return pa.table(
-        {
-            "component": table.column("component").slice(0, 1), "block": table.column("block").slice(0, 1),
-            "ids": [np.array([r[0] for r in rows], np.int64).tobytes()], "copies": [np.array([r[1] for r in rows], np.int64).tobytes()], "units": [units.tobytes()],
-        }
-    )
-
-
-def _count_links(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
-                units = np.frombuffer(r["units"], np.float64).reshape(len(ids), -1)
-                ids_2, copies_2 = np.frombuffer(r["ids_2"], np.int64), np.frombuffer(r["copies_2"], np.int64)
-                units_2 = np.frombuffer(r["units_2"], np.float64).reshape(len(ids_2), -1)
-                linked = units @ units_2.T >= threshold
-                if r["block"] == r["block_2"]:
-                    np.fill_diagonal(linked, True)  # copies of one vector link whatever the rounding
-                    rep, n = ids, linked @ copies_2
-                else:
-                    rep, n = np.concatenate([ids, ids_2]), np.concatenate([linked @ copies_2, copies @ linked])
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64())], ["rep", "n"])
-
-    return run
-
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors.
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors."""
-    spark = vectors.sparkSession
+    window is taken for callers of the windowed form and changes nothing, as every pair is compared.
+    """
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = write_table(slim.mapInArrow(_valid, "vec_id long, label long, digest binary, vector binary"), "vectors")
     usable = rows.where("digest is not null and vec_id is not null")
     classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = write_table(classes, "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_needed(largest, threshold, window)
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = classes.select("rep", "label", "vector").mapInArrow(_project(passes), "pass int, label long, size int, sort_key binary, rep long, vector binary")
-    order = ["pass", "label", "size", "sort_key", "rep"]
-    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = write_table(dealt.mapInArrow(_sorted_windows(window, threshold), _LINKS), "windows")
-    borders = found.where("a is null").groupBy("border").applyInArrow(_border_links(window, threshold), "a long, b long")
-    component = write_table(connected_components(found.where("a is not null").select("a", "b").unionByName(borders)), "components")
-
-    sizes = component.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = component.withColumnRenamed("vertex", "rep").join(sizes, "component").join(classes.select("rep", "copies", "vector"), "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = write_table(members.groupBy("component", "block").applyInArrow(_block, "component long, block int, ids binary, copies binary, units binary"), "blocks")
-    other = blocks.select("component", *(F.col(c).alias(f"{c}_2") for c in ("block", "ids", "copies", "units")))
-    counts = blocks.join(other, "component").where("block <= block_2").mapInArrow(_count_links(threshold), "rep long, n long")
-    counts = counts.groupBy("rep").agg(F.sum("n").alias("n"))
+    classes = classes.withColumn("size", F.length("vector"))
+    groups = classes.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") / group_bytes).alias("groups"))
+    dealt = classes.join(groups, ["label", "size"]).withColumn("g", F.pmod(F.xxhash64("rep"), F.col("groups")))
+    dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    cells = dealt.select("label", "size", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "g", "rep", "copies", "vector")
+    found = write_table(cells.groupBy("label", "size", "low", "high").applyInArrow(_cell(threshold), "a long, b long, n long"), "cells")
+    component = write_table(connected_components(found.where("b is not null").select("a", "b")), "components")
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
 
     final = classes.select("rep", "label", "digest", "copies").join(component.withColumnRenamed("vertex", "rep"), "rep", "left").join(counts, "rep", "left")
     final = final.select("label", "digest", (F.coalesce("n", "copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))

@@ -110,3 +110,32 @@ def test_near_vectors(spark):
 
 def test_passes_grow_with_the_label():
     assert P.passes_needed(10, 0.93, 128) == 2 < P.passes_needed(5000, 0.93, 128) < P.passes_needed(10**6, 0.93, 128) <= P.MAX_PASSES
+
+
+def off_centre(n=3000, pairs=300, dims=64, seed=5):
+    """One label whose vectors lie around one direction (mean cosine about 0.84), with planted pairs at 0.935 or more."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=dims) / np.sqrt(dims) + 0.44 * r.normal(size=(n, dims)) / np.sqrt(dims)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=(pairs, dims))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    x[n - pairs :] = 0.935 * x[:pairs] + np.sqrt(1 - 0.935**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return x.astype(np.float32)
+
+
+def test_every_link_of_a_dense_label(spark):
+    x = off_centre()
+    units = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (units @ units.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() >= 600
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    for group_bytes in (P.GROUP_BYTES, 400_000):
+        got = {r.vec_id: r.n_links for r in P.near_vectors(df, group_bytes=group_bytes).collect()}
+        assert [got[k] for k in range(len(x))] == want.tolist()
+
+
+def test_near_vectors_are_exact(spark):
+    rows = vectors(8)
+    df = spark.createDataFrame([(a, c, b) for a, b, c in rows], "vec_id long, embedding array<float>, label int")
+    for group_bytes in (P.GROUP_BYTES, 2_000):
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in P.near_vectors(df, group_bytes=group_bytes).collect()} == brute(rows, 0.93)
