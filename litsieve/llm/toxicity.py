@@ -4,7 +4,9 @@ A word's embedding is the sum of four hashed rows: two independent hashes of the
 carries only part of the evidence, and one each of its first four and six bytes. Filters of widths 1, 2 and 3 run over the
 words of the whole text; max pooling over each third of the text gives a filter three values, which are sorted, so the
 logistic layer on top can tell one hit from several. The first embedding dimension starts from the lower confidence bound
-of each bucket's log-odds, then everything is trained by Adagrad on at most `sample_rows` labelled documents.
+of each bucket's log-odds, then everything is trained by Adagrad on at most `sample_rows` labelled documents and
+`sample_words` words: rows come in the order of their id's hash, whatever the layout of the table; one of more than a
+hundredth of the words gives evenly spaced windows, and one that no longer fits is passed over for the next that does.
 
 Thresholds are calibrated by language on a held-back fifth of the sample: the logit is shifted so that 0.5 is the best
 threshold for the language that a small naive Bayes model reads from the text (no language column is used for a score).
@@ -34,6 +36,7 @@ THIRDS = 3
 LANGUAGE_BUCKETS = 1 << 15
 SAMPLE_ROWS = 10_000
 MAX_SAMPLE_WORDS = 6_000_000
+THINNED_WINDOW = 64
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -258,32 +261,49 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float(low + (high - low) * (clean + 1e-3) / (clean + toxic + 2e-3))
 
 
-def _sample_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for _, _, data, offsets in parts(batch.column(3)):
-            codes, first = word_codes(data, offsets)
-            out += [codes[first[d] : first[d + 1]].tobytes() for d in range(len(offsets) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "lang", "codes"])
+def thinned(codes: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` words in windows spaced evenly from the first word to the last; all of them where they fit."""
+    if len(codes) <= most:
+        return codes
+    width = min(THINNED_WINDOW, max(1, most // 8))
+    starts = np.linspace(0, len(codes) - width, most // width).astype(np.int64)
+    return codes[(starts[:, None] + np.arange(width)).ravel()]
+
+
+def _sample_codes(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, _, data, offsets in parts(batch.column(3)):
+                codes, first = word_codes(data, offsets)
+                out += [thinned(codes[first[d] : first[d + 1]], most).tobytes() for d in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "lang", "codes"])
+
+    return run
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ConvolutionalClassifier | None:
-    """Fit on at most sample_rows labelled documents (and MAX_SAMPLE_WORDS words) outside fold 0 of 5; None without any."""
+def draw_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, sample_words: int) -> list[tuple[int, int, str | None, np.ndarray]]:
+    """(doc_id, label, lang, word codes) of the rows to fit on, by id; never empty while a labelled document exists."""
     sample = labelled_sample(docs, labels, label, sample_rows)
     langs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
     chosen = labelled_sample(docs, labels, label, sample_rows).select("doc_id")
     langs = langs.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"))
     sample = sample.join(F.broadcast(langs), "doc_id").select("doc_id", "y", "lang", "body")
-    rows, words = [], 0
-    for r in sample.mapInArrow(_sample_codes, "doc_id long, y int, lang string, codes binary").toLocalIterator():
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("body"))
+    rows, left = [], sample_words
+    for r in sample.mapInArrow(_sample_codes(max(1, sample_words // 100)), "doc_id long, y int, lang string, codes binary").toLocalIterator():
         codes = np.frombuffer(r.codes, np.int32).reshape(-1, 4)
-        words += len(codes)
-        if words > MAX_SAMPLE_WORDS:
-            break
-        rows.append((r.doc_id, r.y, r.lang, codes))
+        if len(codes) <= left or not rows:
+            left -= len(codes)
+            rows.append((r.doc_id, r.y, r.lang, codes))
+    return sorted(rows, key=lambda r: (r[0], len(r[3])))
+
+
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = MAX_SAMPLE_WORDS) -> ConvolutionalClassifier | None:
+    """Fit on at most sample_rows labelled documents and sample_words words outside fold 0 of 5; None without any label."""
+    rows = draw_sample(docs, labels, label, sample_rows, sample_words)
     if not rows:
         return None
-    rows.sort(key=lambda r: (r[0], len(r[3])))
     return fit([r[3] for r in rows], np.array([r[1] for r in rows], np.float32), [r[2] for r in rows])
 
 

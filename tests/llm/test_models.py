@@ -81,3 +81,30 @@ def test_scores_read_whole_texts():
     values = list(quality.features(np.frombuffer(b"A a b", np.uint8), np.array([0, 5])))
     assert len(values) == 1 and len(values[0][0]) == 2 + quality.STATISTICS
     assert len(toxicity.ConvolutionalClassifier().scores(pa.array([b"", b"a", b"a b"], pa.binary()))) == 3
+
+
+def layout(spark, n=200):
+    """English first, then French, texts of 200 words; the first row is longer than any budget used here."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(50_000 if k == 0 else 200)), "en" if k < n // 2 else "fr", "s") for k in range(n)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(n)], "doc_id long, toxic int")
+    return rows, labels
+
+
+def test_toxicity_sample_ignores_the_layout(spark):
+    rows, labels = layout(spark)
+    drawn = []
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, cases.SCHEMA).coalesce(1)
+        drawn.append([(i, len(c)) for i, _, _, c in toxicity.draw_sample(df, labels, "toxic", 1000, 4_000)])
+        assert {lang for _, _, lang, _ in toxicity.draw_sample(df, labels, "toxic", 1000, 4_000)} == {"en", "fr"}
+    assert drawn[0] == drawn[1] and 0 < sum(n for _, n in drawn[0]) <= 4_000
+
+
+def test_toxicity_model_of_long_rows(spark):
+    rows, labels = layout(spark)
+    df = spark.createDataFrame([(*r[:1], rows[0][1], *r[2:]) for r in rows], cases.SCHEMA).coalesce(1)
+    assert toxicity.fit_toxicity_model(df, labels, sample_words=4_000) is not None
+    codes = np.arange(4_000, dtype=np.int32).reshape(-1, 4)
+    assert toxicity.thinned(codes, 1000) is codes
+    few = toxicity.thinned(codes, 200)
+    assert len(few) <= 200 and few[0, 0] == 0 and few[-1, 3] == 3_999 and len(np.unique(few[:, 0] // 400)) == 10
