@@ -139,3 +139,19 @@ def test_near_vectors_are_exact(spark):
     df = spark.createDataFrame([(a, c, b) for a, b, c in rows], "vec_id long, embedding array<float>, label int")
     for group_bytes in (P.GROUP_BYTES, 2_000):
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in P.near_vectors(df, group_bytes=group_bytes).collect()} == brute(rows, 0.93)
+
+
+def test_links_do_not_depend_on_partitions(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 64))
+    x[300:] = x[:300] + 0.1 * r.normal(size=(300, 64))
+    df = spark.createDataFrame([(k, v.tolist(), k % 3) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for parts in ("2", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted((v.vec_id, v.n_links, v.component_id) for v in P.near_vectors(df, group_bytes=40_000).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and [n for _, n, _ in got[0]] == [1] * 600
