@@ -155,3 +155,32 @@ def test_links_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and [n for _, n, _ in got[0]] == [1] * 600
+
+
+IN_ARTICLE = [
+    ('<section id="related-work"><p>a</p></section><p>b</p>', [("a", True), ("b", True)]),
+    ('<h2 id="market-share">Share</h2><h2 class="search">S</h2><p id="ad-hoc" data-id="ad">b</p>', [("Share", True), ("S", True), ("b", True)]),
+    ('<div data-id="ad">a</div>', [("a", True)]),
+    ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>", [("x y=2 z", True)]),
+    ("<p>a <button>b</button> <object>c</object> <svg><text>d</text></svg></p>", [("a b c", True), ("d", True)]),
+    ('<p>a <span class="token comment">b</span></p>', [("a b", True)]),
+    ('<div class="search-results"><p>a</p></div><p>b</p>', [("a", None), ("b", True)]),
+    ('<div class="share-buttons">s</div><div class="ad">s</div><div role="navigation">n</div><p>b</p>', [("b", True)]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(IN_ARTICLE)))
+def test_blocks_of_an_article(case):
+    inside, want = IN_ARTICLE[case]
+    assert H.blocks(f"<body><article>{inside}</article><svg><text>out</text></svg><button>out</button></body>") == want
+
+
+def test_doubtful_blocks_go_only_if_repeated(spark):
+    def page(k, doubtful):
+        return f"<article><p>text {k}</p><div class=notice>{doubtful}</div><p>end</p></article><p>outside</p>"
+
+    same = "this notice of ten words stands on every such page"
+    own = [" ".join(f"own{k}x{j}" for j in range(10)) for k in range(3)]
+    rows = [(k, "https://h.example/", page(k, same if k < 3 else own[k - 3])) for k in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text {k}\nend" if k < 3 else f"text {k}\n{own[k - 3]}\nend" for k in range(6)}
