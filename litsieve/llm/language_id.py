@@ -3,7 +3,8 @@
 Features are hashed byte bigrams and trigrams of the lower-cased text. A feature's value is its share of the document's
 n-grams times its inverse document frequency, so a score is a sum over positions and whole texts of any length are scored
 in linear time. Document frequencies are counted over every row that may be learned from; the weights are fitted on a
-bounded sample of them (`sample_rows` per call, chosen by hash) and calibrated by one temperature on a held-back fifth.
+bounded sample of them (`sample_rows` per call, chosen by hash, and the first LANGUAGE_ROWS of every language by that hash)
+and calibrated by one temperature on a held-back fifth.
 
 Defined results: null, empty or letterless text gives `und` with score 0.0; if nothing can be learned (no labelled row)
 every row is `und`; with one language every row with a letter gets it; repeated rows and ids come back each; other columns
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsieve.llm.common import fold, read, text_bytes
@@ -25,6 +26,7 @@ from litsieve.llm.kernel import LOWER, parts
 BUCKETS = 1 << 16
 PIECES = 16
 SAMPLE_ROWS = 3000
+LANGUAGE_ROWS = 50
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = True
@@ -146,9 +148,10 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Learn from all rows of docs with a language: frequencies over all of them, weights on at most sample_rows.
+    """Learn from all rows of docs with a language: languages and frequencies of all of them, weights on a sample.
 
-    `key` orders the sample (default: a hash of the text); the rows with the smallest keys are taken.
+    `key` orders the sample (default: a hash of the text); the sample_rows rows with the smallest keys are taken, and of each
+    language those with its LANGUAGE_ROWS smallest keys, so that no language is missed however rare.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     frequencies, n = document_frequencies(known, text_col)
@@ -157,7 +160,16 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     cut = sample.select("rank").orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]
     if cut is None:
         return None
-    rows = sample.where(F.col("rank") <= cut).mapInArrow(_features, "rank long, lang string, buckets binary, shares binary").limit(4 * sample_rows).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    cuts = sample.select("lang", "rank").withColumn("place", place).where(F.col("place") <= LANGUAGE_ROWS).groupBy("lang").agg(F.max("rank").alias("own")).collect()
+    cuts = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in cuts], "lang string, own long"))  # one row a language
+    known = sample.join(cuts, "lang")
+    first = known.where("rank <= own").withColumn("place", place).where(F.col("place") <= LANGUAGE_ROWS)
+    rest = known.where((F.col("rank") <= cut) & (F.col("rank") > F.col("own")))
+    rows = []
+    for part, most in ((first, None), (rest, 4 * sample_rows)):
+        found = part.select("rank", "lang", "body").mapInArrow(_features, "rank long, lang string, buckets binary, shares binary")
+        rows += (found if most is None else found.limit(most)).collect()
     rows = sorted(rows, key=lambda r: (r.rank, r.lang, r.buckets))
     languages = sorted({r.lang for r in rows})
     idf = np.log((1 + n) / (1 + frequencies)) + 0.1
@@ -165,7 +177,8 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     for r in rows:
         index = np.frombuffer(r.buckets, np.uint16).astype(np.int64)
         x.append((index, np.frombuffer(r.shares, np.float32) * idf[index] * 30, languages.index(r.lang)))
-    back = {k for k in range(len(x)) if k % 5 == 4} if len(x) >= 50 else set()
+    never = {r.lang: k for k, r in reversed(list(enumerate(rows)))}  # a language may have one row only
+    back = {k for k in range(len(x)) if k % 5 == 4} - set(never.values()) if len(x) >= 50 else set()
     weights, bias = fit_ftrl([x[k] for k in range(len(x)) if k not in back], len(languages))
     logits = np.array([weights[:, x[k][0]] @ x[k][1] + bias for k in sorted(back)])
     temperature = _temperature(logits, np.array([x[k][2] for k in sorted(back)])) if back else 1.0

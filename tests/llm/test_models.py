@@ -108,3 +108,12 @@ def test_toxicity_model_of_long_rows(spark):
     assert toxicity.thinned(codes, 1000) is codes
     few = toxicity.thinned(codes, 200)
     assert len(few) <= 200 and few[0, 0] == 0 and few[-1, 3] == 3_999 and len(np.unique(few[:, 0] // 400)) == 10
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the cat number {k} and the dog sat here", "en", "s") for k in range(400)] + [(k, f"der hund nummer {k} und die katze", "de", "s") for k in range(400, 800)]
+    rows += [(900 + k, f"zxqj wvkq xqzz {k} qwxz", "xx", "s") for k in range(2)]
+    df = spark.createDataFrame(rows, cases.SCHEMA)
+    model = language_id.fit_language_model(df, sample_rows=20)
+    assert model.languages == ["de", "en", "xx"]
+    assert {r.lang_pred for r in language_id.predict_language(df.where("doc_id >= 900"), model).collect()} == {"xx"}
