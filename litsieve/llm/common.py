@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from litsieve.session import ship_package
 
@@ -30,24 +34,67 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5) -> DataFrame:
-    """At most `rows` labelled documents outside fold 0 (those of smallest id hash): doc_id, y, body.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *keep: Column | str, folds: int = 5) -> DataFrame:
+    """The rows of at most `rows` labelled ids outside fold 0 (those of smallest id hash): doc_id, y, the kept columns, body.
 
     Of several labels for one id the largest counts; null labels don't count. The chosen labels are at most `rows` small
-    rows, so they are broadcast.
+    rows, so they are broadcast. An id that repeats brings all its rows: `one_row_an_id` leaves one, once they are encoded.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0))
     one = one.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    slim = docs.select("doc_id", text_bytes().alias("body"))
+    slim = docs.select("doc_id", *keep, text_bytes().alias("body"))
     return slim.join(F.broadcast(chosen), "doc_id")
 
 
+def one_row_an_id(rows: DataFrame, by: str) -> DataFrame:
+    """Of the rows that share a doc_id the one with the least `by`: however often an id repeats, it counts once."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.col(by)).alias("_one")).select("doc_id", "_one.*")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_digest(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs and the SHA-256 of every text in UTF-8 with A-Z lowered (null: empty) as the binary column `name`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            digests = [hashlib.sha256((x.as_py() or "").encode("utf-8", "surrogatepass").lower()).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for every (doc_id, digest) of `decided`, a null id included.
+
+    Rows that repeat an id with its text are one: of those the row with the least hash of all columns stays. They are
+    collapsed before the shuffle, so a row with a third of all copies reaches its owner once a task.
+    """
+    digest = free_name(docs, "_digest")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = with_digest(docs, digest, text_col).groupBy(F.col(id_col).cast("long").alias("_id"), F.col(digest).alias("_text"))
+    one = one.agg(F.min_by(F.struct(*columns), F.xxhash64(*(c.cast("string") for c in columns))).alias("_row"))
+    want = decided.select(F.col("doc_id").alias("_want_id"), F.col("digest").alias("_want_text"))
+    same = (F.col("_text") == F.col("_want_text")) & F.col("_id").eqNullSafe(F.col("_want_id"))
+    return one.join(want, same, "left_semi").select("_row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named := tempfile.mkdtemp(prefix="litsieve-checkpoint-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -1,15 +1,17 @@
 """Exact dedup: Patricia-trie owners.
 
 Map side, each task inserts whole byte strings into a compressed radix trie and passes on one row per distinct text that
-it saw, so a text with a third of all rows reaches its owner as one row a task. The distinct texts are then dealt by
-(length, content hash); the owner task sorts by that key and inserts them into one trie per length and leading hash
-byte. Terminal nodes hold the smallest and the largest identifier and the count. Equal texts have equal hashes and so
-arrive next to each other: once a trie holds more than `spill_bytes`, the subtrees whose hash is finished are spilled as
-result rows and dropped, which bounds memory without losing a copy.
+it holds, so a text with a third of all rows reaches its owner as one row a task. These rows are dealt by (length, content
+hash); the owner task inserts the full strings into one trie per length, in whatever order they come, and the tries alone
+decide which are equal. Terminal nodes hold the smallest and the largest identifier and the count.
+
+Memory is bounded by spilling subtrees: once the tries of a task hold more than `spill_bytes`, the largest subtrees below the
+roots' first bytes are turned into rows and cut off until half is left. A text that comes again after its subtree was spilled
+starts a new terminal; the rows of one text, a few numbers and its hash each, are added up at the end.
 
 Defined results: null and empty texts are equal to one another; rows with a null id are kept in their group but never
-own it unless all ids are null; ids may repeat (each row comes back); an empty table gives an empty result; other
-columns are ignored.
+own it unless all ids are null; ids may repeat, also with different texts (each row comes back, and owns its text if its id
+does); an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import read, text_bytes
+from litsieve.llm.common import keep_rows, read, text_bytes
 
 
 class PatriciaTrie:
@@ -30,6 +32,8 @@ class PatriciaTrie:
     A node is [edge label, terminal or None, children by first byte].
     """
 
+    NODE_BYTES = 400
+
     def __init__(self) -> None:
         self.root: list = [b"", None, {}]
         self.held_bytes = 0
@@ -41,7 +45,7 @@ class PatriciaTrie:
             if child is None:
                 fresh = [key[at:], [smallest, largest, count], {}]
                 node[2][key[at]] = fresh
-                self.held_bytes += len(fresh[0]) + 400
+                self.held_bytes += len(fresh[0]) + self.NODE_BYTES
                 return
             label = child[0]
             if key.startswith(label, at):
@@ -50,13 +54,13 @@ class PatriciaTrie:
             shared = _shared_prefix(label, key[at : at + len(label)])
             lower = [label[shared:], child[1], child[2]]
             child[0], child[1], child[2] = label[:shared], None, {label[shared]: lower}
-            self.held_bytes += 400
+            self.held_bytes += self.NODE_BYTES
             node, at = child, at + shared
         node[1] = _merged(node[1], smallest, largest, count)
 
-    def terminals(self) -> Iterator[tuple[bytes, list]]:
-        """Every stored string with its terminal, in no set order, without recursion."""
-        stack = [(self.root, b"")]
+    def terminals(self, node: list | None = None) -> Iterator[tuple[bytes, list]]:
+        """Every string stored below a child of the root (or all) with its terminal, in no set order, without recursion."""
+        stack = [(node or self.root, b"")]
         while stack:
             node, above = stack.pop()
             key = above + node[0]
@@ -64,6 +68,52 @@ class PatriciaTrie:
                 yield key, node[1]
             stack.extend((child, key) for child in node[2].values())
 
+    def subtrees(self) -> list[tuple[int, int]]:
+        """Held bytes and first byte of every subtree below the root."""
+        sizes = []
+        for first, child in self.root[2].items():
+            size, stack = 0, [child]
+            while stack:
+                node = stack.pop()
+                size += len(node[0]) + self.NODE_BYTES
+                stack.extend(node[2].values())
+            sizes.append((size, first))
+        return sizes
+
+    def cut(self, first: int, size: int) -> Iterator[tuple[bytes, list]]:
+        """Cuts the subtree of a first byte off and tells its terminals."""
+        self.held_bytes -= size
+        yield from self.terminals(self.root[2].pop(first))
+
+
+class Owner:
+    """Tries by length that give up their largest subtrees once they hold more than spill_bytes."""
+
+    def __init__(self, spill_bytes: int) -> None:
+        self.spill_bytes, self.tries, self.held = spill_bytes, {}, 0
+
+    def insert(self, key: bytes, smallest: int | None, largest: int | None, count: int) -> None:
+        trie = self.tries.get(len(key)) or self.tries.setdefault(len(key), PatriciaTrie())
+        before = trie.held_bytes
+        trie.insert(key, smallest, largest, count)
+        self.held += trie.held_bytes - before
+
+    def spilled(self) -> Iterator[tuple[bytes, list]]:
+        """The terminals of the largest subtrees, until the tries hold half of what they may; nothing below the limit."""
+        if self.held <= self.spill_bytes:
+            return
+        sizes = sorted(((size, n, first) for n, trie in self.tries.items() for size, first in trie.subtrees()), reverse=True)
+        for size, n, first in sizes:
+            if 2 * self.held <= self.spill_bytes:
+                break
+            self.held -= size
+            yield from self.tries[n].cut(first, size)
+        self.tries = {n: t for n, t in self.tries.items() if t.root[2] or t.root[1]}
+
+    def rest(self) -> Iterator[tuple[bytes, list]]:
+        for trie in self.tries.values():
+            yield from trie.terminals()
+
 
 def _shared_prefix(a: bytes, b: bytes) -> int:
     low, high = 0, min(len(a), len(b))
@@ -94,60 +144,46 @@ _OWNER = pa.schema([("digest", pa.binary()), ("smallest", pa.int64()), ("largest
 _ROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 
 
+def _batches(terminals: Iterator[tuple[bytes, list]], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Terminals as rows of `schema`, a few MB at a time."""
+    rows: list[tuple] = []
+    size = 0
+    for key, (smallest, largest, copies) in terminals:
+        digest = hashlib.sha256(key).digest()
+        rows.append((len(key), digest, key, smallest, largest, copies) if "body" in schema.names else (digest, smallest, largest, copies))
+        size += len(key) + 100
+        if size > limit:
+            yield _batch(rows, schema)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows, schema)
+
+
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _local_owners(spill_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie()
-
-        def spill() -> Iterator[pa.RecordBatch]:
-            rows, size = [], 0
-            for key, (smallest, largest, copies) in trie.terminals():
-                rows.append((len(key), hashlib.sha256(key).digest(), key, smallest, largest, copies))
-                size += len(key)
-                if size > 1 << 22:
-                    yield _batch(rows, _LOCAL)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, _LOCAL)
-
+        owner = Owner(spill_bytes)
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                trie.insert(body.as_py().lower(), doc_id, doc_id, 1)
-            if trie.held_bytes > spill_bytes:
-                yield from spill()
-                trie = PatriciaTrie()
-        yield from spill()
+                owner.insert(body.as_py().lower(), doc_id, doc_id, 1)
+            yield from _batches(owner.spilled(), _LOCAL)
+        yield from _batches(owner.rest(), _LOCAL)
 
     return run
 
 
 def _owners(spill_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, digests, bucket, last = PatriciaTrie(), {}, None, None
-
-        def finish() -> pa.RecordBatch:
-            rows = []
-            for key, (smallest, largest, copies) in trie.terminals():
-                rows.append((digests.pop(key), smallest, largest, copies))
-            if len({r[0] for r in rows}) < len(rows):
-                raise ValueError("two different texts share a SHA-256 digest")
-            return _batch(rows, _OWNER)
-
+        owner = Owner(spill_bytes)
         for batch in batches:
-            for n, digest, body, smallest, largest, copies in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                key = (n, digest[0])
-                if digests and (key != bucket or (trie.held_bytes > spill_bytes and digest != last)):
-                    yield finish()
-                    trie, digests = PatriciaTrie(), {}
-                bucket, last = key, digest
-                trie.insert(body, smallest, largest, copies)
-                digests[body] = digest
-        if digests:
-            yield finish()
+            for body, smallest, largest, copies in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                owner.insert(body.as_py(), smallest, largest, copies)
+            yield from _batches(owner.spilled(), _OWNER)
+        yield from _batches(owner.rest(), _OWNER)
 
     return run
 
@@ -163,8 +199,9 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     local = slim.mapInArrow(_local_owners(spill_bytes), "n_bytes long, digest binary, body binary, smallest long, largest long, copies long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = local.repartition(parts, "n_bytes", "digest").sortWithinPartitions("n_bytes", "digest")
-    return dealt.mapInArrow(_owners(spill_bytes), "digest binary, smallest long, largest long, copies long")
+    dealt = local.repartition(parts, "n_bytes", "digest").select("body", "smallest", "largest", "copies")
+    owned = dealt.mapInArrow(_owners(spill_bytes), "digest binary, smallest long, largest long, copies long")
+    return owned.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("copies").alias("copies"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", spill_bytes: int = 64 << 20) -> DataFrame:
@@ -186,14 +223,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that own their text, with all their columns.
+    """One row of docs for every distinct text, with all its columns: that of the largest id (a null one only where all are).
 
-    Of rows that repeat an id with its text one stays; rows without an id stay.
+    Of rows that repeat an id with its text, in any capitals, one stays.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    decided = exact_dedup(named, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = named.join(decided, named[id_col] == decided["_kept_id"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    owners = text_owners(docs, id_col, text_col)
+    return keep_rows(docs, owners.select(F.col("largest").alias("doc_id"), "digest"), id_col, text_col)
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
