@@ -6,18 +6,18 @@ to the open sequence whose residual vector has the largest dot product with the
 fits in none it is cut, which fills the fullest open sequence to the brim. At the end of a partition the open sequences
 are laid out again, cut to full length; the last rest is cut into lengths that are powers of two, which need no padding.
 
-Ids come from the word-level vocabulary; as its words never cross ASCII white space, each distinct space-separated word is
-encoded once and looked up afterwards.
+Ids are those of the `tokenizers` library at its defaults (a special token's string in a text is that token). As its words
+never cross ASCII white space, each distinct space-separated word is encoded once and looked up afterwards: words of ASCII
+and Latin-1 letters by a vectorised fold of the same merges, all others and those with `<|` by the library itself.
 
-Defined results: null and empty texts are one end id; repeated ids are packed each as its own example; pieces keep
-document order within an example but may lie in several sequences; an empty table gives an empty result; other columns
-are ignored.
+Defined results: null and empty texts are one end id; rows without an id are packed like others; repeated ids are packed
+each as its own example; pieces keep document order within an example but may lie in several sequences; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -38,6 +38,9 @@ END_ID = 2
 OPEN_SEQUENCES = 24
 CACHED_WORDS = 350_000
 
+#: Words of visible ASCII and the letters of Latin-1: each of these letters has one lower form and no parts to compose.
+_PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
@@ -52,13 +55,15 @@ def byte_characters() -> list[str]:
 class WordEncoder:
     """Ids of texts by a `tokenizers` file whose words end at white space, as little-endian unsigned 32-bit bytes.
 
-    The file's normaliser (NFC, lower case) and word pattern are applied to each new space-separated word, and the ranked
-    merges of all new words of a batch run together in numpy. Words are kept in two generations: when the young one is full
+    New words in which lower case and word pattern are beyond doubt (`_PLAIN`) are lowered, split and merged here, all of a
+    batch together in numpy; the library encodes the rest. Words are kept in two generations: when the young one is full
     it becomes the old one, and words in use move up again, so frequent words stay and memory is bounded. One encoder serves
     all tasks of a worker process.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_are_text: bool = False) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
@@ -71,35 +76,32 @@ class WordEncoder:
         self.merger = PairMerger(left, right, np.arange(len(pairs)), np.array([vocabulary[a + b] for a, b in pairs], np.int32))
         (pattern,) = [p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(pattern)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = specials_are_text
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     @staticmethod
-    def of(path: str) -> WordEncoder:
-        return _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+    def of(path: str, specials_are_text: bool = False) -> WordEncoder:
+        key = (path, specials_are_text)
+        return _ENCODERS.get(key) or _ENCODERS.setdefault(key, WordEncoder(*key))
 
-    def _pieces(self, word: bytes) -> list[bytes]:
-        """The word normalised and split by the pattern."""
+    def _pieces(self, word: bytes) -> list[bytes] | None:
+        """The word lowered and split by the pattern; None if it is the library's."""
         if word.isalpha():  # ASCII letters only
             return [word.lower()]
         body, end = word[:-1], word[-1:]
-        if end in b",.":
-            if body.isalpha():
-                return [body.lower(), end]
-        else:
-            body, end = word, b""
-        if word.isascii():
-            return [x.encode() for x in self.pattern.findall(word.lower().decode())]
-        text = unicodedata.normalize("NFC", body.decode("utf-8"))
-        # characters are lowered one by one, which differs for a final sigma only
-        text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
-        if text.isalpha():
-            return [text.encode(), end] if end else [text.encode()]
-        return [x.encode() for x in self.pattern.findall(text + end.decode())]
+        if end in b",." and body.isalpha():
+            return [body.lower(), end]
+        text = word.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return None
+        text = text.lower()
+        return [text.encode()] if text.isalpha() else [x.encode() for x in self.pattern.findall(text)]
 
     def _add(self, fresh: list[bytes]) -> None:
         split = [self._pieces(w) for w in fresh]
-        pieces = list({p for w in split for p in w})
+        pieces = list({p for w in split if w is not None for p in w})
         codes: dict[bytes, bytes] = {}
         if pieces:
             lengths = np.array([len(p) for p in pieces])
@@ -112,9 +114,15 @@ class WordEncoder:
             for piece, size in zip(pieces, (4 * sizes).tolist(), strict=True):
                 codes[piece] = blob[at : at + size]
                 at += size
-        words = self.words
+        words, foreign = self.words, []
         for word, own in zip(fresh, split, strict=True):
-            words[word] = codes[own[0]] if len(own) == 1 else b"".join([codes[p] for p in own])
+            if own is None:
+                foreign.append(word)
+            else:
+                words[word] = codes[own[0]] if len(own) == 1 else b"".join([codes[p] for p in own])
+        for word in foreign:
+            ids = self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            words[word] = np.array(ids, "<u4").tobytes()
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         split = [body.split() for body in bodies]  # bytes split at ASCII white space only
@@ -132,7 +140,7 @@ class WordEncoder:
         return [b"".join(map(words.__getitem__, doc)) for doc in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
 class Sequence:
@@ -254,13 +262,14 @@ class _Example:
 
 def pack(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None,
-    max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int = MAX_LOSS_TOKENS, end_id: int = END_ID,
+    max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int = MAX_LOSS_TOKENS, end_id: int = END_ID, specials_are_text: bool = False,
 ) -> DataFrame:
     """One row per piece of every row of docs. `loss_from_col` names the first loss-bearing token of a row (instruction
-    data: the length of its prompt); without it all tokens bear loss."""
+    data: the length of its prompt); without it all tokens bear loss. `specials_are_text` splits the strings of special tokens
+    like other text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(vocabulary)
+        encoder = WordEncoder.of(vocabulary, specials_are_text)
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
         # 2**33 sequences a partition; a retried task reads the same rows and numbers them alike
