@@ -4,24 +4,29 @@ A document's set holds the hashes of its distinct n-word shingles. Sets are orde
 A pair that reaches the similarity shares a shingle of both prefixes, and a shingle that only one document holds can't be
 shared, so only prefix shingles of frequency two and more are indexed: ordinary documents index nothing.
 
-1. Frequencies. Documents are dealt into chunks; a chunk sends its distinct shingle keys to the owners of key ranges as
-   sorted blocks, the owners add them up and send one byte a key back. 32-bit keys may collide, which only ever raises a
-   frequency: the order stays the same for all documents, so no pair is lost.
-2. Prefixes. Documents with equal sets become one; documents with the same indexed prefix and size become one group.
+1. Frequencies. Documents are dealt into chunks of about CHUNK_BYTES of text; a chunk sends its distinct shingle keys to the
+   owners of key ranges (RANGE_BYTES of text each) as sorted blocks, the owners add them up and send one byte a key back.
+   A block without keys isn't sent, so there are never more blocks than keys. Keys have 56 bits: two of 2**44 distinct
+   shingles (100 TB of text) seldom collide, and a collision only raises a frequency, alike for all documents.
+2. Prefixes. Equal sets become one, with a number of its own as its identity, whatever the ids of its documents; sets with
+   the same indexed prefix and size become one group.
 3. Group pairs. The groups that share a prefix shingle (a bucket) are first compared with one pivot of the bucket and size
    band. Most buckets of near copies are connected by that, and a pair of documents that are connected needs no check.
-   What stays between different components is paired group by group, under length and position filters, expanded to
-   members, held against parity bitmaps of the sets, which rule out most, and verified. So no link between different components can be lost, whatever the size of a bucket, and a bucket of
-   thousands of near copies costs some comparisons a document, not all pairs.
+   What stays between different components is paired group by group within neighbouring size bands, under length and
+   position filters, expanded to members, held against parity bitmaps of the sets, which rule out most, and verified. So no
+   link between different components can be lost, whatever the size of a bucket, and a bucket of thousands of near copies
+   costs some comparisons a document, not all pairs.
 4. Components by large-star and small-star steps.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; fewer than n words
-make one shingle of the whole sequence; rows without an id get no component; repeated ids are separate rows; an empty table
-gives an empty result; other columns are ignored.
+make one shingle of the whole sequence; repeated ids are separate rows, whether their texts are equal or not, and each gets
+its own text's component; rows without an id take part, and their component is the least id they reach, null if there is
+none; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import drop_table, read, text_bytes, write_table
+from litsieve.llm.common import drop_table, keep_rows, read, text_bytes, write_table
 from litsieve.llm.components import connected_components
 from litsieve.llm.kernel import mix, shingle_sets
 
-DOCS_PER_CHUNK = 1000
-DOCS_PER_RANGE = 4000
+CHUNK_BYTES = 8 << 20
+RANGE_BYTES = 32 << 20
+FEW_CHUNKS = 64  # so that small tables are not one task
+KEY_BITS = 56
 PIVOT_ROUNDS = 6
 BITMAP = 256
 PAIRS_PER_POSTING = 100  # another round of pivots costs more than to filter this many pairs of groups
@@ -45,29 +52,44 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _chunk_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 32-bit keys of a chunk in order, and in how many of its documents each occurs."""
+def _keys(s: np.ndarray, bits: int) -> np.ndarray:
+    return s >> np.uint64(64 - bits)
+
+
+def _chunk_keys(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a chunk in order, and in how many of its documents each occurs."""
     joined = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return np.unique((joined >> np.uint64(32)).astype(np.uint32), return_counts=True)
+    return np.unique(_keys(joined, bits), return_counts=True)
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Where each key range begins in sorted keys."""
-    edges = (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
-    return np.searchsorted(keys.astype(np.uint64), edges)
+    edges = np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64)
+    return np.searchsorted(keys, edges)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """56-bit keys as seven bytes each, the bytes of one place together."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
 
 
-def _send_keys(words: int, ranges: int):
+def _unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(7, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def _send_keys(words: int, ranges: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _chunk_keys(list(_sets(table.column("body"), words)))
+        keys, counts = _chunk_keys(list(_sets(table.column("body"), words)), bits)
         counts = np.minimum(counts, 255).astype(np.uint8)
-        cuts = _cuts(keys, ranges)
-        full = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        cuts = _cuts(keys, ranges, bits)
+        full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
         return pa.table(
             {
                 "key_range": pa.array(full, pa.int32()),
                 "chunk": pa.array(np.full(len(full), table.column("chunk")[0].as_py() if len(table) else 0), pa.int64()),
-                "sent_keys": pa.array([keys[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary()),
+                "sent_keys": pa.array([_packed(keys[cuts[r] : cuts[r + 1]]) for r in full], pa.binary()),
                 "counts": pa.array([counts[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary()),
             }
         )
@@ -76,7 +98,7 @@ def _send_keys(words: int, ranges: int):
 
 
 def _add_frequencies(table: pa.Table) -> pa.Table:
-    blocks = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("sent_keys")]
+    blocks = [_unpacked(x.as_py()) for x in table.column("sent_keys")]
     counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")])
     _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
     frequency = np.bincount(inverse, weights=counts)
@@ -96,35 +118,40 @@ def _sets(column: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(piece, words)
 
 
-def _prefixes(words: int, ranges: int, percent: int):
-    """doc_id, n (set size), signature of the set, indexed prefix, its first position, and the set where it is indexed."""
+def _prefixes(words: int, ranges: int, percent: int, bits: int):
+    """Per row n (set size), signature of the set, digest of the text, indexed prefix, its first position, and what
+    verification needs: parity bitmap and members, kept with the first row of each set in the chunk."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         sets = list(_sets(docs.column("body"), words))
-        keys, _ = _chunk_keys(sets)
-        cuts = _cuts(keys, ranges)
+        keys, _ = _chunk_keys(sets, bits)
+        cuts = _cuts(keys, ranges, bits)
         classes = np.zeros(len(keys), np.uint8)
         for r, block in zip(answers.column("key_range").to_pylist(), answers.column("classes"), strict=True):
             classes[cuts[r] : cuts[r + 1]] = np.frombuffer(block.as_py(), np.uint8)
-        sizes, signatures, prefixes, places, bitmaps, stored = [], [], [], [], [], []
+        sizes, signatures, prefixes, places, bitmaps, stored, seen = [], [], [], [], [], [], set()
         for s in sets:
             n = len(s)
-            of = classes[np.searchsorted(keys, (s >> np.uint64(32)).astype(np.uint32))].astype(np.uint64)
-            length = prefix_length(n, percent) if n else 0
-            order = (of << np.uint64(56)) | (s >> np.uint64(8))
-            ahead = np.sort(order)[:length] if of.any() else order[:0]
-            ahead = ahead[ahead >= np.uint64(1 << 56)]
             sizes.append(n)
             signatures.append(np.array([n, s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes() if n else b"")
+            ahead = np.zeros(0, np.uint64)
+            length = prefix_length(n, percent) if n else 0
+            if n and signatures[-1] not in seen:
+                seen.add(signatures[-1])
+                of = classes[np.searchsorted(keys, _keys(s, bits))].astype(np.uint64)
+                if of.any():
+                    ahead = np.sort((of << np.uint64(56)) | (s >> np.uint64(8)))[:length]
+                    ahead = ahead[ahead >= np.uint64(1 << 56)]
             prefixes.append(ahead.view(np.int64).tolist())
             places.append(length - len(ahead))
             parity = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1 if len(ahead) else np.zeros(0, np.int64)
             bitmaps.append(np.packbits(parity.astype(np.uint8)).view(np.int64).tolist())
             stored.append(s.tobytes() if len(ahead) else b"")
+        digests = [hashlib.sha256(x.as_py().lower()).digest() for x in docs.column("body")]
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"), "n": pa.array(sizes, pa.int64()), "signature": pa.array(signatures, pa.binary()),
-                "prefix": pa.array(prefixes, pa.list_(pa.int64())), "place": pa.array(places, pa.int64()),
+                "doc_id": docs.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()),
+                "signature": pa.array(signatures, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "place": pa.array(places, pa.int64()),
                 "bitmap": pa.array(bitmaps, pa.list_(pa.int64())), "members": pa.array(stored, pa.binary()),
             }
         )
@@ -157,16 +184,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "members_a", "members_b").mapInArrow(_linked(percent), "a long, b long")
 
 
-def indexed_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Steps 1 and 2: per row doc_id, n, signature, prefix (indexed shingles), place (of the first of them), members."""
-    n_docs = docs.count()
-    chunks, ranges = max(1, -(-n_docs // DOCS_PER_CHUNK)), max(12, n_docs // DOCS_PER_RANGE)
+def indexed_sets(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", key_bits: int = KEY_BITS) -> DataFrame:
+    """Steps 1 and 2: per row doc_id, digest, n, signature, prefix (indexed shingles), place (of the first of them), bitmap, members."""
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    chunks, ranges = max(FEW_CHUNKS, -(-n_bytes // CHUNK_BYTES)), max(16, -(-n_bytes // RANGE_BYTES))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)))
-    sent = slim.groupBy("chunk").applyInArrow(_send_keys(words, ranges), "key_range int, chunk long, sent_keys binary, counts binary")
+    # by its task besides, so that a row which repeats whole doesn't meet in one chunk
+    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "body", F.spark_partition_id()), F.lit(chunks)))
+    sent = slim.groupBy("chunk").applyInArrow(_send_keys(words, ranges, key_bits), "key_range int, chunk long, sent_keys binary, counts binary")
     answers = sent.groupBy("key_range").applyInArrow(_add_frequencies, "key_range int, chunk long, classes binary")
     return slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _prefixes(words, ranges, percent), "doc_id long, n long, signature binary, prefix array<long>, place long, bitmap array<long>, members binary"
+        _prefixes(words, ranges, percent, key_bits),
+        "doc_id long, digest binary, n long, signature binary, prefix array<long>, place long, bitmap array<long>, members binary",
     )
 
 
@@ -175,14 +204,15 @@ def _band(n: str, percent: int) -> F.Column:
     return F.floor(F.log(F.col(n)) / float(-np.log(percent / 100)) * (1 - 1e-9)).cast("int")
 
 
-def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def grouped_rows(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", key_bits: int = KEY_BITS) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs as doc_id, digest, n, signature, and every set's signature with its component and the least id there."""
     spark = docs.sparkSession
-    table = write_table(indexed_sets(docs, words, percent, id_col, text_col), "sets")
-    reps = table.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    owner = write_table(reps, "owners")
-    sets = table.where("size(prefix) > 0").join(owner.select(F.col("rep").alias("doc_id"), F.col("signature").alias("own")), "doc_id").where("signature = own")
-    sets = write_table(sets.select(F.col("doc_id").alias("rep"), "n", "prefix", "place", "bitmap", "members"), "indexed")
+    table = write_table(indexed_sets(docs, words, percent, id_col, text_col, key_bits).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # a set is named by a row that holds its members, if any does; rows are numbered once, in the written table
+    reps = table.where("n > 0").groupBy("signature").agg(F.min(F.struct(F.length("members") == 0, "row")).alias("first"), F.min("doc_id").alias("least"))
+    owner = write_table(reps.select("signature", F.col("first.row").alias("rep"), "least"), "owners")
+    sets = table.where("size(prefix) > 0").join(owner.select(F.col("rep").alias("row")), "row", "left_semi")
+    sets = write_table(sets.select(F.col("row").alias("rep"), "n", "prefix", "place", "bitmap", "members"), "indexed")
 
     # documents with the same indexed prefix and size are one group, named by its least member
     members = sets.select("rep", "n", "place", "bitmap", F.xxhash64("n", "prefix").alias("g"), "prefix")
@@ -193,9 +223,11 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
     postings = postings.select("shingle", "gid", "n", (F.col("place") + F.col("k")).alias("at"), _band("n", percent).alias("band"))
     # a shingle of one group alone pairs nothing but the members of that group
     postings = write_table(postings, "postings")
+    drop_table(groups)
 
     labels = members.select("rep", F.col("rep").alias("component"))
     edges, last = spark.createDataFrame([], "a long, b long"), float("inf")
+    used: list[DataFrame] = []
     for salt in range(PIVOT_ROUNDS + 1):
         state = members.join(labels, "rep").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         open_postings = postings.join(state, "gid")
@@ -203,14 +235,14 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
             buckets = open_postings.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
             main = open_postings.groupBy("shingle", "low").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
             open_postings = write_table(open_postings.join(buckets.join(main, "shingle").select("shingle", "main"), "shingle"), "open")
+            used.append(open_postings)
             aside = F.sum((~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))).cast("long"))
             sizes = open_postings.groupBy("shingle").agg(aside.alias("x"), F.count("*").alias("y"))
             pairs, rows = sizes.agg(F.sum(F.col("x") * F.col("y")), F.sum("y")).first()
             if rows is None:
                 break
             if salt == PIVOT_ROUNDS or pairs <= PAIRS_PER_POSTING * rows or pairs > 0.7 * last:
-                edges = _rest(open_postings, members, labels, sets, percent).unionByName(edges)
-                edges, labels = _labelled(edges, members)
+                edges, labels = _labelled(_rest(open_postings, members, labels, sets, percent).unionByName(edges), members, used)
                 break
             last = pairs
         # pivots: the group with the least salted hash in a bucket's size band, for that band and the next
@@ -222,31 +254,44 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
             own = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
             other = labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
             pairs = pairs.join(own, "a").join(other, "b").where("ca <> cb").select("a", "b")
-        edges = _verified(pairs, sets, percent).unionByName(edges)
-        edges, labels = _labelled(edges, members)
+        edges, labels = _labelled(_verified(pairs, sets, percent).unionByName(edges), members, used)
+
+    component = owner.join(labels, "rep", "left").select("signature", "least", F.coalesce("component", "rep").alias("component"))
+    ids = component.groupBy("component").agg(F.min("least").alias("least_id"))
+    component = write_table(component.select("signature", "component").join(ids, "component"), "found")
+    for done in (*used, sets, members, postings, owner):
+        drop_table(done)
+    return table.select("doc_id", "digest", "n", "signature"), component
 
-    component = owner.join(labels, "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "signature").join(component, "signature", "left")
-    unlinked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return rows.select("doc_id", "n_shingles", F.when(unlinked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    rows, component = grouped_rows(docs, words, percent, id_col, text_col)
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "signature").join(component, "signature", "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _labelled(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges as a table, and the component of every indexed document."""
+def _labelled(edges: DataFrame, members: DataFrame, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The edges as a table, and the component of every indexed set; tables that nothing reads any more go."""
     edges = write_table(edges, "links")
     labels = members.select("rep").join(connected_components(edges).withColumnRenamed("vertex", "rep"), "rep", "left")
-    return edges, write_table(labels.select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+    labels = write_table(labels.select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+    while used:
+        drop_table(used.pop())
+    used += [edges, labels]
+    return edges, labels
 
 
 def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different components that share a bucket: what the pivots left."""
     settled = (F.col("low") == F.col("main")) & (F.col("high") == F.col("main"))
     rows = open_postings.withColumn("settled", settled)
-    x = rows.where(~F.col("settled")).select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high")))
-    y = rows.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled")))
+    x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high")))
+    # sizes that can link lie in the same band or in neighbouring ones, so a bucket is split by bands
+    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled")))
     need = (F.col("n_x") + F.col("n_y")) * percent
     most = 1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)
-    pairs = x.join(y, "shingle").where(
+    pairs = x.join(y, ["shingle", "band"]).where(
         (F.col("settled_y") | (F.col("gid_x") <= F.col("gid_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
@@ -270,8 +315,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that name their component, with all their columns; rows without an id stay."""
-    groups = similar_groups(docs.where(F.col("doc_id").isNotNull()), words, percent)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for every component: that of the least id, and of the least text hash among
+    rows that share it; a row without an id only where none has one. Rows without words all stay, equal rows as one."""
+    rows, component = grouped_rows(docs, words, percent, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = rows.where("n > 0").groupBy("signature").agg(F.min(order).alias("first"))  # before the join: copies are many
+    first = first.join(component.select("signature", "component"), "signature").groupBy("component").agg(F.min("first").alias("first"))
+    wordless = rows.where("n = 0").select("doc_id", "digest").distinct()
+    return keep_rows(docs, first.select("first.doc_id", "first.digest").unionByName(wordless), id_col, text_col)
