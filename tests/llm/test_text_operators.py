@@ -60,6 +60,32 @@ def test_keep_first_copies(spark):
     assert kept.columns == cases.docs(spark).columns
 
 
+def test_copies_under_repeated_ids(spark):
+    rows = [(3, "beta"), (5, "beta"), (7, "Gamma"), (7, "gamma"), (3, "other"), (None, "lone"), (None, "LONE"), (None, "beta")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _digest int")
+    kept = exact_dedup.keep_first_copies(df)
+    got = sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=repr)
+    assert kept.columns == df.columns and got == sorted([(5, "beta"), (7, "gamma"), (3, "other"), (None, "lone")], key=repr)
+
+
+@pytest.mark.parametrize("spill", [1, 3000, 1 << 20])
+def test_owner_spills_subtrees(spill):
+    r = random.Random(2)
+    owner, got, most = exact_dedup.Owner(spill), defaultdict(list), 0
+    keys = [bytes(r.choice(b"abcd") for _ in range(r.randint(0, 9))) for _ in range(500)]
+    for k, key in enumerate(keys):
+        owner.insert(key, k, k, 1)
+        for text, terminal in owner.spilled():
+            got[text].append(terminal)
+        most = max(most, owner.held)
+    for text, terminal in owner.rest():
+        got[text].append(terminal)
+    assert most <= max(spill, exact_dedup.PatriciaTrie.NODE_BYTES * 2)
+    assert {k: (min(t[0] for t in v), max(t[1] for t in v), sum(t[2] for t in v)) for k, v in got.items()} == {
+        key: (keys.index(key), len(keys) - 1 - keys[::-1].index(key), keys.count(key)) for key in set(keys)
+    }
+
+
 def shingles(text, n):
     words = re.findall(rb"[^\x20\x09-\x0D]+", lowered(text))
     if len(words) >= n:
@@ -108,6 +134,40 @@ def test_jaccard_join(spark, n, percent):
     assert {tuple(r) for r in jaccard_join.similar_groups(df, n, percent).collect()} == brute_groups(rows, n, percent)
 
 
+@pytest.mark.parametrize("bits", [56, 12])
+def test_jaccard_join_with_repeated_ids(spark, bits):
+    """Ids say nothing about identity: rows may share one with other texts; short keys collide and may not lose a link."""
+    texts = [t for _, t in near_copies(8, seed=9)]
+    r = random.Random(1)
+    texts += [r.choice(texts) for _ in range(60)]  # whole copies
+    rows = [(k % 40, t) for k, t in enumerate(texts)] + [(3, texts[5])] * 20
+    brute = {k: c for k, _, c in brute_groups(list(enumerate(t for _, t in rows)), 4, 85)}
+    least = defaultdict(lambda: 10**9)
+    for k, (i, _) in enumerate(rows):
+        least[brute[k]] = min(least[brute[k]], i)
+    want = sorted((i, len(shingles(t, 4)), least[brute[k]]) for k, (i, t) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, component = jaccard_join.grouped_rows(df, 4, 85, key_bits=bits)
+    got = found.join(component, "signature").select("doc_id", "n", "least_id").collect()
+    assert sorted(map(tuple, got)) == want
+    kept = jaccard_join.keep_one_of_each(df, 4, 85).collect()
+    assert len(kept) == len(set(brute.values()))
+
+
+def test_only_shared_shingles_are_indexed(spark):
+    """Postings a document don't grow with the number of unrelated documents."""
+    r = random.Random(3)
+    for n in (100, 800):
+        rows = [(k, " ".join(f"w{r.randrange(10**9)}" for _ in range(50))) for k in range(n)]
+        sets = jaccard_join.indexed_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+        assert sets.where("size(prefix) > 0").count() == 0
+
+
+def test_packed_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    assert (jaccard_join._unpacked(jaccard_join._packed(keys)) == keys).all() and len(jaccard_join._packed(keys)) == 7000
+
+
 def test_jaccard_awkward(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(cases.docs(spark)).collect()}
     assert got[0] == (0, 0) and got[1] == (0, 1) and got[2] == (1, 2) and got[3] == (1, 2) and got[None] == (1, None)
@@ -147,8 +207,7 @@ def test_packing_awkward(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.word_vocabulary())
-    tokenizer.encode_special_tokens = True
-    rows = cases.DOCS + [(100 + k, "w " * (k % 9), "en", "x") for k in range(300)]
+    rows = cases.DOCS + [(90, "hello <|endoftext|> world<|startoftext|>x <|", "en", "x"), (91, "\u03a3\u0130x \u1e9b\u0323 \u00df\u00c4 \u00e9,e\u0301", "en", "x")] + [(100 + k, "w " * (k % 9), "en", "x") for k in range(300)]
     pieces = packing.pack(cases.docs(spark, rows).repartition(2), packing.word_vocabulary(), max_segments=5).collect()
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t, *_ in rows}
     count = defaultdict(int)
@@ -171,6 +230,39 @@ def test_packing_awkward(spark):
     assert packing.pack(cases.empty(spark), packing.word_vocabulary()).count() == 0
 
 
+def test_word_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(packing.word_vocabulary()), packing.WordEncoder(packing.word_vocabulary())
+    r = random.Random(4)
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [x.text or "" for x in cases.documents("/root/testdata/sf0.01", spark).select("text").collect()]
+    texts += ["".join(map(chr, r.choices(points, k=20))) for _ in range(2000)] + ["a" + chr(c) + "b " + chr(c) for c in points[:20_000]]
+    texts += ["<|endoftext|>", "x<|startoftext|>y", "<|end oftext|>", "<|ENDOFTEXT|>"]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(encoder.encode([t.encode() for t in texts]), want, strict=True))
+    plain = packing.WordEncoder(packing.word_vocabulary(), True).encode([b"<|endoftext|>"])[0]
+    assert len(plain) > 4 == len(encoder.encode([b"<|endoftext|>"])[0])
+
+
+def test_loss_bearing_packing_of_conversations(spark, sf):
+    """Prompts bear no loss: limits on loss-bearing tokens hold besides those on tokens and segments."""
+    from pyspark.sql import functions as F
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = turns.select(F.col("conv_id").alias("doc_id"), "text", F.when(F.col("role") == "assistant", 3).otherwise(10**6).alias("prompt"))
+    pieces = packing.pack(rows, packing.word_vocabulary(), loss_from_col="prompt", max_tokens=512, max_segments=12, max_loss_tokens=200).collect()
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append(p)
+    for own in sequences.values():
+        used = sum(p.length for p in own)
+        assert (used == 512 or used & (used - 1) == 0) and len(own) <= 12 and sum(p.loss_tokens for p in own) <= 200
+    assert sum(p.loss_tokens for p in pieces) > 0
+    whole = packing.pack(rows, packing.word_vocabulary()).collect()
+    assert sum(p.length for p in whole) == sum(p.length for p in pieces)
+
+
 def test_packing_limits():
     r = random.Random(5)
 
