@@ -3,16 +3,20 @@
 A word's embedding is the sum of four hashed rows: two independent hashes of the whole word, so that one colliding bucket
 carries only part of the evidence, and one each of its first four and six bytes. Filters of widths 1, 2 and 3 run over the
 words of the whole text; max pooling over each third of the text gives a filter three values, which are sorted, so the
-logistic layer on top can tell one hit from several. The first embedding dimension starts from the lower confidence bound
-of each bucket's log-odds, then everything is trained by Adagrad on at most `sample_rows` labelled documents and
-`sample_words` words: rows come in the order of their id's hash, whatever the layout of the table; one of more than a
-hundredth of the words gives evenly spaced windows, and one that no longer fits is passed over for the next that does.
+logistic layer on top can tell one hit from several. Embeddings, filters and the layer on top start at random and are
+trained together by Adagrad. Forwards pooling takes the maximum; backwards each third shares its gradient among its windows
+by a softmax that sharpens from epoch to epoch, as windows that aren't yet the maximum would otherwise learn nothing.
+
+The model is fitted on at most `sample_rows` labelled ids (those of least id hash, one row each) and at most `row_words`
+words of each: longer rows give evenly spaced windows from their first word to their last. These bounds hold row by row, so
+no row's length or place changes what another contributes.
 
 Thresholds are calibrated by language on a held-back fifth of the sample: the logit is shifted so that 0.5 is the best
 threshold for the language that a small naive Bayes model reads from the text (no language column is used for a score).
 
-Defined results: null counts as empty; a text without words gets the score of empty filters; without labelled rows every
-score is 0.0; repeated ids come back each; other columns are ignored.
+Defined results: null counts as empty; a text without words gets the score of empty filters; rows without an id are scored
+but never learned from; without labelled rows every score is 0.0; repeated ids come back each; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fold, labelled_sample, read, text_bytes
+from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, text_bytes
 from litsieve.llm.kernel import LOWER, mix, parts, word_hashes
 
 BUCKETS = 1 << 18
-DIMENSIONS = 6
+DIMENSIONS = 8
 FILTERS = 6
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6)
 THIRDS = 3
 LANGUAGE_BUCKETS = 1 << 15
 SAMPLE_ROWS = 10_000
-MAX_SAMPLE_WORDS = 6_000_000
+ROW_WORDS = 1_500
 THINNED_WINDOW = 64
+EPOCHS, STEPS = 4, 300  # so many epochs, and more of them where they have fewer steps than that
+SHARPNESS = (1.0, 0.1)  # temperature of the backward softmax in the first and the last epoch
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -81,54 +87,53 @@ class ConvolutionalClassifier:
 
     def __init__(self, seed: int = 1) -> None:
         r = np.random.default_rng(seed)
-        self.embedding = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-        self.filters = [r.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
-        for f in self.filters:
-            f[:, 0, :] = np.abs(f[:, 0, :]) + 0.2  # evidence counts upwards
-        self.bias = np.zeros(len(WIDTHS) * FILTERS * THIRDS, np.float32)
-        self.out = np.full(len(WIDTHS) * FILTERS * THIRDS, 0.07, np.float32)
-        self.out_bias = np.float32(-1.0)
+        n = len(WIDTHS) * FILTERS * THIRDS
+        self.embedding = r.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        self.filters = [r.normal(0, 0.5, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
+        self.bias = np.zeros(n, np.float32)
+        self.out = np.full(n, 0.1, np.float32)
+        self.out_bias = np.float32(-1.5)
         self.language = np.zeros((LANGUAGE_BUCKETS, 1), np.float32)
         self.shifts = np.zeros(1)
 
-    def pooled(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pooled values (documents x filters by thirds, largest first) and the word where each was reached (-1: none)."""
-        n_docs, m = len(first) - 1, len(codes)
-        n_filters = len(WIDTHS) * FILTERS
-        values = np.zeros((n_docs, THIRDS, n_filters), np.float32)
-        where = np.full((n_docs, THIRDS, n_filters), -1, np.int64)
-        if not m:
-            return values.reshape(n_docs, -1), where.reshape(n_docs, -1)
+    def embedded(self, codes: np.ndarray) -> np.ndarray:
         e = self.embedding[codes[:, 0]]
         for j in range(1, codes.shape[1]):
             e += self.embedding[codes[:, j]]
+        return e
+
+    def pooled(self, e: np.ndarray, first: np.ndarray, temperature: float | None = None) -> tuple[np.ndarray, tuple, list[np.ndarray]]:
+        """Greatest value of every filter in every third (documents x thirds x filters; 0 without words).
+
+        Also which third of which document each of them is with the third that each word is in, and with a temperature the
+        words' shares of the gradient by width.
+        """
         sizes = np.diff(first)
         cuts = first[:-1, None] + sizes[:, None] * np.arange(THIRDS + 1) // THIRDS
         doc, third = np.nonzero(cuts[:, 1:] > cuts[:, :-1])
         begins, ends = cuts[doc, third], cuts[doc, third + 1]
-        last = first[1:][sizes > 0]
-        for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-            z = e @ f[0]
-            for j in range(1, width):
-                z[:-j] += e[j:] @ f[j]
-            for j in range(1, width):  # windows that cross a document's end count nothing
-                z[np.maximum(last - j, 0)] = 0
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            top = np.maximum.reduceat(z, begins, axis=0)
-            values[doc, third, cols] = top
-            if self._want_where:
-                for d, t, a, b, row in zip(doc, third, begins, ends, top, strict=True):
-                    at = a + (z[a:b] == row).argmax(axis=0)
-                    where[d, t, cols] = np.where(at + width <= first[d + 1], at, -1)
-        order = np.argsort(-values, axis=1, kind="stable")
-        values, where = np.take_along_axis(values, order, 1), np.take_along_axis(where, order, 1)
-        return values.reshape(n_docs, -1), where.reshape(n_docs, -1)
-
-    _want_where = False
+        of = np.repeat(np.arange(len(begins)), ends - begins)
+        values, shares = np.zeros((len(sizes), THIRDS, len(WIDTHS) * FILTERS), np.float32), []
+        if len(e):
+            last = first[1:][sizes > 0]
+            for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+                z = e @ f[0]
+                for j in range(1, width):
+                    z[:-j] += e[j:] @ f[j]
+                for j in range(1, width):  # windows that cross a document's end count nothing
+                    z[np.maximum(last - j, 0)] = 0
+                top = np.maximum.reduceat(z, begins, axis=0)
+                values[doc, third, k * FILTERS : (k + 1) * FILTERS] = top
+                if temperature is not None:
+                    share = np.exp((z - top[of]) / temperature)
+                    for j in range(1, width):
+                        share[np.maximum(last - j, 0)] = 0
+                    shares.append(share / np.maximum(np.add.reduceat(share, begins, axis=0), 1e-9)[of])
+        return values, (doc, third, of), shares
 
     def raw_logits(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        values, _ = self.pooled(codes, first)
-        return np.maximum(values + self.bias, 0) @ self.out + self.out_bias
+        values = -np.sort(-self.pooled(self.embedded(codes), first)[0], axis=1)
+        return np.maximum(values.reshape(len(values), -1) + self.bias, 0) @ self.out + self.out_bias
 
     def languages(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Number of the likeliest language of each document."""
@@ -149,72 +154,66 @@ class ConvolutionalClassifier:
         return out
 
 
-def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Lower confidence bound of every bucket's log-odds by document frequency; 0 where there is no sure evidence."""
-    counts = np.zeros((2, BUCKETS), np.float32)
-    for codes, label in zip(docs, y, strict=True):
-        counts[int(label), np.unique(codes)] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
-    sure = odds - 2 * np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
-    return np.clip(sure, 0, 4)
+class _Trainer:
+    """Adagrad steps on a classifier."""
 
+    def __init__(self, model: ConvolutionalClassifier, rate: float = 0.05, embedding_rate: float = 0.3) -> None:
+        self.model, self.rate, self.embedding_rate = model, rate, embedding_rate
+        self.squares = [np.full(p.shape, 1e-3, np.float32) for p in (model.bias, model.out, *model.filters)]
+        self.embedding_squares = np.full((BUCKETS, 1), 1e-3, np.float32)
+        self.bias_square = 1e-3
 
-def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 6, rate: float = 0.05, batch: int = 32) -> ConvolutionalClassifier:
+    def step(self, docs: list[np.ndarray], y: np.ndarray, temperature: float) -> None:
+        model = self.model
+        codes = np.concatenate(docs)
+        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        e = model.embedded(codes)
+        values, (doc, third, of), shares = model.pooled(e, first, temperature)
+        order = np.argsort(-values, axis=1, kind="stable")
+        ranked = np.take_along_axis(values, order, 1).reshape(len(docs), -1) + model.bias
+        hidden = np.maximum(ranked, 0)
+        error = (1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30))) - y).astype(np.float32) / len(docs)
+        back = error[:, None] * model.out * (ranked > 0)
+        gradients = [back.sum(axis=0), hidden.T @ error]
+        by_third = np.empty_like(values)
+        np.put_along_axis(by_third, order, back.reshape(values.shape), 1)
+        de = np.zeros_like(e)
+        for k, (width, f) in enumerate(zip(WIDTHS, model.filters, strict=True)):
+            g = by_third[doc, third, k * FILTERS : (k + 1) * FILTERS][of] * shares[k] if shares else np.zeros((0, FILTERS), np.float32)
+            own = np.zeros_like(f)
+            for j in range(width if len(g) else 0):
+                own[j] = e[j:].T @ g[: len(g) - j]
+                de[j:] += g[: len(g) - j] @ f[j].T
+            gradients.append(own)
+        for p, g, s in zip((model.bias, model.out, *model.filters), gradients, self.squares, strict=True):
+            s += g * g
+            p -= self.rate * g / np.sqrt(s)
+        total = float(error.sum())
+        self.bias_square += total * total
+        model.out_bias = np.float32(model.out_bias - self.rate * total / np.sqrt(self.bias_square))
+        weight = np.abs(de).max(axis=1, initial=0)
+        strong = np.flatnonzero(weight > 1e-3 * weight.max(initial=0))  # the rest moves nothing
+        if len(strong):
+            rows, inverse = np.unique(codes[strong].ravel(), return_inverse=True)
+            g = np.zeros((len(rows), DIMENSIONS), np.float32)
+            np.add.at(g, inverse, np.repeat(de[strong], codes.shape[1], axis=0))
+            self.embedding_squares[rows] += (g * g).sum(axis=1, keepdims=True)
+            model.embedding[rows] -= self.embedding_rate * g / np.sqrt(self.embedding_squares[rows])
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int | None = None, batch: int = 32) -> ConvolutionalClassifier:
     """Train on word codes (one array a document), labels, and languages for the calibration."""
     model = ConvolutionalClassifier()
-    n = len(docs)
-    held = np.zeros(n, bool)
-    if n >= 50:
+    held = np.zeros(len(docs), bool)
+    if len(docs) >= 50:
         held[4::5] = True
     use = np.flatnonzero(~held)
-    model.embedding[:, 0] = _log_odds([docs[k] for k in use], y[use])
-    parameters = [model.bias, model.out, *model.filters]
-    squares = [np.full(p.shape, 1e-4, np.float32) for p in parameters]
-    embedding_squares = np.full(BUCKETS, 1e-2, np.float32)
-    bias_square = 1e-4
-    order = np.random.default_rng(2)
-    model._want_where = True
-    for _ in range(epochs):
-        for at in np.array_split(order.permutation(use), max(1, len(use) // batch)):
-            codes = np.concatenate([docs[k] for k in at])
-            first = np.concatenate([[0], np.cumsum([len(docs[k]) for k in at])])
-            values, where = model.pooled(codes, first)
-            active = (values + model.bias > 0) & (where >= 0)
-            hidden = np.maximum(values + model.bias, 0)
-            error = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30))) - y[at]
-            error = (error / len(at)).astype(np.float32)
-            back = error[:, None] * model.out * active
-            grads = [back.sum(axis=0), hidden.T @ error]
-            touched, steps = [], []
-            for k, (width, f) in enumerate(zip(WIDTHS, model.filters, strict=True)):
-                g = np.zeros_like(f)
-                for col in [t * len(WIDTHS) * FILTERS + k * FILTERS + c for t in range(THIRDS) for c in range(FILTERS)]:
-                    c = col % FILTERS
-                    on = np.flatnonzero(active[:, col])
-                    for j in range(width):
-                        pos = where[on, col] + j
-                        ok = pos < first[on + 1]
-                        four = codes[pos[ok]]
-                        e = model.embedding[four].sum(axis=1)
-                        weight = back[on[ok], col][:, None]
-                        g[j, :, c] += (weight * e).sum(axis=0)
-                        touched.append(four.ravel())
-                        steps.append(np.repeat(weight * f[j, :, c], 4, axis=0))
-                grads.append(g)
-            for p, g, s in zip(parameters, grads, squares, strict=True):
-                s += g * g
-                p -= rate * g / np.sqrt(s)
-            total = float(error.sum())
-            bias_square += total * total
-            model.out_bias = np.float32(model.out_bias - rate * total / np.sqrt(bias_square))
-            if touched:
-                rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                g = np.zeros((len(rows), DIMENSIONS), np.float32)
-                np.add.at(g, inverse, np.concatenate(steps))
-                embedding_squares[rows] += (g * g).sum(axis=1)
-                model.embedding[rows] -= 0.5 * rate * g / np.sqrt(embedding_squares[rows])[:, None]
-    model._want_where = False
+    steps = max(1, len(use) // batch)
+    epochs = max(EPOCHS, -(-STEPS // steps)) if epochs is None else epochs
+    trainer, order = _Trainer(model), np.random.default_rng(2)
+    for temperature in np.geomspace(*SHARPNESS, epochs) if epochs else ():
+        for at in np.array_split(order.permutation(use), steps):
+            trainer.step([docs[k] for k in at], y[at], temperature)
     _fit_languages(model, docs, langs)
     _calibrate(model, docs, y, np.flatnonzero(held) if held.any() else use)
     return model
@@ -236,9 +235,13 @@ def _calibrate(model: ConvolutionalClassifier, docs: list[np.ndarray], y: np.nda
 
     Within the widest such gap it lies nearer the class whose logits spread less.
     """
-    codes = np.concatenate([docs[k] for k in rows])
-    first = np.concatenate([[0], np.cumsum([len(docs[k]) for k in rows])])
-    logits, lang = model.raw_logits(codes, first), model.languages(codes, first)
+    logits, lang = [], []
+    for some in np.array_split(rows, max(1, len(rows) // 64)):
+        codes = np.concatenate([docs[k] for k in some])
+        first = np.concatenate([[0], np.cumsum([len(docs[k]) for k in some])])
+        logits.append(model.raw_logits(codes, first))
+        lang.append(model.languages(codes, first))
+    logits, lang = np.concatenate(logits), np.concatenate(lang)
     model.shifts = np.zeros(model.language.shape[1])
     everywhere = _threshold(logits, y[rows])
     for k in range(len(model.shifts)):
@@ -282,26 +285,17 @@ def _sample_codes(most: int):
     return run
 
 
-def draw_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, sample_words: int) -> list[tuple[int, int, str | None, np.ndarray]]:
-    """(doc_id, label, lang, word codes) of the rows to fit on, by id; never empty while a labelled document exists."""
-    sample = labelled_sample(docs, labels, label, sample_rows)
-    langs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
-    chosen = labelled_sample(docs, labels, label, sample_rows).select("doc_id")
-    langs = langs.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    sample = sample.join(F.broadcast(langs), "doc_id").select("doc_id", "y", "lang", "body")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("body"))
-    rows, left = [], sample_words
-    for r in sample.mapInArrow(_sample_codes(max(1, sample_words // 100)), "doc_id long, y int, lang string, codes binary").toLocalIterator():
-        codes = np.frombuffer(r.codes, np.int32).reshape(-1, 4)
-        if len(codes) <= left or not rows:
-            left -= len(codes)
-            rows.append((r.doc_id, r.y, r.lang, codes))
-    return sorted(rows, key=lambda r: (r[0], len(r[3])))
-
-
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = MAX_SAMPLE_WORDS) -> ConvolutionalClassifier | None:
-    """Fit on at most sample_rows labelled documents and sample_words words outside fold 0 of 5; None without any label."""
-    rows = draw_sample(docs, labels, label, sample_rows, sample_words)
+def draw_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, row_words: int) -> list[tuple[int, int, str | None, np.ndarray]]:
+    """(doc_id, label, lang, word codes) of the rows to fit on, by id; one job, whatever the number of partitions."""
+    sample = labelled_sample(docs, labels, label, sample_rows, F.col("lang").cast("string").alias("lang")).select("doc_id", "y", "lang", "body")
+    coded = sample.mapInArrow(_sample_codes(row_words), "doc_id long, y int, lang string, codes binary")
+    rows = one_row_an_id(coded.withColumn("by", F.xxhash64("codes", "lang")), "by").select("doc_id", "y", "lang", "codes").collect()
+    return sorted(((r.doc_id, r.y, r.lang, np.frombuffer(r.codes, np.int32).reshape(-1, 2 + len(PREFIXES))) for r in rows), key=lambda r: r[0])
+
+
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, row_words: int = ROW_WORDS) -> ConvolutionalClassifier | None:
+    """Fit on at most sample_rows labelled documents outside fold 0 of 5, row_words words each; None without any label."""
+    rows = draw_sample(docs, labels, label, sample_rows, row_words)
     if not rows:
         return None
     return fit([r[3] for r in rows], np.array([r[1] for r in rows], np.float32), [r[2] for r in rows])
@@ -309,7 +303,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic",
 
 def score_toxicity(docs: DataFrame, model: ConvolutionalClassifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row of docs, from its whole text."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 x 6 floats, whatever the corpus size
+    handle = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 x 8 floats, whatever the corpus size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
