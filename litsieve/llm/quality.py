@@ -3,10 +3,12 @@
 score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), linear in the number of
 non-zero features by the sum-of-squares identity. Features: distinct lower-cased words hashed to 2**18 buckets with
 log-scaled, unit-length counts, and one indicator per binned statistic (capitals, symbols, digits, repeated words,
-lengths and so on). Weights are fitted with Adagrad on at most `sample_rows` labelled documents; every text is scored whole.
+lengths and so on). Weights are fitted with Adagrad on at most `sample_rows` labelled ids (those of least id hash, one row
+each) and at most `row_words` distinct words of each (those of least bucket number); every text is scored whole.
 
-Defined results: null counts as empty; empty text gets the score of its statistics alone; without any labelled row every
-score is 0.5; with one class only, scores lean to it; repeated ids come back each; other columns are ignored.
+Defined results: null counts as empty; empty text gets the score of its statistics alone; rows without an id are scored but
+never learned from; without any labelled row every score is 0.5; with one class only, scores lean to it; repeated ids come
+back each; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fold, labelled_sample, read, text_bytes
-from litsieve.llm.kernel import parts, word_hashes, word_spans
+from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, text_bytes
+from litsieve.llm.kernel import SEGMENT, parts, word_hashes, word_spans
 
 WORD_BUCKETS = 1 << 18
 BINS = 17
@@ -27,44 +29,48 @@ STATISTICS = 12
 FEATURES = WORD_BUCKETS + STATISTICS * BINS
 RANK = 4
 SAMPLE_ROWS = 6000
+ROW_WORDS = 8192
 THRESHOLD = 0.3
 
-_CLASS = np.zeros((256, 5), np.int64)  # upper case, lower case or non-ASCII, digit, odd symbol, line end
-_CLASS[65:91, 0] = 1
-_CLASS[97:123, 1] = 1
-_CLASS[128:, 1] = 1
-_CLASS[48:58, 2] = 1
-for _c in b"!\"#$%&*+/<=>@[\\]^_`{|}~":
-    _CLASS[_c, 3] = 1
-_CLASS[10, 4] = 1
-_ODD = _CLASS[:, 3] > 0
+#: upper case, lower case or non-ASCII, digit, odd symbol, line end
+_CLASSES = 5
+_CLASS = np.full(256, _CLASSES, np.uint8)
+_CLASS[65:91] = 0
+_CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
+_CLASS[list(b"!\"#$%&*+/<=>@[\\]^_`{|}~")] = 3
+_CLASS[10] = 4
+_ODD = _CLASS == 3
+
+
+def _class_counts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+    """Bytes of each class by document, a segment at a time."""
+    return [
+        sum((np.bincount(_CLASS[data[at : min(b, at + SEGMENT)]], minlength=_CLASSES + 1)[:_CLASSES] for at in range(a, b, SEGMENT)), np.zeros(_CLASSES, np.int64)).tolist()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    ]
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each document its feature numbers and values."""
     starts, ends, first = word_spans(data, offsets)
-    buckets = (word_hashes(data, starts, ends) >> np.uint64(46)).astype(np.int64)
+    buckets = (word_hashes(data, starts, ends) >> np.uint64(46)).astype(np.int32)
     n_docs = len(offsets) - 1
-    totals = np.zeros((len(data) + 1, 5), np.int64)
-    np.cumsum(_CLASS[data], axis=0, out=totals[1:])
-    per_doc = totals[offsets[1:]] - totals[offsets[:-1]]
-    repeats = np.zeros(len(buckets) + 1, np.int64)
-    if len(buckets) > 1:
-        repeats[2:] = np.cumsum(buckets[1:] == buckets[:-1])
-    odd_end = np.zeros(len(buckets) + 1, np.int64)
-    lone = np.zeros(len(buckets) + 1, np.int64)
+    per_doc = _class_counts(data, offsets)
+    repeats, odd_end, lone = (np.zeros(len(buckets) + 1, np.int32) for _ in range(3))
     if len(buckets):
+        repeats[2:] = np.cumsum(buckets[1:] == buckets[:-1])
         odd_end[1:] = np.cumsum(_ODD[data[ends - 1]])
         lone[1:] = np.cumsum((ends - starts == 1) & _ODD[data[starts]])
     for d in range(n_docs):
         a, b = first[d], first[d + 1]
         n, size = int(b - a), int(offsets[d + 1] - offsets[d])
         index, counts = np.unique(buckets[a:b], return_counts=True)
-        upper, lower, digit, odd, lines = per_doc[d].tolist()
+        upper, lower, digit, odd, lines = per_doc[d]
         words = max(1, n)
         stats = (
             upper / max(1, upper + lower), odd / max(1, size), digit / max(1, size), lines / words, (upper + lower) / max(1, size),
-            (repeats[b] - repeats[min(a + 1, b)]) / words, len(index) / words, (counts.max() if n else 0) / words,
+            int(repeats[b] - repeats[min(a + 1, b)]) / words, len(index) / words, (counts.max() if n else 0) / words,
             (odd_end[b] - odd_end[a]) / words, (lone[b] - lone[a]) / words, min(1.0, size / words / 20) ** 2, (min(1.0, np.log1p(n) / 12)) ** 2,
         )
         extra = [WORD_BUCKETS + k * BINS + min(BINS - 1, int(np.sqrt(max(0.0, v)) * (BINS - 1) + 0.5)) for k, v in enumerate(stats)]
@@ -108,21 +114,26 @@ class FactorisationMachine:
         return self
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        index, values = [], []
-        for _, _, data, offsets in parts(batch.column(2)):
-            for i, x in features(data, offsets):
-                index.append(i.astype(np.int32).tobytes())
-                values.append(x.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "buckets", "shares"])
+def _sample_features(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, values = [], []
+            for _, _, data, offsets in parts(batch.column(2)):
+                for i, x in features(data, offsets):
+                    some = np.r_[: min(most, len(i) - STATISTICS), len(i) - STATISTICS : len(i)]
+                    index.append(i[some].astype(np.int32).tobytes())
+                    values.append(x[some].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "buckets", "shares"])
+
+    return run
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine | None:
-    """Fit on at most sample_rows labelled documents whose crc32 fold of 5 is not 0; None without any."""
+def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, row_words: int = ROW_WORDS) -> FactorisationMachine | None:
+    """Fit on at most sample_rows labelled documents whose crc32 fold of 5 is not 0, row_words words each; None without any."""
     sample = labelled_sample(docs, labels, label, sample_rows).select("doc_id", "y", "body")
-    rows = sample.mapInArrow(_sample_features, "doc_id long, y int, buckets binary, shares binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.buckets))
+    coded = sample.mapInArrow(_sample_features(row_words), "doc_id long, y int, buckets binary, shares binary")
+    rows = one_row_an_id(coded.withColumn("by", F.xxhash64("buckets", "shares")), "by").collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     if not rows:
         return None
     return FactorisationMachine().fit([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.y) for r in rows])
