@@ -146,9 +146,47 @@ def test_factorisation_machine_identity():
     assert m.logit(index, x) == pytest.approx(float(m.w[index] @ x) + pairs, abs=1e-5)
 
 
+def test_character_grams(monkeypatch):
+    text = "Abc \u041f\u0440\u0418 \u6f22\u5b57\u4e2d \U0001f600z" * 40
+    data = np.frombuffer(text.encode(), np.uint8)
+    (whole,) = language_id.gram_buckets(data)
+    assert len(whole) == 2 * len(text) - 3
+    (small,) = language_id.gram_buckets(np.frombuffer(text.lower().encode(), np.uint8))
+    assert (whole == small).all()
+    index, counts = language_id.gram_counts(data)
+    for block in (7, 64):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        pieces = np.concatenate(list(language_id.gram_buckets(data)))
+        assert sorted(pieces.tolist()) == sorted(whole.tolist())
+    monkeypatch.setattr(language_id, "BUCKETS", 1 << 16)
+    again = language_id.gram_counts(data)
+    assert (again[0] == index).all() and (again[1] == counts).all()
+
+
+def test_language_scores_by_brute_force():
+    """The score of a document as the sum over its n-grams of share x inverse frequency x weight, one by one."""
+    r = np.random.default_rng(1)
+    weights, idf = r.normal(size=(3, language_id.BUCKETS)), r.uniform(0, 3, language_id.BUCKETS)
+    model = language_id.LanguageModel(["a", "b", "c"], weights * idf * 30, np.array([0.1, 0.0, -0.1]), 1.7, idf)
+    for text in ("ab", "Some words here", "\u0395\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03ac " * 30):
+        data = np.frombuffer(text.encode(), np.uint8)
+        grams = np.concatenate(list(language_id.gram_buckets(data))).tolist()
+        logits = [sum(grams.count(g) / len(grams) * idf[g] * 30 * weights[k, g] for g in set(grams)) + model.bias[k] for k in range(3)]
+        p = np.exp((np.array(logits) - max(logits)) / 1.7)
+        language, score, _ = model.predict(data)
+        assert language == "abc"[int(p.argmax())] and score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+
+
+def test_foreign_text_is_not_identified(spark):
+    """Text in no learned language goes, whatever the best of the learned ones is; the learned languages stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = [(10**6 + k, t * 20) for k, t in enumerate(["\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u0438 \u0432\u0441\u0435\u043c. ", "\u6f22\u5b57\u6587\u5316\u5713\u4e2d\u570b\u8a71\u8a9e\u8a00", "xqzj wvkq zzxq jjqx kkwv "])]
+    extra = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in foreign], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_identified(docs.unionByName(extra)).select("doc_id").collect()}
+    assert not kept & {i for i, _ in foreign} and len(kept) >= 0.99 * docs.where("text rlike '[a-zA-Z]'").count()
+
+
 def test_scores_read_whole_texts():
-    grams = list(language_id.gram_buckets(np.frombuffer(b"abcdef" * 1000 + b"zz", np.uint8), np.array([0, 6002])))
-    assert len(grams[0]) == 6001 + 6000
     codes, first = toxicity.word_codes(np.frombuffer(b"one two three one", np.uint8), np.array([0, 17]))
     assert first.tolist() == [0, 4] and codes[0].tolist() == codes[3].tolist()
     values = list(quality.features(np.frombuffer(b"A a b", np.uint8), np.array([0, 5])))
