@@ -38,7 +38,7 @@ from litsieve.llm.common import drop_table, read, write_table
 from litsieve.llm.components import connected_components
 
 THRESHOLD = 0.93
-WINDOW = 64
+WINDOW = 32
 MISSED = 0.01
 KEY_BITS = 62
 SKETCH = 256
@@ -262,6 +262,7 @@ def _pass_rows(classes: DataFrame, means: DataFrame, plan: DataFrame, kind: str,
     own, inside = F.floor(F.col("position") / BLOCK).cast("long"), F.col("position") % BLOCK
     blocks = F.array_compact(F.array(own, F.when(inside >= BLOCK - window, own + 1), F.when((inside < window) & (own > 0), own - 1)))
     dealt = placed_at.withColumn("block", F.explode(blocks)).join(plan.select("label", "size", "end"), ["label", "size"])
+    dealt = dealt.repartition(*by, "block")  # or the join's partitioning by label would do for Spark
     found = dealt.groupBy(*by, "block").applyInArrow(_windows(threshold, window, sketch_limit(threshold)), _FOUND)
     found = write_table(found, "windows")
     drop_table(placed)
@@ -430,6 +431,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     dealt = members.join(groups, by).withColumn("g", F.pmod(F.xxhash64("key"), F.col("groups")))
     dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     cells = dealt.select(*by, F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "g", "key", "copies", "vector")
+    cells = cells.repartition(*by, "low", "high")  # every cell a group of its own: the join's partitioning by owner isn't enough
     found = write_table(cells.groupBy(*by, "low", "high").applyInArrow(_cell(kind, threshold), "a long, b long, n long"), "cells")
     inside = connected_components(found.where("b is not null").select("a", "b"))
     component = write_table(inside.unionByName(joined.join(inside.select("vertex"), "vertex", "left_anti")), "components")
