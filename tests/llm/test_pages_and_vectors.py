@@ -1,5 +1,7 @@
 """HTML extraction and embedding near-dedup."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -53,17 +55,79 @@ def test_open_pages(spark):
     menu = "<div>" + " ".join(f"item{k}" for k in range(12)) + "</div>"
     rows = [(k, f"https://h.example/{k}", f"{menu}<div>own text of page {k} with words {' '.join(f'u{k}x{j}' for j in range(12))}</div>") for k in range(6)]
     rows += [(10, "https://other.example/1", menu + "<div>alone</div>"), (11, None, None), (12, "::bad", ""), (13, "https://h.example/a", "<article>kept item0</article>")]
-    for shard in (2, 100):
+    rows += [(14, None, f"<div>{menu}</div>"), (15, "no host", f"<div>{menu}</div>")]  # share no host with anything
+    for shard in (20, 500_000):
         df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string").repartition(3)
-        got = sorted((r.page_id, r.text, r.n_chars) for r in H.extract(df, pages_per_shard=shard).collect())
-        assert len(got) == 11
-        texts = dict((i, t) for i, t, _ in got)
+        got = sorted(((r.page_id, r.text, r.n_chars) for r in H.extract(df, tokens_per_shard=shard).collect()), key=repr)
+        assert len(got) == 13
+        texts = {i: t for i, t, _ in got}
         assert all(texts[k].startswith(f"own text of page {k}") and "item" not in texts[k] for k in range(6))
         assert texts[10].endswith("\nalone") and texts[11] == texts[12] == "" and texts[13] == "kept item0"
+        assert texts[14] == texts[15] == " ".join(f"item{k}" for k in range(12))
         assert all(n == len(t) for _, t, n in got)
     assert H.extract(df.limit(0)).count() == 0
 
 
+def covered_by_brute_force(bodies, n, pages):
+    """Which tokens of each body lie in a run of n tokens that as many distinct bodies hold."""
+    flat = [tuple(w for b in body for w in b.split()) for body in bodies]
+    held = {}
+    for k, words in enumerate(flat):
+        for i in range(len(words) - n + 1):
+            held.setdefault(words[i : i + n], set()).add(k)
+    out = []
+    for words in flat:
+        gone = [False] * len(words)
+        for i in range(len(words) - n + 1):
+            if len(held[words[i : i + n]]) >= pages:
+                gone[i : i + n] = [True] * n
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [3000, 500_000])
+def test_real_pages_without_marks(spark, sf, shard):
+    """The supplied pages with every mark taken off, so that the arrays decide all of them, against brute force."""
+    rows = []
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        page = p.html
+        for tag in ("article", "nav", "footer"):
+            page = page.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        rows.append((p.page_id, "https://one.example/" if p.page_id % 3 else "https://two.example/", page.replace('<div class="ad">', "<div>")))
+    rows += [(10**6 + i, u, h) for i, u, h in rows[:5]]  # equal bodies
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), tokens_per_shard=shard).collect()}
+    changed = 0
+    for host in {u for _, u, _ in rows}:
+        bodies = {i: tuple(t for t, _ in H.blocks(h)) for i, u, h in rows if u == host}
+        distinct = sorted(set(bodies.values()))
+        gone = dict(zip(distinct, covered_by_brute_force(distinct, H.MIN_RUN, H.MIN_PAGES), strict=True))
+        for i, body in bodies.items():
+            at, kept = 0, []
+            for block in body:
+                words = block.split()
+                marks = "".join("x" if x else "." for x in gone[body][at : at + len(words)])
+                marks = re.sub(r"^x+$", lambda m: "-" * len(m[0]), re.sub(f"x{{{H.MIN_RUN},}}", lambda m: "-" * len(m[0]), marks))
+                kept.append(" ".join(w for w, x in zip(words, marks, strict=True) if x != "-"))
+                at += len(words)
+            assert got[i] == "\n".join(k for k in kept if k)
+            changed += any(gone[body])
+    assert changed > 0 and len(got) == len(rows)
+
+
+def test_unique_runs_of_a_block_stay(spark):
+    same = " ".join(f"w{k}" for k in range(20))
+    rows = [(k, "https://h.example/", f"<div>{same} " + " ".join(f"own{k}x{j}" for j in range(8)) + "</div>") for k in range(3)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: " ".join(f"own{k}x{j}" for j in range(8)) for k in range(3)}
+
+
+def test_pages_awkward(spark):
+    rows = [(None, None, None), (1, "", "<article>" + "long words here " * 200_000 + "</article>"), (1, "", "<article>same id</article>"), (2, "https://h.example/", None)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "page_id long, url string, html string, text string, host int")
+    got = sorted(((r.page_id, r.n_chars) for r in H.extract(df).collect()), key=repr)
+    assert got == sorted([(None, 0), (1, 16 * 200_000 - 1), (1, 7), (2, 0)], key=repr)
+
+
 def brute(rows, threshold):
     ok = {k: np.array(v, float) for k, label, v in rows if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.linalg.norm(v) > 0}
     label = {k: l for k, l, _ in rows}
@@ -200,6 +264,13 @@ def test_blocks_of_an_article(case):
     assert H.blocks(f"<body><article>{inside}</article><svg><text>out</text></svg><button>out</button></body>") == want
 
 
+@pytest.mark.parametrize("page", ['<h2 id="ad-hoc-methods">a b</h2>', '<h2 id="search-results">a b</h2>', '<div class="related-work">a b</div>', '<p class="share-price">a b</p>', '<div id="ad-hoc">a b</div>'])
+def test_parts_of_names_are_no_marks(spark, page):
+    for body in (f"<article><p>x</p>{page}</article>", f"<p>x</p>{page}"):
+        df = spark.createDataFrame([(1, "https://h.example/", body)], "page_id long, url string, html string")
+        assert H.extract(df).first().text == "x\na b"
+
+
 def test_doubtful_blocks_go_only_if_repeated(spark):
     def page(k, doubtful):
         return f"<article><p>text {k}</p><div class=notice>{doubtful}</div><p>end</p></article><p>outside</p>"
