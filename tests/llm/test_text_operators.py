@@ -325,15 +325,44 @@ def test_pair_merger():
     assert out.tolist() == [3, 5, 4, 1] and sizes.tolist() == [1, 1, 2]
 
 
+def rendered(rows, speaker):
+    """One speaker's rendering, message by message."""
+    seen, messages = set(), []
+    for turn, role, text in sorted(((t, r or "unknown", x or "") for _, t, r, x in rows), key=lambda m: (m[0] is not None, m[0] or 0, m[1].encode(), m[2].encode())):
+        if turn is None or (turn, role, text) not in seen:
+            seen.add((turn, role, text))
+            messages.append((role, text))
+    out, mask, spans = "", "", []
+    for role, text in messages:
+        out += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == speaker else f"<|user:{role.replace('<|', '< |')}|>\n"
+        begin, out = len(out), out + text.replace("<|", "< |") + "<|end|>\n"
+        mask += "1" if role == speaker else "0"
+        spans += [f"{begin}-{len(out) - 1}"] if role == speaker else []
+    return out, len(messages), mask, ",".join(spans), sum(int(s.split("-")[1]) - int(s.split("-")[0]) for s in spans)
+
+
 def test_chat(spark):
-    rows = [(1, 0, "system", "Be <|end|> kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 1, "ann", "lost"), (1, None, "ann", "first"), (3, 600, "user", "late"), (3, 1, "assistant", "early")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.part, r.speaker): r for r in chat_perspectives.perspectives(df).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (3, 0, "user"), (3, 1, "user"), (3, 0, "assistant"), (3, 1, "assistant")}
-    r = got[1, 0, "bob"]
-    assert r.text == "<|user:ann|>\nfirst<|end|>\n<|system|>\nBe < |end|> kind<|end|>\n<|user:ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n<|user:unknown|>\nx<|end|>\n"
-    assert r["mask"] == "00010" and r.n_messages == 5
-    ann = got[1, 0, "ann"]
-    spans = [tuple(map(int, s.split("-"))) for s in ann.loss_spans.split(",")]
-    assert [ann.text[a:b] for a, b in spans] == ["first<|end|>", "hi<|end|>"] and ann.loss_chars == sum(b - a for a, b in spans)
+    rows = [(1, 0, "system", "Be <|end|> kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 1, "ann", "lost"), (1, None, "ann", "first"), (1, None, "ann", "first"), (3, 600, "user", "late"), (3, 1, "assistant", "early")]
+    rows += [(4, 7, r, t) for k in range(300) for r, t in (("ann", f"same turn {k}"), ("<|b|>", "\u6f22\u5b57 \U0001f600" * 9))]  # one turn number for all
+    rows += [(5, 0, "system", "rules")] + [(5, k, "ann" if k % 2 else "bob", f"turn {k}") for k in range(1, 1100)] + [(6, 1, "ann", cases.LONG), (6, 2, "bob", cases.LONG)]
+    df = spark.createDataFrame([(*r, 0, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, part int, copies int, speaker string")
+    got = {(r.conv_id, r.speaker): (r.text, r.n_messages, r["mask"], r.loss_spans, r.loss_chars) for r in chat_perspectives.perspectives(df).collect()}
+    by_id = defaultdict(list)
+    for r in rows:
+        if r[0] is not None:
+            by_id[r[0]].append(r)
+    want = {(i, s): rendered(own, s) for i, own in by_id.items() for s in {r[2] or "unknown" for r in own} - {"system"}}
+    assert got == want
+    assert got[1, "ann"][2] == "110100" and got[5, "ann"][1] == 1100 and got[5, "ann"][0].startswith("<|system|>\nrules")
     assert chat_perspectives.perspectives(df.limit(0)).count() == 0
+
+
+def test_chat_in_parts(spark):
+    rows = [(5, 0, "system", "rules")] + [(5, k, "ann" if k % 2 else "bob", f"turn {k}") for k in range(1, 1100)]
+    got = {(r.part, r.speaker): r for r in chat_perspectives.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=512).collect()}
+    assert set(got) == {(p, s) for p in range(3) for s in ("ann", "bob")}
+    for r in got.values():
+        spans = [tuple(map(int, s.split("-"))) for s in r.loss_spans.split(",")]
+        assert r.text.startswith("<|system|>\nrules<|end|>\n") and all(r.text[a:b].startswith("turn ") and r.text[:a].endswith("<|assistant|>\n") for a, b in spans)
+        assert r.loss_chars == sum(b - a for a, b in spans)
+    assert sum(r.n_messages for (_, s), r in got.items() if s == "ann") == 1100 + 2
