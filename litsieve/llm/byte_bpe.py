@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _bucket(text: str) -> int:
-    """Polynomial hash of Latin-1 characters, as `_bucket_column` computes it."""
-    h = 0
-    for ch in text.encode("latin-1"):
-        h = (h * 31 + ch) % (MAP_BUCKETS * 65536)
-    return h % MAP_BUCKETS
+    """crc32 of the text, as `F.crc32` computes it."""
+    return zlib.crc32(text.encode()) % MAP_BUCKETS
 
 
 def _literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
@@ -70,9 +68,7 @@ def _literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
 
 
 def _rank(rank_map: Column, text: Column) -> Column:
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % (MAP_BUCKETS * 65536))
-    return F.try_element_at(F.element_at(rank_map, (h % MAP_BUCKETS + 1).cast("int")), text)
+    return F.try_element_at(F.element_at(rank_map, (F.crc32(text.cast("binary")) % MAP_BUCKETS + 1).cast("int")), text)
 
 
 def _fold(rank_map: Column, word: Column) -> Column:
@@ -86,21 +82,23 @@ def _fold(rank_map: Column, word: Column) -> Column:
         joined = F.concat(F.slice(parts, 1, at - 1), F.slice(pairs, at, F.lit(1)), F.slice(parts, at + 2, F.size(parts)))
         return F.when(F.coalesce(at, F.lit(0)) > 0, joined).otherwise(parts)
 
-    steps = F.when(F.size(start) > 1, F.sequence(F.lit(2), F.size(start))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.aggregate(steps, start, step), lambda p: _rank(rank_map, p))
+    whole = _rank(rank_map, word)  # a word that is a token stays whole, whatever its merges
+    steps = F.when(whole.isNull() & (F.size(start) > 1), F.sequence(F.lit(2), F.size(start))).otherwise(F.array().cast("array<int>"))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.aggregate(steps, start, step), lambda p: _rank(rank_map, p)))
 
 
 def encode_native(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, decoded for every row of docs."""
+    """doc_id, ids, decoded for every row of docs: the distinct words of the table are folded once and joined back."""
     rank_map, pieces = _literals(ranks)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(JAVA_PATTERN), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    rows = rows.withColumn("distinct_words", F.array_distinct("words"))
-    rows = rows.withColumn("codes", F.transform("distinct_words", lambda w: _fold(rank_map, F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))))
-    ids = F.flatten(F.transform("words", lambda w: F.element_at(F.col("codes"), F.array_position("distinct_words", w).cast("int"))))
-    rows = rows.select("doc_id", ids.alias("ids"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    used = rows.select("row", F.posexplode("words").alias("at", "word"))
+    folded = used.select("word").distinct().select("word", _fold(rank_map, F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")).alias("codes"))
+    placed = used.join(folded, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "codes"))).alias("placed"))
+    ids = F.coalesce(F.flatten(F.transform("placed", lambda p: p["codes"])), F.array().cast("array<int>"))
+    out = rows.select("doc_id", "row").join(placed, "row", "left").select("doc_id", ids.alias("ids"))
     decoded = F.aggregate(F.transform("ids", lambda i: F.element_at(pieces, i + 1)), F.lit(b""), lambda a, b: F.concat(a, b))
-    return rows.select("doc_id", "ids", decoded.alias("decoded"))
+    return out.select("doc_id", "ids", decoded.alias("decoded"))
 
 
 class RankEncoder:
