@@ -18,6 +18,7 @@ gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,7 +40,7 @@ OPEN_SEQUENCES = 24
 CACHED_WORDS = 350_000
 
 #: Words of visible ASCII and the letters of Latin-1: each of these letters has one lower form and no parts to compose.
-_PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
@@ -93,11 +94,18 @@ class WordEncoder:
         body, end = word[:-1], word[-1:]
         if end in b",." and body.isalpha():
             return [body.lower(), end]
+        body, end = (body, [end]) if end in b",." else (word, [])
+        text = body.decode("utf-8", "replace")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if text.isalpha():
+            return [text.lower().encode(), *end]
         text = word.decode("utf-8", "replace")
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return None
-        text = text.lower()
-        return [text.encode()] if text.isalpha() else [x.encode() for x in self.pattern.findall(text)]
+        return [x.encode() for x in self.pattern.findall(text.lower())]
 
     def _add(self, fresh: list[bytes]) -> None:
         split = [self._pieces(w) for w in fresh]
