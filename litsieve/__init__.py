@@ -1 +1 @@
-"""litsieve: literature-search analytics and corpus preparation on PySpark."""
+"""litsieve: bibliographic queries and corpus preparation on PySpark."""

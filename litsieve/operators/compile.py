@@ -12,6 +12,9 @@ SEARCH_BASE = "https://serpapi.com/search.json?engine=google_scholar&q="
 HUMAN_BASE = "https://scholar.google.com/scholar?q="
 TITLE_SCOPE = "title"
 TITLE_PREFIX = "allintitle: "
+ANY, NONE, AUTHOR, SOURCE = " OR ", " -", "author:", "source:"
+LOW_YEAR, HIGH_YEAR = "as_ylo", "as_yhi"
+LINK_LABEL = "🌐 View on Scholar"
 
 
 def compiled_query(all_words: Column, exact: Column, at_least: Column, without: Column, scope: Column, author: Column, source: Column) -> Column:
@@ -26,10 +29,10 @@ def compiled_query(all_words: Column, exact: Column, at_least: Column, without:
         " ",
         filled(all_words),
         quoted(exact, ""),
-        F.concat(F.lit("("), spaced(at_least, " OR "), F.lit(")")),
-        F.concat(F.lit("-"), spaced(without, " -")),
-        quoted(author, "author:"),
-        quoted(source, "source:"),
+        F.concat(F.lit("("), spaced(at_least, ANY), F.lit(")")),
+        F.concat(F.lit("-"), spaced(without, NONE)),
+        quoted(author, AUTHOR),
+        quoted(source, SOURCE),
     )
     return F.when(scope == TITLE_SCOPE, F.concat(F.lit(TITLE_PREFIX), parts)).otherwise(parts)
 
@@ -42,7 +45,7 @@ def request_query() -> Column:
 def year_suffix(low: Column, high: Column) -> Column:
     """Year bounds as URL parameters; each is optional, unchecked and goes in as it is."""
     bound = lambda c, name: F.coalesce(F.concat(F.lit(f"&{name}="), filled(c)), F.lit(""))
-    return F.concat(bound(low, "as_ylo"), bound(high, "as_yhi"))
+    return F.concat(bound(low, LOW_YEAR), bound(high, HIGH_YEAR))
 
 
 def search_url(query: Column, low: Column, high: Column) -> Column:
@@ -55,7 +58,7 @@ def human_link(query: Column, low: Column, high: Column) -> Column:
     return F.concat(F.lit(HUMAN_BASE), encode_component(query), year_suffix(low, high))
 
 
-def link_formula(url: Column, label: str = "View") -> Column:
+def link_formula(url: Column, label: str = LINK_LABEL) -> Column:
     """A spreadsheet formula that shows the link under a label."""
     return F.format_string(f'=HYPERLINK("%s", "{label}")', url)
 

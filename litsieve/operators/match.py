@@ -1,10 +1,13 @@
-"""A local evaluator of the search predicates (the reference service's own matching is not known): plain column predicates.
+"""A local evaluator of the search predicates (how the remote service matches is not known): plain column predicates.
 
 Terms are tokens, runs of letters and digits in lower case; a request's words are split the same way.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,16 +47,19 @@ def year_between(year: Column, low: Column, high: Column) -> Column:
 
 
 def matches(request: dict[str, str], text: Column, title: Column, author: Column, source: Column, year: Column) -> Column:
-    """The whole request against one row's columns; unset fields ask for nothing."""
+    """The whole request against one row's columns; unset fields ask for nothing.
+
+    Fields that need no tokens are tested first, and the tokens are made once: they are the argument of one lambda.
+    """
     get = lambda k: F.lit(request.get(k) or "")
-    where = tokens(title if request.get("scope") == "title" else text)
     out = F.lit(True)
-    for key, ask in (("allWords", has_all), ("exact", has_phrase), ("atLeast", has_any), ("without", has_none)):
-        if request.get(key):
-            out = out & ask(where, get(key))
+    if request.get("ylo") or request.get("yhi"):
+        out = out & year_between(year, get("ylo"), get("yhi"))
     for key, field in (("author", author), ("source", source)):
         if request.get(key):
             out = out & field_contains(field, get(key))
-    if request.get("ylo") or request.get("yhi"):
-        out = out & year_between(year, get("ylo"), get("yhi"))
+    asked = [(key, ask) for key, ask in (("allWords", has_all), ("exact", has_phrase), ("atLeast", has_any), ("without", has_none)) if request.get(key)]
+    if asked:
+        where = tokens(title if request.get("scope") == "title" else text)
+        out = out & F.exists(F.array(where), lambda t: reduce(and_, (ask(t, get(key)) for key, ask in asked)))
     return out

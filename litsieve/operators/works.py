@@ -15,8 +15,11 @@ DOI_MARK, ID_MARK = "10.", "W"
 NOT_LISTED, UNDEFINED = "Not listed", "undefined"
 REPORT_BANNER = "--- METADATA RECOVERED ---\n\n"
 NOT_FOUND = "DIAGNOSTIC FAILED: No paper found for that input."
+ERROR_PREFIX = "DIAGNOSTIC ERROR: "
 REPORT_KEYS = ["Title", "OpenAlex ID", "DOI", "Citations (Total)", "Citations (API Link)", "References (Count)", "Year", "Versions Count"]
-REPORT_COLUMNS = ["title", "work_id", "doi", "citations", "citations_link", "n_references", "year", "versions"]
+
+# Our own words for what the original leaves to its JSON parser.
+EMPTY_ANSWER, NOT_JSON = "the answer is empty", "the answer is not a JSON object"
 
 
 def route(text: Column, strict: bool = False) -> Column:
@@ -45,20 +48,28 @@ def catalogue_url(routed: Column, contact: str) -> Column:
 
 
 def parse_works(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Adds `work`: the first of `results` where that list is present, else the object itself; NULL where none has an id."""
-    out = payloads.withColumn("_r", F.from_json(payload_col, WORK_RESPONSE))
-    fields = ("id", "title", "doi", "cited_by_count", "cited_by_api_url", "referenced_works", "publication_year", "versions_count")
-    own = F.struct(*(F.col("_r")[f].alias(f) for f in fields))
-    work = F.when(F.col("_r.results").isNotNull(), F.get("_r.results", F.lit(0))).otherwise(own)
-    out = out.withColumn("work", work).drop("_r")
-    return out.withColumn("work", F.when(filled(F.col("work.id")).isNotNull(), F.col("work")))
-
+    """Adds `work` (the first of `results` where that list is present, else the object itself; NULL where none has an id) and
+    `error` (what is wrong with an answer that isn't a JSON object, else NULL).
 
-def report(works: DataFrame, *keep: str) -> DataFrame:
-    """The eight report columns of every found work."""
+    The answer is parsed in a generator, so that it is parsed once, however many of its fields are read.
+    """
+    parsed = F.from_json(payload_col, WORK_RESPONSE + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    out = payloads.select("*", F.explode(F.array(parsed)).alias("_r"))
+    fields = ("id", "title", "doi", "cited_by_count", "cited_by_api_url", "referenced_works", "publication_year", "versions_count")
+    r = F.col("_r")
+    own = F.struct(*(r[f].alias(f) for f in fields))
+    work = F.when(r["results"].isNotNull(), F.get(r["results"], F.lit(0))).otherwise(own)
+    empty = F.coalesce(F.trim(payload_col), F.lit("")) == ""
+    broken = r["_corrupt_record"].isNotNull() & r["id"].isNull() & r["results"].isNull()
+    error = F.when(empty, F.lit(EMPTY_ANSWER)).when(r.isNull() | broken, F.lit(NOT_JSON))
+    out = out.withColumns({"_work": work, "error": error})
+    return out.withColumn("work", F.when(filled(F.col("_work.id")).isNotNull(), F.col("_work"))).drop("_r", "_work")
+
+
+def report_columns() -> list[Column]:
+    """The eight report columns of `work`."""
     w = F.col("work")
-    return works.where("work is not null").select(
-        *keep,
+    return [
         w["title"].alias("title"),
         w["id"].alias("work_id"),
         w["doi"].alias("doi"),
@@ -67,7 +78,12 @@ def report(works: DataFrame, *keep: str) -> DataFrame:
         reference_count(w["referenced_works"]).alias("n_references"),
         w["publication_year"].alias("year"),
         count_or(w["versions_count"], NOT_LISTED).alias("versions"),
-    )
+    ]
+
+
+def report(works: DataFrame, *keep: str) -> DataFrame:
+    """The eight report columns of every found work."""
+    return works.where("work is not null").select(*keep, *report_columns())
 
 
 def reference_count(references: Column) -> Column:
@@ -75,13 +91,12 @@ def reference_count(references: Column) -> Column:
 
 
 def report_text() -> Column:
-    """The report as text, one `key: value` line each; missing values are spelled `undefined`."""
-    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c).cast("string"), F.lit(UNDEFINED)), F.lit("\n")) for k, c in zip(REPORT_KEYS, REPORT_COLUMNS, strict=True)]
+    """The report of `work` as text, one `key: value` line each; missing values are spelled `undefined`."""
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(c.cast("string"), F.lit(UNDEFINED)), F.lit("\n")) for k, c in zip(REPORT_KEYS, report_columns(), strict=True)]
     return F.concat(F.lit(REPORT_BANNER), *lines)
 
 
 def diagnose(works: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and `message` for every row: the report, or that nothing was found."""
-    found = report(works, *keep).select(*keep, report_text().alias("message"))
-    missing = works.where("work is null").select(*keep, F.lit(NOT_FOUND).alias("message"))
-    return found.unionByName(missing)
+    """The kept columns and `message` for every row: the report, that nothing was found, or what is wrong with the answer."""
+    wrong = F.concat(F.lit(ERROR_PREFIX), F.col("error"))
+    return works.select(*keep, F.when(F.col("error").isNotNull(), wrong).when(F.col("work").isNotNull(), report_text()).otherwise(F.lit(NOT_FOUND)).alias("message"))

@@ -1,4 +1,4 @@
-"""The literature-search queries over derived inputs (see plans/derived.py), with their DuckDB equivalents."""
+"""The bibliographic queries over derived inputs (see plans/derived.py), with their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -58,20 +58,20 @@ def _enc(e: str) -> str:
     return out
 
 
-_PARTS = """concat_ws(' ', nullif("allWords", ''), '"' || nullif(exact, '') || '"', '(' || replace(nullif("atLeast", ''), ' ', ' OR ') || ')',
-  '-' || replace(nullif(without, ''), ' ', ' -'), 'author:"' || nullif(author, '') || '"', 'source:"' || nullif(source, '') || '"')"""
-_QUERY = f"CASE WHEN scope = 'title' THEN 'allintitle: ' || {_PARTS} ELSE {_PARTS} END"
-_YEARS = "coalesce('&as_ylo=' || nullif(ylo, ''), '') || coalesce('&as_yhi=' || nullif(yhi, ''), '')"
+_PARTS = f"""concat_ws(' ', nullif("allWords", ''), '"' || nullif(exact, '') || '"', '(' || replace(nullif("atLeast", ''), ' ', '{C.ANY}') || ')',
+  '-' || replace(nullif(without, ''), ' ', '{C.NONE}'), '{C.AUTHOR}"' || nullif(author, '') || '"', '{C.SOURCE}"' || nullif(source, '') || '"')"""
+_QUERY = f"CASE WHEN scope = '{C.TITLE_SCOPE}' THEN '{C.TITLE_PREFIX}' || {_PARTS} ELSE {_PARTS} END"
+_YEARS = f"coalesce('&{C.LOW_YEAR}=' || nullif(ylo, ''), '') || coalesce('&{C.HIGH_YEAR}=' || nullif(yhi, ''), '')"
 _TRIM = r"regexp_replace(input, '^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g')"
-_DOI = r"coalesce(nullif(regexp_extract(link, '(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+', 0), ''), 'Not found')"
-_PDF = "CASE WHEN ends_with(resource, '.pdf') THEN resource ELSE 'None' END"
+_DOI = f"coalesce(nullif(regexp_extract(link, '{R.DOI_PATTERN}', 0), ''), '{R.NO_DOI}')"
+_PDF = f"CASE WHEN ends_with(resource, '.pdf') THEN resource ELSE '{R.NO_PDF}' END"
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
 # -- responses -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT doc_id, CAST(0 AS INTEGER) AS position, title, coalesce(nullif(link, ''), 'N/A') AS link, {_DOI} AS doi, {_PDF} AS pdf_link,
+@query(f"""SELECT doc_id, CAST(0 AS INTEGER) AS position, title, coalesce(nullif(link, ''), '{R.NO_LINK}') AS link, {_DOI} AS doi, {_PDF} AS pdf_link,
   CAST(coalesce(cited_by, 0) AS BIGINT) AS citations, coalesce(summary, '') AS source_summary FROM {_W}""")
 def results_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full results table from JSON responses."""
@@ -138,7 +138,7 @@ def human_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compile_requests(_requests(spark, sf_dir)).select("doc_id", F.col("human_link").alias("url"))
 
 
-@query(f"""SELECT doc_id, '=HYPERLINK("' || '{C.HUMAN_BASE}' || {_enc(_QUERY)} || {_YEARS} || '", "View")' AS formula FROM {_R}""")
+@query(f"""SELECT doc_id, '=HYPERLINK("' || '{C.HUMAN_BASE}' || {_enc(_QUERY)} || {_YEARS} || '", "{C.LINK_LABEL}")' AS formula FROM {_R}""")
 def link_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spreadsheet formula for each link."""
     return C.compile_requests(_requests(spark, sf_dir)).select("doc_id", C.link_formula(F.col("human_link")).alias("formula"))
@@ -156,7 +156,7 @@ _ROUTED = f"""(SELECT doc_id, t, CASE WHEN contains(t, '10.') OR starts_with(t,
   CASE WHEN contains(t, '10.') THEN 'https://doi.org/' || t ELSE t END AS id FROM (SELECT doc_id, {_TRIM} AS t FROM {_I}))"""
 _FOUND = f"(SELECT * FROM {_W} WHERE coalesce(work_id, '') <> '')"
 _NREFS = "CAST(coalesce(n_refs, 0) AS BIGINT)"
-_VERSIONS = "coalesce(CAST(nullif(versions, 0) AS VARCHAR), 'Not listed')"
+_VERSIONS = f"coalesce(CAST(nullif(versions, 0) AS VARCHAR), '{W.NOT_LISTED}')"
 _CITES = "'https://example.org/cites/' || CAST(doc_id AS VARCHAR)"
 
 
@@ -188,16 +188,26 @@ def work_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.report(W.parse_works(D.work_payloads(_works(spark, sf_dir))), "doc_id")
 
 
-@query(f"""SELECT doc_id, CASE WHEN coalesce(work_id, '') = '' THEN '{W.NOT_FOUND}' ELSE
-  '--- METADATA RECOVERED ---' || chr(10) || chr(10) || 'Title: ' || coalesce(title, 'undefined') || chr(10) || 'OpenAlex ID: ' || work_id || chr(10)
-  || 'DOI: ' || coalesce(doi, 'undefined') || chr(10) || 'Citations (Total): ' || CAST(coalesce(cited_by, 0) AS VARCHAR) || chr(10)
-  || 'Citations (API Link): ' || {_CITES} || chr(10) || 'References (Count): ' || CAST({_NREFS} AS VARCHAR) || chr(10)
-  || 'Year: ' || CAST(year AS VARCHAR) || chr(10) || 'Versions Count: ' || {_VERSIONS} || chr(10) END AS message FROM {_W}""")
+_VALUES = ["title", "work_id", "doi", "CAST(coalesce(cited_by, 0) AS VARCHAR)", _CITES, f"CAST({_NREFS} AS VARCHAR)", "CAST(year AS VARCHAR)", _VERSIONS]
+_LINES = " || ".join(f"'{k}: ' || coalesce({v}, '{W.UNDEFINED}') || chr(10)" for k, v in zip(W.REPORT_KEYS, _VALUES, strict=True))
+_MESSAGE = f"""CASE WHEN coalesce(work_id, '') = '' THEN '{W.NOT_FOUND}' ELSE '{W.REPORT_BANNER.strip()}' || chr(10) || chr(10) || {_LINES} END"""
+
+
+@query(f"SELECT doc_id, {_MESSAGE} AS message FROM {_W}")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report as text, or that nothing was found."""
     return W.diagnose(W.parse_works(D.work_payloads(_works(spark, sf_dir))), "doc_id")
 
 
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '{W.ERROR_PREFIX}{W.NOT_JSON}' WHEN doc_id % 5 = 1 THEN '{W.ERROR_PREFIX}{W.EMPTY_ANSWER}'
+  ELSE {_MESSAGE} END AS message FROM {_W}""")
+def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message for each answer: the report, nothing found, or what is wrong (a fifth is cut short, a fifth empty here)."""
+    works = D.work_payloads(_works(spark, sf_dir))
+    broken = F.when(F.col("doc_id") % 5 == 0, F.lit('{"id": "W1", ')).when(F.col("doc_id") % 10 == 1, F.lit(" ")).when(F.col("doc_id") % 10 != 6, F.col("payload"))
+    return W.diagnose(W.parse_works(works.withColumn("payload", broken)), "doc_id")
+
+
 @query(f"SELECT doc_id, {_NREFS} AS n_references FROM {_FOUND}")
 def reference_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of references of each found work."""
@@ -276,13 +286,17 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- extension -------------------------------------------------------------------------------------------------------------
 
-_EDGES = "(SELECT doc_id AS src, (doc_id * 7 + 3) % 1000 AS dst FROM documents UNION SELECT doc_id, (doc_id * 11 + 5) % 1000 FROM documents)"
+_N = "(SELECT max(doc_id) + 1 FROM documents)"
+_EDGES = f"(SELECT doc_id AS src, (doc_id * 7 + 3) % {_N} AS dst FROM documents UNION SELECT doc_id, (doc_id * 11 + 5) % {_N} FROM documents)"
 
 
-@query(f"""WITH RECURSIVE e AS {_EDGES}, r(node, hop) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
+@query(f"""WITH RECURSIVE e AS {_EDGES}, r(node, hop) AS (
+    SELECT doc_id, 0 FROM documents WHERE lang = 'es' UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
   SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node""")
 def ext_snowball_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: three hops along derived citations from one work."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    edges = ids.select(F.col("doc_id").alias("src"), F.explode(F.array((F.col("doc_id") * 7 + 3) % 1000, (F.col("doc_id") * 11 + 5) % 1000)).alias("dst")).distinct()
-    return S.snowball(edges, spark.range(1, 2).select(F.col("id").alias("node")), 3)
+    """Extension: three hops along derived citations (over all ids) from every work in Spanish."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.agg(F.max("doc_id") + 1).first()[0] or 1
+    targets = F.array((F.col("doc_id") * 7 + 3) % n, (F.col("doc_id") * 11 + 5) % n)
+    edges = docs.select(F.col("doc_id").alias("src"), F.explode(targets).alias("dst")).distinct()
+    return S.snowball(edges, docs.where("lang = 'es'").select(F.col("doc_id").alias("node")), 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -47,5 +48,19 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, str(Path(root.name) / source.relative_to(root)))
-    spark.sparkContext.addPyFile(path)
+    spark.sparkContext.addPyFile(path)  # copied to where executors fetch it from
+    atexit.register(Path(path).unlink, missing_ok=True)
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="litsieve-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named

@@ -1,5 +1,11 @@
 """Answers of a service that isn't there."""
 
+import tempfile
+from pathlib import Path
+
+#: Workers are started before a test sets its environment, so the folder is a fixed one.
+CALLS = Path(tempfile.gettempdir()) / "litsieve-test-calls"
+
 
 def search(url, headers):
     if "api_key=bad" in url:
@@ -9,3 +15,19 @@ def search(url, headers):
 
 def works(url, headers):
     return 404, '{"error":"%s"}' % url
+
+
+def counted(url, headers):
+    """Notes every call in the folder CALLS, then answers by what the query asks for."""
+    import uuid
+
+    (CALLS / uuid.uuid4().hex).write_text(url)
+    if "q=boom" in url or "search=boom" in url:
+        raise OSError("no route")
+    if "q=busy" in url or "search=busy" in url:
+        return 503, "busy"
+    if "q=html" in url or "search=html" in url:
+        return 200, "<html>"
+    if "/works" in url:
+        return 200, '{"results":[]}' if "?search=" in url else '{"id":"W1","title":"%s"}' % url.split("/works/")[1].split("?")[0]
+    return 200, '{"search_information":{"total_results":1234},"organic_results":[{"title":"A","link":"https://doi.org/10.1234/x"},{"title":"B"}]}'

@@ -1,4 +1,4 @@
-"""Edge tables of the literature-search operators."""
+"""Edge tables of the bibliographic operators."""
 
 from urllib.parse import quote
 
@@ -126,13 +126,19 @@ def test_works(spark):
         (3, '{"results":[]}'),
         (4, '{"error":"x"}'),
         (5, "nonsense"),
+        (6, None),
+        (7, " "),
+        (8, '{"id":"W5","cited_by_count":"many"}'),
+        (9, "null"),
     ]
     works = W.parse_works(spark.createDataFrame(payloads, "k int, payload string"))
     got = {r.k: r for r in W.report(works, "k").collect()}
-    assert sorted(got) == [1, 2]
+    assert sorted(got) == [1, 2, 8] and got[8].citations is None
     assert (got[1].n_references, got[1].versions, got[2].n_references, got[2].versions) == (2, "Not listed", 0, "4")
     messages = {r.k: r.message for r in W.diagnose(works, "k").collect()}
-    assert messages[3] == messages[4] == messages[5] == W.NOT_FOUND
+    assert messages[3] == messages[4] == W.NOT_FOUND and messages[5] == messages[9] == W.ERROR_PREFIX + W.NOT_JSON and messages[6] == messages[7] == W.ERROR_PREFIX + W.EMPTY_ANSWER
+    plan = W.diagnose(works, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1, plan
     assert messages[1].startswith("--- METADATA RECOVERED ---\n\nTitle: T\n") and "DOI: undefined\n" in messages[1] and messages[1].endswith("Versions Count: Not listed\n")
 
 
@@ -163,6 +169,8 @@ def test_matches(spark):
     ask = lambda **r: [x.k for x in works.where(M.matches(r, *(F.col(c) for c in ("body", "title", "author", "source", "year")))).collect()]
     assert ask(allWords="CAT the") == [1] and ask(exact="of the") == [1] and ask(exact="the of") == [] and ask(atLeast="dog house") == [1, 2]
     assert ask(without="dog") == [1] and ask(allWords="house", scope="title") == [] and ask(author="lee") == [1] and ask(source="NAT") == [1]
+    plan = works.where(M.matches(dict(allWords="a", atLeast="b", without="c", exact="d"), *(F.col(c) for c in ("body", "title", "author", "source", "year"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(body") == 1, plan
     assert ask(ylo="1999") == [1] and ask(yhi="1998") == [] and ask() == [1, 2]
 
 

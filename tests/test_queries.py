@@ -1,4 +1,4 @@
-"""Every literature-search query against its SQL."""
+"""Every bibliographic query against its SQL."""
 
 import pytest
 
