@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from litsieve.session import ship_package
+from litsieve.session import shared_dir, ship_package
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,19 +87,6 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     return one.join(want, same, "left_semi").select("_row.*")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named := tempfile.mkdtemp(prefix="litsieve-checkpoint-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import keep_rows, read, text_bytes
+from litsieve.llm.common import keep_rows, read, text_bytes, write_table
 
 
 class PatriciaTrie:
@@ -206,7 +206,8 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", spill_bytes: int = 64 << 20) -> DataFrame:
     """Per row of docs: doc_id, keep_id (smallest or largest id of its text's group), group_size, kept, text_sha256."""
-    owners = text_owners(docs, id_col, text_col, spill_bytes)
+    # a table of its own, so that both sides of the join are plain shuffles, whose hot keys Spark splits
+    owners = write_table(text_owners(docs, id_col, text_col, spill_bytes), "owners")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     rows = slim.mapInArrow(_row_digests, "doc_id long, digest binary")
     return rows.join(owners, "digest").select(
