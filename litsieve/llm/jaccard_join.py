@@ -38,8 +38,8 @@ from litsieve.llm.common import drop_table, keep_rows, read, text_bytes, write_t
 from litsieve.llm.components import connected_components
 from litsieve.llm.kernel import mix, shingle_sets
 
-CHUNK_BYTES = 8 << 20
-RANGE_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 FEW_CHUNKS = 64  # so that small tables are not one task
 KEY_BITS = 56
 PIVOT_ROUNDS = 6
