@@ -3,6 +3,13 @@
 Each stage gets the documents that its predecessor kept (all columns of `documents`), reads them whole and its decisions
 take effect; the last returns the packed pieces. `run` writes each stage's rows as Parquet in the folder that driver and
 executors share and rereads them as the next one's input, so a lost executor costs a task and never an earlier stage.
+
+Defined results, besides those of the operators: documents without a letter (null and empty texts too) go with the language
+stage; where no language can be learned (no row has one) all go. Without any labelled document the quality stage keeps all.
+Ids may be null, repeat, and stand for different texts: of equal texts (A-Z in either case) exactly one row stays, that of the
+largest id, a row without an id only where no other holds its text; of each group of near copies exactly one row stays, that of
+the least id. Rows that repeat whole are one row from the third stage on. Extra columns of documents are kept, whatever their
+names. An empty table of documents gives no pieces.
 """
 
 from __future__ import annotations
