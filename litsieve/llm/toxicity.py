@@ -41,6 +41,7 @@ LANGUAGE_BUCKETS = 1 << 15
 SAMPLE_ROWS = 10_000
 ROW_WORDS = 1_500
 THINNED_WINDOW = 64
+LONG_BYTES, LONG_BLOCK = 1 << 20, 1 << 17  # texts of more bytes are scored so many words at a time
 EPOCHS, STEPS = 4, 300  # so many epochs, and more of them where they have fewer steps than that
 SHARPNESS = (1.0, 0.1)  # temperature of the backward softmax in the first and the last epoch
 
@@ -70,6 +71,10 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all words (words x 4: two of the word, two of its beginnings), and word counts by document end."""
     starts, ends, first = _spans(data, offsets)
+    return _codes(data, starts, ends), first
+
+
+def _codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     whole = word_hashes(data, starts, ends)
     shift = np.uint64(46)
     columns = [whole >> shift, mix(whole * _SECOND) >> shift]
@@ -79,7 +84,7 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         head = (head << np.uint64(8)) | np.where(at < ends, LOWER[data[np.minimum(at, len(data) - 1)]], 0).astype(np.uint64)
         if k + 1 in PREFIXES:
             columns.append(mix(head + np.uint64(0x1234567 * (k + 1))) >> shift)
-    return np.stack(columns, axis=1).astype(np.int32), first
+    return np.stack(columns, axis=1).astype(np.int32)
 
 
 class ConvolutionalClassifier:
@@ -132,9 +137,39 @@ class ConvolutionalClassifier:
         return values, (doc, third, of), shares
 
     def raw_logits(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        values = -np.sort(-self.pooled(self.embedded(codes), first)[0], axis=1)
+        return self._top(self.pooled(self.embedded(codes), first)[0])
+
+    def _top(self, values: np.ndarray) -> np.ndarray:
+        values = -np.sort(-values, axis=1)
         return np.maximum(values.reshape(len(values), -1) + self.bias, 0) @ self.out + self.out_bias
 
+    def long_logit(self, data: np.ndarray) -> tuple[float, int]:
+        """Logit and language of one long text, LONG_BLOCK words at a time."""
+        starts, ends, _ = _spans(data, np.array([0, len(data)]))
+        n = len(starts)
+        cuts = n * np.arange(THIRDS + 1) // THIRDS
+        values = np.full((THIRDS, len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        evidence = np.zeros(self.language.shape[1])
+        for a in range(0, n, LONG_BLOCK):
+            b = min(n, a + LONG_BLOCK)
+            beyond = min(n, b + max(WIDTHS) - 1)  # windows of the last words reach into the next block
+            codes = _codes(data, starts[a:beyond], ends[a:beyond])
+            e = self.embedded(codes)
+            evidence += self.language[codes[: b - a, 0] % LANGUAGE_BUCKETS].sum(axis=0, dtype=np.float64)
+            for k, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+                z = e @ f[0]
+                for j in range(1, width):
+                    z[:-j] += e[j:] @ f[j]
+                z = z[: b - a]
+                z[max(0, n - width + 1 - a) :] = 0
+                for t in range(THIRDS):
+                    low, high = max(a, cuts[t]), min(b, cuts[t + 1])
+                    if low < high:
+                        own = values[t, k * FILTERS : (k + 1) * FILTERS]
+                        np.maximum(own, z[low - a : high - a].max(axis=0), out=own)
+        values[cuts[1:] == cuts[:-1]] = 0
+        return float(self._top(values[None])[0]), int(evidence.argmax())
+
     def languages(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Number of the likeliest language of each document."""
         total = np.zeros((len(first), self.language.shape[1]))
@@ -147,9 +182,13 @@ class ConvolutionalClassifier:
 
     def scores(self, column: pa.Array) -> list[float]:
         out: list[float] = []
-        for _, _, data, offsets in parts(column, 1 << 20):
-            codes, first = word_codes(data, offsets)
-            logits = self.raw_logits(codes, first) - self.shifts[self.languages(codes, first)]
+        for _, _, data, offsets in parts(column, LONG_BYTES):
+            if len(data) > LONG_BYTES:  # one text
+                logit, language = self.long_logit(data)
+                logits = np.array([logit - self.shifts[language]])
+            else:
+                codes, first = word_codes(data, offsets)
+                logits = self.raw_logits(codes, first) - self.shifts[self.languages(codes, first)]
             out += (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
         return out
 

@@ -78,6 +78,19 @@ def test_toxicity_scores_by_brute_force():
     assert model.scores(pa.array([t.encode() for t in texts], pa.binary())) == pytest.approx(want, abs=1e-4)
 
 
+def test_long_texts_are_scored_alike_in_blocks(monkeypatch):
+    r = np.random.default_rng(3)
+    model = toxicity.ConvolutionalClassifier(seed=5)
+    model.embedding[:] = r.normal(size=model.embedding.shape)
+    model.language, model.shifts = r.normal(size=(toxicity.LANGUAGE_BUCKETS, 3)).astype(np.float32), np.array([0.0, 0.5, -0.5])
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 50, n)).encode() for n in (1, 2, 4, 5, 29, 30, 31, 200)]
+    want = model.scores(pa.array(texts, pa.binary()))
+    monkeypatch.setattr(toxicity, "LONG_BYTES", 0)
+    for block in (1, 3, 10, 1000):
+        monkeypatch.setattr(toxicity, "LONG_BLOCK", block)
+        assert model.scores(pa.array(texts, pa.binary())) == pytest.approx(want, abs=1e-5)
+
+
 def test_quality_scores_by_brute_force():
     """Every pair of features summed one by one, over whole texts."""
     r = np.random.default_rng(3)
