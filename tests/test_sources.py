@@ -51,6 +51,16 @@ def test_flag(spark):
     assert LiteratureSource.name() == "literature"
 
 
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from litsieve.session import shared_dir
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))
+
+
 def test_payload_files(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"organic_results":\n[{"title":"T"}]}')
     assert [r.title for r in R.titles(R.parse_responses(payload_files(spark, str(tmp_path)))).collect()] == ["T"]
