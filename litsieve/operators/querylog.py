@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.functions.text import filled
-from litsieve.operators.compile import human_link, request_query
+from litsieve.operators.compile import human_link, link_formula, request_query
 from litsieve.operators.response import hits_text
 from litsieve.schemas import LOG, REQUEST_FIELDS
 
-# Fixed value: the scope that an empty one stands for.
+# The scope that an empty one stands for, the log sheet's name and its two header rows (column D is a spacer),
+# and what is said about a selection that isn't a row of the log.
 DEFAULT_SCOPE = "anywhere"
+SHEET = "Log"
+HEADERS = [
+    ["TimeStamp", "Scholar Link", "Search Query", "", "All Words", "Exact Phrase", "At least one of", "Without words", "Where", "Author", "Published in", "Years", "", "API Calls", "Results"],
+    ["", "", "", "", "", "", "", "", "", "", "", "From", "To", "", ""],
+]
+WRONG_SHEET = "Please click on a row in the 'Log' sheet first."
+HEADER_ROW = "Please select a data row."
 
 
 class LogRowError(LookupError):
@@ -55,3 +63,20 @@ def recall(log: DataFrame, log_id: str) -> dict[str, str]:
     if row is None:
         raise LogRowError(f"no row {log_id} in the log")
     return row.asDict()
+
+
+def sheet_rows(log: DataFrame, number: Column) -> DataFrame:
+    """row, c1 to c15: the log as it lies on its sheet, headers first; `number` counts the log's rows from 1."""
+    cells = [F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), link_formula(F.col("human_link")), F.col("query"), F.lit(""), *(F.col(c) for c in REQUEST_FIELDS), F.col("api_calls").cast("string"), F.col("results")]
+    rows = log.select((number + len(HEADERS)).cast("long").alias("row"), *(c.alias(f"c{k}") for k, c in enumerate(cells, 1)))
+    headers = [(k, *cells) for k, cells in enumerate(HEADERS, 1)]
+    return log.sparkSession.createDataFrame(headers, rows.schema).unionByName(rows)
+
+
+def selected(log: DataFrame, number: Column, selections: DataFrame, *keep: str) -> DataFrame:
+    """What each selection (sheet, row on it) restores: `error`, or the nine inputs; a row below the log restores an empty form."""
+    rows = recalled(log, (number + len(HEADERS)).cast("long").alias("_row"))
+    found = selections.join(rows, F.col("row") == F.col("_row"), "left")
+    error = F.when(~F.col("sheet").eqNullSafe(F.lit(SHEET)), F.lit(WRONG_SHEET)).when(F.col("row") <= len(HEADERS), F.lit(HEADER_ROW))
+    restored = [F.when(error.isNull(), F.coalesce(F.col(c), F.lit(DEFAULT_SCOPE if c == "scope" else ""))).alias(c) for c in REQUEST_FIELDS]
+    return found.select(*keep, error.alias("error"), *restored)

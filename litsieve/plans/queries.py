@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.functions.text import encode_component, tokens
@@ -14,8 +16,12 @@ from litsieve.operators import querylog as L
 from litsieve.operators import response as R
 from litsieve.operators import snowball as S
 from litsieve.operators import works as W
+from litsieve.operators.search import ERROR_PREFIX as SEARCH_ERROR
+from litsieve.operators.search import Searched, run_diagnostics, run_searches
+from litsieve.plans import canned
 from litsieve.plans import derived as D
 from litsieve.schemas import REQUEST_FIELDS
+from litsieve.session import scratch, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,6 +252,122 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("log_id", "query", (F.col("query") == F.col("logged")).alias("same"))
 
 
+
+def _number() -> Column:
+    """The rows of the derived log are numbered by their ids: row 1 is id 0."""
+    return F.col("log_id").cast("long") + 1
+
+
+_ON_SHEET = f"""CAST(doc_id AS BIGINT) + 3 AS "row", '{LOGGED_AT}' AS c1, '=HYPERLINK("' || '{C.HUMAN_BASE}' || {_enc(_QUERY)} || {_YEARS} || '", "{C.LINK_LABEL}")' AS c2, {_QUERY} AS c3, '' AS c4, """
+_ON_SHEET += ", ".join(f"coalesce(\"{f}\", '') AS c{k}" for k, f in enumerate(REQUEST_FIELDS, 5)) + ", '1' AS c14, format('{:,}', doc_id * 3) AS c15"
+_HEADS = ", ".join("(" + ", ".join([f"CAST({k} AS BIGINT)", *(f"'{c}'" for c in cells)]) + ")" for k, cells in enumerate(L.HEADERS, 1))
+
+
+@query(f"""SELECT * FROM (VALUES {_HEADS}) AS h("row", {", ".join(f"c{k}" for k in range(1, 16))}) UNION ALL SELECT {_ON_SHEET} FROM {_R}""")
+def log_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it lies on its sheet: two header rows, then fifteen columns with a spacer."""
+    return L.sheet_rows(_log(spark, sf_dir), _number())
+
+
+_SELECTIONS = "(SELECT doc_id AS pick, CASE WHEN doc_id % 9 = 0 THEN 'Results' WHEN doc_id % 9 = 1 THEN NULL ELSE 'Log' END AS sheet, (doc_id * 2) % 1500 + 1 AS \"row\" FROM documents)"
+_WRONG = f"CASE WHEN sheet IS DISTINCT FROM '{L.SHEET}' THEN '{L.WRONG_SHEET.replace(chr(39), chr(39) * 2)}' WHEN \"row\" <= 2 THEN '{L.HEADER_ROW}' END"
+_RESTORED = ", ".join(f"CASE WHEN {_WRONG} IS NULL THEN coalesce(nullif(\"{f}\", ''), '{L.DEFAULT_SCOPE if f == 'scope' else ''}') END AS \"{f}\"" for f in REQUEST_FIELDS)
+
+
+@query(f"""SELECT pick, {_WRONG} AS error, {_RESTORED} FROM {_SELECTIONS} LEFT JOIN {_R} ON doc_id + 3 = "row" """)
+def log_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What selections on sheets restore: the request of a log row, an empty form below the log, or an error."""
+    picks = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "doc_id AS pick", "CASE WHEN doc_id % 9 = 0 THEN 'Results' WHEN doc_id % 9 = 1 THEN NULL ELSE 'Log' END AS sheet", "(doc_id * 2) % 1500 + 1 AS row"
+    )
+    return L.selected(_log(spark, sf_dir), _number(), picks, "pick")
+
+
+# -- whole searches over canned answers ------------------------------------------------------------------------------------
+
+
+def _searched(spark: SparkSession, sf_dir: str, **more: str) -> Searched:
+    requests = _requests(spark, sf_dir).withColumnRenamed("doc_id", "request_id")
+    options = {"transport": "litsieve.plans.canned:search", "api_key": "none"}
+    ship_package(spark)
+    return run_searches(requests, scratch(spark, "answers"), F.lit(LOGGED_AT), **more, **options)
+
+
+def _table(spark: SparkSession, name: str) -> str:
+    """A table name of its own, dropped when the driver ends."""
+    table = f"litsieve_{name}_{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    atexit.register(drop)
+    return table
+
+
+_ASKED = f"(SELECT doc_id AS request_id, q, CAST(length(q) AS BIGINT) AS n, * FROM (SELECT *, {_QUERY} AS q FROM {_R}))"
+_ROWS = f"""SELECT request_id, CAST(0 AS INTEGER) AS position, left(q, 20) AS title, 'https://doi.org/10.' || (1000 + n) || '/x' AS link, '10.' || (1000 + n) || '/x' AS doi,
+  '{R.NO_PDF}' AS pdf_link, n AS citations, '{R.NO_SUMMARY}' AS source_summary FROM {_ASKED} WHERE n % 7 > 2
+  UNION ALL SELECT request_id, 1, 'second', '{R.NO_LINK}', '{R.NO_DOI}', '{R.NO_PDF}', 0, 's' FROM {_ASKED} WHERE n % 7 > 2"""
+
+
+@query(f"SELECT request_id, 1237 * n AS total_hits FROM {_ASKED} WHERE n % 7 > 2")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From request to hit count: every request is compiled, called for once and parsed."""
+    return _searched(spark, sf_dir).hits
+
+
+@query(f"SELECT request_id, position, title FROM ({_ROWS})")
+def search_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From request to the preview of titles."""
+    return _searched(spark, sf_dir).titles
+
+
+@query(_ROWS)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From request to the results table, as it was written (over an older one)."""
+    table = _table(spark, "results")
+    R.write_results(spark.range(3).withColumnRenamed("id", "old"), table)
+    _searched(spark, sf_dir, results_table=table)
+    return spark.table(table)
+
+
+@query(f"""SELECT request_id, '{SEARCH_ERROR}' || CASE n % 7 WHEN 0 THEN 'the search service answered 503' WHEN 1 THEN '{canned.NO_ROUTE}' ELSE 'the answer is not JSON' END AS message
+  FROM {_ASKED} WHERE n % 7 <= 2""")
+def search_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests whose call failed or whose answer is no JSON."""
+    return _searched(spark, sf_dir).errors
+
+
+@query(f"""SELECT CAST(request_id AS VARCHAR) AS log_id, '{LOGGED_AT}' AS logged_at, q AS query, {_FIELDS}, CAST(1 AS INTEGER) AS api_calls, format('{{:,}}', 1237 * n) AS results
+  FROM {_ASKED} WHERE n % 7 > 2""")
+def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that searches leave: one row for every answered request, none for the others."""
+    table = _table(spark, "log")
+    _searched(spark, sf_dir, log_table=table)
+    return spark.table(table).withColumn("logged_at", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss")).drop("human_link")
+
+
+_REPORTED = " || ".join(f"'{k}: ' || {{}} || chr(10)" for k in W.REPORT_KEYS)
+
+
+def _reported(*values: str) -> str:
+    return f"'{W.REPORT_BANNER.strip()}' || chr(10) || chr(10) || " + _REPORTED.format(*values)
+
+
+_NONE = f"'{W.UNDEFINED}'"
+
+
+@query(f"""SELECT doc_id, CASE WHEN mode = 'lookup' THEN {_reported("id", "'W1'", _NONE, "length(id)", _NONE, "2", "2000", f"'{W.NOT_LISTED}'")}
+  WHEN length(t) % 3 = 0 THEN '{W.NOT_FOUND}' WHEN length(t) % 3 = 1 THEN '{W.ERROR_PREFIX}{W.NOT_JSON}'
+  ELSE {_reported("t", "'W4'", _NONE, _NONE, _NONE, "0", _NONE, "'2'")} END AS message FROM {_ROUTED}""")
+def works_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From input to report: every input is routed, called for once and reported on."""
+    inputs = D.frame(spark, sf_dir, D.INPUTS)
+    ship_package(spark)
+    return run_diagnostics(inputs, scratch(spark, "answers"), transport="litsieve.plans.canned:works", contact=CONTACT).drop("input")
+
+
 # -- local evaluation ------------------------------------------------------------------------------------------------------
 
 _T, _TT = _TOKENS.format("body"), _TOKENS.format("title")
