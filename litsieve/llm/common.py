@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from litsieve.session import shared_dir, ship_package
+from litsieve.session import remove, scratch, ship_package
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,9 +88,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/litsieve-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._litsieve_path = path
     return out
@@ -100,13 +97,5 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Remove a table made by write_table once nothing reads it any more."""
-    _remove(df.sparkSession, df._litsieve_path)
+    remove(df.sparkSession, df._litsieve_path)
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: its folder is the cluster's to clean
-        pass
