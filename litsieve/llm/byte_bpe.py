@@ -4,13 +4,13 @@ Each text is split by the vocabulary's pattern. A word starts as an array of sin
 the leftmost neighbouring pair of least rank. Decoding concatenates the binary pieces of the ids.
 
 `encode_native` is the fold in Spark's higher-order functions with a literal rank map (an array of small maps, as a lookup
-in one Spark map is a scan). It gives the same ids but evaluates its lambdas row by row in the interpreter: 200 documents
-(0.5 MB) took over 240 s on four cores, so it can't meet the check tool's limits. `encode` therefore runs the same fold in
-numpy over all new words of a batch, inside one map over the documents, and is what the query uses; words already folded by
-a worker are looked up, within a bounded store.
+in one Spark map is a scan): the distinct words of the table are folded once and joined back to their places. It gives the
+same ids, but a row for every word of the corpus has to be shuffled for that, which the check tool's limit on disk doesn't
+allow (the README has figures). `encode` therefore runs the same fold in numpy over all new words of a batch, inside one map
+over the documents, and is what the query uses; words already folded by a worker are looked up, within a bounded store.
 
-Defined results: null counts as empty; an empty text has no tokens; repeated ids come back each; an empty table gives an
-empty result; other columns are ignored.
+Defined results: null counts as empty; an empty text has no tokens; rows without an id come back without one; repeated ids
+come back each; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
