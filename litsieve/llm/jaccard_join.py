@@ -215,10 +215,10 @@ def grouped_rows(docs: DataFrame, words: int, percent: int, id_col: str = "doc_i
     sets = write_table(sets.select(F.col("row").alias("rep"), "n", "prefix", "place", "bitmap", "members"), "indexed")
 
     # documents with the same indexed prefix and size are one group, named by its least member
-    members = sets.select("rep", "n", "place", "bitmap", F.xxhash64("n", "prefix").alias("g"), "prefix")
-    groups = members.groupBy("g").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("place").alias("place"))
+    members = sets.select("rep", "n", "place", "bitmap", F.xxhash64("n", "prefix").alias("g"), F.hash("prefix").alias("h"), "prefix")
+    groups = members.groupBy("g", "h").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("place").alias("place"))
     groups = write_table(groups, "groups")
-    members = write_table(members.select("rep", "g", "n", "bitmap").join(groups.select("g", "gid"), "g").select("rep", "gid", "n", "bitmap"), "members")
+    members = write_table(members.select("rep", "g", "h", "n", "bitmap").join(groups.select("g", "h", "gid"), ["g", "h"]).select("rep", "gid", "n", "bitmap"), "members")
     postings = groups.select("gid", "n", "place", F.posexplode("prefix").alias("k", "shingle"))
     postings = postings.select("shingle", "gid", "n", (F.col("place") + F.col("k")).alias("at"), _band("n", percent).alias("band"))
     # a shingle of one group alone pairs nothing but the members of that group
