@@ -1,6 +1,7 @@
 """HTML extraction and embedding near-dedup."""
 
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -114,6 +115,51 @@ def test_real_pages_without_marks(spark, sf, shard):
     assert changed > 0 and len(got) == len(rows)
 
 
+class ArticleText(HTMLParser):
+    """The article's blocks by the standard library's parser: another way to the same text where the marks decide."""
+
+    BLOCKS = {"h1", "h2", "h3", "h4", "p", "li", "ul", "ol", "div", "table", "tr", "td", "th", "blockquote", "pre", "section", "figure"}
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style") or (tag == "div" and ("class", "ad") in attrs)
+        if tag in self.BLOCKS or tag == "article":
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip = max(0, self.skip - (tag in ("script", "style", "div")))
+        if tag in self.BLOCKS or tag == "article":
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_query_on_real_pages(spark, sf):
+    pages = {p.page_id: p for p in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = H.op5_html_extract(spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        parser = ArticleText()
+        parser.feed(pages[r.page_id].html)
+        parser.close()
+        assert r.text == "\n".join(t for b in parser.blocks if (t := " ".join(b.split()))) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_query_on_real_vectors(spark):
+    rows = [(r.vec_id, r.label, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in P.op10_projection_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute(rows, 0.93)
+
+
 def test_unique_runs_of_a_block_stay(spark):
     same = " ".join(f"w{k}" for k in range(20))
     rows = [(k, "https://h.example/", f"<div>{same} " + " ".join(f"own{k}x{j}" for j in range(8)) + "</div>") for k in range(3)]

@@ -263,6 +263,43 @@ def test_loss_bearing_packing_of_conversations(spark, sf):
     assert sum(p.length for p in whole) == sum(p.length for p in pieces)
 
 
+def test_packing_query_on_real_documents(spark, sf):
+    """Each id of the library lies in exactly one piece, sequences have no gaps and, but for powers of two, no padding."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.word_vocabulary())
+    ids = {r.doc_id: np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in cases.documents(sf, spark).collect()}
+    documents, sequences = defaultdict(list), defaultdict(list)
+    for p in packing.op2_packing(spark, sf).collect():
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert zlib.crc32(part.tobytes()) == p.ids_crc32 and len(part) == p.length > 0 and p.doc_tokens == len(ids[p.doc_id])
+        documents[p.doc_id].append((p.start, p.length))
+        sequences[p.sequence_id].append((p.offset, p.length))
+    for own, total in [*((documents[i], len(x)) for i, x in ids.items()), *((x, None) for x in sequences.values())]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at == 4096 or at & (at - 1) == 0
+
+
+def test_jaccard_query_on_real_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in cases.documents(sf, spark).collect()]
+    assert {tuple(r) for r in jaccard_join.op8_jaccard_join(spark, sf).collect()} == brute_groups(rows, 4, 85)
+
+
+def test_bpe_query_on_real_documents(spark):
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(byte_bpe.multilingual_ranks()), special_tokens={})
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.op4_byte_bpe(spark, sf).collect()}
+    for r in cases.documents(sf, spark).collect():
+        ids = library.encode_ordinary(r.text or "")
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+
+
 def test_packing_limits():
     r = random.Random(5)
 
