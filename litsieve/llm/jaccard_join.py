@@ -40,6 +40,7 @@ from litsieve.llm.kernel import mix, shingle_sets
 
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
+KEYS_AT_ONCE = 1 << 18
 FEW_CHUNKS = 64  # so that small tables are not one task
 KEY_BITS = 56
 PIVOT_ROUNDS = 6
@@ -73,9 +74,10 @@ def _packed(keys: np.ndarray) -> bytes:
     return keys.view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(7, -1).T
+def _unpacked(planes: np.ndarray) -> np.ndarray:
+    """Keys of seven rows of bytes."""
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :7] = planes.T
     return out.view(np.uint64).ravel()
 
 
@@ -98,19 +100,28 @@ def _send_keys(words: int, ranges: int, bits: int):
 
 
 def _add_frequencies(table: pa.Table) -> pa.Table:
-    blocks = [_unpacked(x.as_py()) for x in table.column("sent_keys")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")])
-    _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
-    frequency = np.bincount(inverse, weights=counts)
-    classes = np.where(frequency > 1, 1 + np.floor(2 * np.log2(np.maximum(frequency, 1))), 0).astype(np.uint8)[inverse]
-    cuts = np.cumsum([0, *map(len, blocks)])
-    return pa.table(
-        {
-            "key_range": table.column("key_range"),
-            "chunk": table.column("chunk"),
-            "classes": pa.array([classes[cuts[k] : cuts[k + 1]].tobytes() for k in range(len(blocks))], pa.binary()),
-        }
-    )
+    """Frequency classes of the keys of one range, block by block as they came; a part of the range at a time, to bound memory."""
+    planes = [np.frombuffer(x.as_buffer(), np.uint8).reshape(7, -1) for x in table.column("sent_keys")]
+    counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts")]
+    classes = [np.zeros(p.shape[1], np.uint8) for p in planes]
+    n = sum(p.shape[1] for p in planes)
+    ends = [_unpacked(p[:, [0, -1]]) for p in planes]
+    low, high = min(int(e[0]) for e in ends), max(int(e[1]) for e in ends)
+    pieces = max(1, -(-n // KEYS_AT_ONCE))
+    edges = np.array([low + (high - low + 1) * k // pieces for k in range(pieces + 1)], np.uint64)
+    cuts = [np.searchsorted(_unpacked(p), edges) for p in planes]
+    for k in range(pieces):
+        keys = np.concatenate([_unpacked(p[:, c[k] : c[k + 1]]) for p, c in zip(planes, cuts, strict=True)])
+        if not len(keys):
+            continue
+        _, inverse = np.unique(keys, return_inverse=True)
+        frequency = np.bincount(inverse, weights=np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(counts, cuts, strict=True)]))
+        found = np.where(frequency > 1, 1 + np.floor(2 * np.log2(np.maximum(frequency, 1))), 0).astype(np.uint8)[inverse]
+        at = 0
+        for x, c in zip(classes, cuts, strict=True):
+            x[c[k] : c[k + 1]] = found[at : at + c[k + 1] - c[k]]
+            at += c[k + 1] - c[k]
+    return pa.table({"key_range": table.column("key_range"), "chunk": table.column("chunk"), "classes": pa.array([x.tobytes() for x in classes], pa.binary())})
 
 
 def _sets(column: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:

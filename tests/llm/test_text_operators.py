@@ -165,7 +165,25 @@ def test_only_shared_shingles_are_indexed(spark):
 
 def test_packed_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
-    assert (jaccard_join._unpacked(jaccard_join._packed(keys)) == keys).all() and len(jaccard_join._packed(keys)) == 7000
+    packed = jaccard_join._packed(keys)
+    assert (jaccard_join._unpacked(np.frombuffer(packed, np.uint8).reshape(7, -1)) == keys).all() and len(packed) == 7000
+
+
+def test_frequencies_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    blocks = [np.unique(r.integers(0, 60, 40, dtype=np.uint64) << np.uint64(48)) for _ in range(5)]
+    counts = [r.integers(1, 4, len(b)).astype(np.uint8) for b in blocks]
+    table = pa.table({"key_range": [0] * 5, "chunk": list(range(5)), "sent_keys": [jaccard_join._packed(b) for b in blocks], "counts": [c.tobytes() for c in counts]})
+    total = defaultdict(int)
+    for b, c in zip(blocks, counts, strict=True):
+        for key, n in zip(b.tolist(), c.tolist(), strict=True):
+            total[key] += n
+    want = [bytes(0 if total[k] < 2 else int(1 + np.floor(2 * np.log2(total[k]))) for k in b.tolist()) for b in blocks]
+    for at_once in (1 << 18, 7, 1):
+        monkeypatch.setattr(jaccard_join, "KEYS_AT_ONCE", at_once)
+        assert jaccard_join._add_frequencies(table).column("classes").to_pylist() == want
 
 
 def test_jaccard_awkward(spark):
