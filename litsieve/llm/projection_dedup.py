@@ -14,7 +14,7 @@
 5. Candidates are verified by cosine in double precision: first every row's nearest ones, then those that would connect
    different components.
 6. Every pair of classes within a component (and within a label that takes no passes) is compared in cells: members are dealt
-   into groups of GROUP_BYTES, and each pair of groups is one task, which adds up exact link counts and emits no pair but links
+   into groups (of GROUP_BYTES at most, few small ones where that is all), and each pair of groups is one task, which adds up exact link counts and emits no pair but links
    that unite something new. So n_links holds every link within a component, also those that no window saw.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
@@ -44,6 +44,7 @@ KEY_BITS = 62
 SKETCH = 256
 BLOCK = 2048
 GROUP_BYTES = 8 << 20
+GROUP_ROWS, FEW_GROUPS = 128, 16  # smaller owners are dealt too, into groups of so many rows but not more groups than that
 TILE = 1024
 MEAN_BYTES = 64 << 20
 GRID = [1, 1.25, 1.5, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]  # multiples of the passes done for which misses are measured
@@ -427,7 +428,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     parts = parts.withColumn("whole", F.lit(False)).withColumn("owner", F.col("component")).drop("component")
     members = whole.unionByName(parts)
     by = ["whole", "owner", "size"]
-    groups = members.groupBy(*by).agg(F.ceil(F.count("*") * F.col("size") / group_bytes).alias("groups"))
+    rows_in = F.count("*")
+    groups = members.groupBy(*by).agg(F.greatest(F.ceil(rows_in * F.col("size") / group_bytes), F.least(F.ceil(rows_in / GROUP_ROWS), F.lit(FEW_GROUPS))).alias("groups"))
     dealt = members.join(groups, by).withColumn("g", F.pmod(F.xxhash64("key"), F.col("groups")))
     dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     cells = dealt.select(*by, F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "g", "key", "copies", "vector")
