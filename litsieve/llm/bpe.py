@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _NONE = np.int64(1 << 60)
+_FIRST = 512
 
 
 class PairMerger:
@@ -30,6 +31,10 @@ class PairMerger:
             at = at[~take]
             slots[at] = (slots[at] + 1) & (size - 1)
             self.probes += 1
+        # most first pairs are of single bytes: their places are told by a square table
+        pairs = np.arange(_FIRST * _FIRST)
+        self.first_rank, self.first_slot = self._find(pairs // _FIRST, pairs % _FIRST)
+        self.first_slot = self.first_slot.astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -65,7 +70,10 @@ class PairMerger:
             if rank is None:
                 rank = np.full(len(symbols), _NONE)
                 slot = np.zeros(len(symbols), np.int64)
-                if len(symbols) > 1:
+                if len(symbols) > 1 and int(symbols.max()) < _FIRST:
+                    pair = symbols[:-1] * np.int32(_FIRST) + symbols[1:]
+                    rank[:-1], slot[:-1] = self.first_rank[pair], self.first_slot[pair]
+                elif len(symbols) > 1:
                     rank[:-1], slot[:-1] = self._find(symbols[:-1], symbols[1:])
                 rank[starts + lengths - 1] = _NONE
             least = np.minimum.reduceat(rank, starts)

@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 4096
 END_ID = 2
 OPEN_SEQUENCES = 24
-CACHED_WORDS = 350_000
+CACHED_WORDS = 250_000
+BATCH_BYTES = 384 << 10
+
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 #: Words of visible ASCII and the letters of Latin-1: each of these letters has one lower form and no parts to compose.
 _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -59,7 +63,7 @@ class WordEncoder:
     New words in which lower case and word pattern are beyond doubt (`_PLAIN`) are lowered, split and merged here, all of a
     batch together in numpy; the library encodes the rest. Words are kept in two generations: when the young one is full
     it becomes the old one, and words in use move up again, so frequent words stay and memory is bounded. One encoder serves
-    all tasks of a worker process.
+    all tasks of a worker process; its words go with the task.
     """
 
     def __init__(self, path: str, specials_are_text: bool = False) -> None:
@@ -87,58 +91,61 @@ class WordEncoder:
         key = (path, specials_are_text)
         return _ENCODERS.get(key) or _ENCODERS.setdefault(key, WordEncoder(*key))
 
-    def _pieces(self, word: bytes) -> list[bytes] | None:
-        """The word lowered and split by the pattern; None if it is the library's."""
-        if word.isalpha():  # ASCII letters only
-            return [word.lower()]
-        body, end = word[:-1], word[-1:]
-        if end in b",." and body.isalpha():
-            return [body.lower(), end]
-        body, end = (body, [end]) if end in b",." else (word, [])
-        text = body.decode("utf-8", "replace")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        if text.isalpha():
-            return [text.lower().encode(), *end]
-        text = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return None
-        return [x.encode() for x in self.pattern.findall(text.lower())]
+    def _pieces(self, word: bytes) -> bytes | list[bytes] | None:
+        """The word lowered and split by the pattern, one piece bare; None if it is the library's."""
+        body = word.rstrip(_MARKS)  # the marks at the end are one piece, whatever precedes
+        if not body.isalpha():  # ASCII letters only
+            try:
+                text = body.decode()
+                text.encode("latin-1")
+            except UnicodeError:  # letters beyond Latin-1, or no UTF-8
+                return None
+            if not text.isalpha():
+                text = word.decode()
+                if not _PLAIN.fullmatch(text) or "<|" in text:
+                    return None
+                return [x.encode() for x in self.pattern.findall(text.lower())]
+            lowered = text.lower().encode()
+        else:
+            lowered = body.lower()
+        return lowered if len(body) == len(word) else [lowered, word[len(body) :]]
 
     def _add(self, fresh: list[bytes]) -> None:
-        split = [self._pieces(w) for w in fresh]
-        pieces = list({p for w in split if w is not None for p in w})
+        split = list(map(self._pieces, fresh))
+        several = [p for p in split if type(p) is list]
+        pieces = list({p for p in split if type(p) is bytes}.union(*several))
         codes: dict[bytes, bytes] = {}
         if pieces:
-            lengths = np.array([len(p) for p in pieces])
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
             data = np.frombuffer(b"".join(pieces), np.uint8)
             symbols = self.inner[data]
             ends = np.cumsum(lengths) - 1
             symbols[ends] = self.final[data[ends]]
             ids, sizes = self.merger.merge(symbols, lengths)
-            blob, at = ids.astype("<u4").tobytes(), 0
-            for piece, size in zip(pieces, (4 * sizes).tolist(), strict=True):
-                codes[piece] = blob[at : at + size]
-                at += size
+            blob = ids.astype("<u4").tobytes()
+            cuts = [0, *np.cumsum(4 * sizes).tolist()]
+            codes = {piece: blob[a:b] for piece, a, b in zip(pieces, cuts, cuts[1:], strict=False)}
         words, foreign = self.words, []
         for word, own in zip(fresh, split, strict=True):
-            if own is None:
+            if type(own) is bytes:
+                words[word] = codes[own]
+            elif own is None:
                 foreign.append(word)
             else:
-                words[word] = codes[own[0]] if len(own) == 1 else b"".join([codes[p] for p in own])
+                words[word] = b"".join(map(codes.__getitem__, own))
         for word in foreign:
             ids = self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
             words[word] = np.array(ids, "<u4").tobytes()
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
-        split = [body.split() for body in bodies]  # bytes split at ASCII white space only
+        # bytes split at ASCII white space only; A-Z may be lowered first but in special tokens, which are told by their case, and
+        # before combining marks (lead bytes CC and CD), as some small letters compose with them and their capitals don't
+        split = [(body if b"<|" in body or b"\xcc" in body or b"\xcd" in body else body.lower()).split() for body in bodies]
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
         fresh = []
-        for word in {w for doc in split for w in doc}.difference(words):
+        for word in set(chain.from_iterable(split)).difference(words):
             code = older.get(word)
             if code is None:
                 fresh.append(word)
@@ -298,15 +305,21 @@ def pack(
 
         packer = Packer(emit, max_tokens, max_segments, max_loss_tokens)
         for batch in batches:
-            ids, bodies, froms = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            for at in range(0, len(ids), 256):
-                some = [b.as_py() for b in bodies[at : at + 256]]
-                for doc_id, code, loss_from in zip(ids[at : at + 256], encoder.encode(some), froms[at : at + 256], strict=True):
+            ids, bodies, froms, at = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), 0
+            while at < len(ids):
+                some, held = [], 0
+                while at + len(some) < len(ids) and held < BATCH_BYTES:
+                    some.append(bodies[at + len(some)].as_py())
+                    held += len(some[-1])
+                until = at + len(some)
+                for doc_id, code, loss_from in zip(ids[at:until], encoder.encode(some), froms[at:until], strict=True):
                     example = _Example(doc_id, code + end, loss_from)
                     packer.add(example, example.n)
                 if len(rows) > 20_000:
                     yield batch_of()
+                at = until
         packer.finish()
+        encoder.words, encoder.older = {}, {}  # a worker that does other work holds no words
         if rows:
             yield batch_of()
 
