@@ -256,6 +256,7 @@ def test_word_ids_equal_the_library(spark):
     points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
     texts = [x.text or "" for x in cases.documents("/root/testdata/sf0.01", spark).select("text").collect()]
     texts += ["".join(map(chr, r.choices(points, k=20))) for _ in range(2000)] + ["a" + chr(c) + "b " + chr(c) for c in points[:20_000]]
+    texts += [" ".join(letter + chr(mark) + "x" for letter in "AEHJTWYaehjtwy") for mark in range(0x300, 0x370)]
     texts += ["<|endoftext|>", "x<|startoftext|>y", "<|end oftext|>", "<|ENDOFTEXT|>"]
     want = library.encode_batch_fast(texts, add_special_tokens=False)
     assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(encoder.encode([t.encode() for t in texts]), want, strict=True))
