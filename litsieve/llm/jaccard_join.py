@@ -293,13 +293,27 @@ def _labelled(edges: DataFrame, members: DataFrame, used: list[DataFrame]) -> tu
     return edges, labels
 
 
+def _difference(sizes: F.Column, percent: int) -> F.Column:
+    """The most members in which two linked sets with so many members together differ."""
+    return sizes - 2 * F.ceil(sizes * percent / (100 + percent))
+
+
 def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different components that share a bucket: what the pivots left."""
     settled = (F.col("low") == F.col("main")) & (F.col("high") == F.col("main"))
-    rows = open_postings.withColumn("settled", settled)
-    x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high")))
+    # of a group's parity bitmaps the bits that all members have and those that any has
+    words = range(BITMAP // 64)
+    told = [f(F.get("bitmap", F.lit(k))).alias(f"{name}{k}") for k in words for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    bits = members.groupBy("gid").agg(*told)
+    told = [f"{name}{k}" for k in words for name in ("all", "any")]
+    rows = open_postings.withColumn("settled", settled).join(bits, "gid")
+    x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high", *told)))
     # sizes that can link lie in the same band or in neighbouring ones, so a bucket is split by bands
-    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled")))
+    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled", *told)))
+    # each bit in which two parity bitmaps differ is a shingle that one set lacks: too many of them rule a link out, and so do
+    # bits that no two members of a pair of groups share
+    lacking = lambda a, b, k: F.col(f"all{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"any{k}_{b}")))
+    groups_apart = sum(F.bit_count(lacking("x", "y", k)) + F.bit_count(lacking("y", "x", k)) for k in words)
     need = (F.col("n_x") + F.col("n_y")) * percent
     most = 1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)
     pairs = x.join(y, ["shingle", "band"]).where(
@@ -308,15 +322,14 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
         & ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
         # after the first shared shingle in order at most that many more are shared; a later one only says less
         & (most * (100 + percent) >= need)
+        & (groups_apart <= _difference(F.col("n_x") + F.col("n_y"), percent))
     )
     pairs = pairs.select("gid_x", "gid_y").distinct()
     member = members.join(labels, "rep")
     one = member.select(F.col("gid").alias("gid_x"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
     two = member.select(F.col("gid").alias("gid_y"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
-    # each bit in which two parity bitmaps differ is a shingle that one set lacks: too many of them rule a link out
-    sizes = F.col("na") + F.col("nb")
-    apart = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP // 64))
-    near = apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent))
+    apart = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in words)
+    near = apart <= _difference(F.col("na") + F.col("nb"), percent)
     pairs = pairs.join(one, "gid_x").join(two, "gid_y").where((F.col("ca") != F.col("cb")) & near)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _verified(pairs, sets, percent)
