@@ -306,10 +306,12 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
     told = [f(F.get("bitmap", F.lit(k))).alias(f"{name}{k}") for k in words for name, f in (("all", F.bit_and), ("any", F.bit_or))]
     bits = members.groupBy("gid").agg(*told)
     told = [f"{name}{k}" for k in words for name in ("all", "any")]
-    rows = open_postings.withColumn("settled", settled).join(bits, "gid")
-    x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high", *told)))
+    rows = open_postings.withColumn("settled", settled).join(bits, "gid").join(sets.select(F.col("rep").alias("gid"), "prefix"), "gid")
+    # a pair is taken at the first shingle that it shares, or not at all: if that bucket isn't open, the pair is connected
+    rows = rows.withColumn("before", F.slice("prefix", F.lit(1), F.array_position("prefix", F.col("shingle")).cast("int") - 1)).drop("prefix")
+    x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high", "before", *told)))
     # sizes that can link lie in the same band or in neighbouring ones, so a bucket is split by bands
-    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled", *told)))
+    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled", "before", *told)))
     # each bit in which two parity bitmaps differ is a shingle that one set lacks: too many of them rule a link out, and so do
     # bits that no two members of a pair of groups share
     lacking = lambda a, b, k: F.col(f"all{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"any{k}_{b}")))
@@ -320,11 +322,12 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
         (F.col("settled_y") | (F.col("gid_x") <= F.col("gid_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
-        # after the first shared shingle in order at most that many more are shared; a later one only says less
+        & ~F.arrays_overlap("before_x", "before_y")
+        # after the first shared shingle in order at most that many more are shared
         & (most * (100 + percent) >= need)
         & (groups_apart <= _difference(F.col("n_x") + F.col("n_y"), percent))
     )
-    pairs = pairs.select("gid_x", "gid_y").distinct()
+    pairs = pairs.select("gid_x", "gid_y")
     member = members.join(labels, "rep")
     one = member.select(F.col("gid").alias("gid_x"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
     two = member.select(F.col("gid").alias("gid_y"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
