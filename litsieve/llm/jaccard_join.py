@@ -44,7 +44,7 @@ KEYS_AT_ONCE = 1 << 18
 FEW_CHUNKS = 64  # so that small tables are not one task
 KEY_BITS = 56
 PIVOT_ROUNDS = 6
-BITMAP = 1024
+BITMAP = 256
 PAIRS_PER_POSTING = 100  # another round of pivots costs more than to filter this many pairs of groups
 
 
