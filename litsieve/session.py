@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -81,3 +81,17 @@ def remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # the session has ended: its folder is the cluster's to clean
         pass
+
+
+def write_table(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._litsieve_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table made by write_table once nothing reads it any more."""
+    remove(df.sparkSession, df._litsieve_path)
