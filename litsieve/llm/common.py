@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from litsieve.session import remove, scratch, ship_package
+from litsieve.session import drop_table as drop_table  # for the operators here
+from litsieve.session import ship_package
+from litsieve.session import write_table as write_table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,19 +85,3 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     want = decided.select(F.col("doc_id").alias("_want_id"), F.col("digest").alias("_want_text"))
     same = (F.col("_text") == F.col("_want_text")) & F.col("_id").eqNullSafe(F.col("_want_id"))
     return one.join(want, same, "left_semi").select("_row.*")
-
-
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._litsieve_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table made by write_table once nothing reads it any more."""
-    remove(df.sparkSession, df._litsieve_path)
-

@@ -1,0 +1,115 @@
+"""The Merkle manifest against a plain version, on awkward rows and trees of every small size."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from litsieve.llm import merkle as M
+from tests.llm import cases
+
+
+def sha(*texts):
+    return hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+def leaf_of(row):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def climb(nodes, arity):
+    """The root of a list of digests and, for each, its siblings before and after, level by level."""
+    paths, at, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+    while len(level) > 1:
+        for k, place in enumerate(at):
+            run = level[place - place % arity : place - place % arity + arity]
+            paths[k].append((run[: place % arity], run[place % arity + 1 :]))
+            at[k] = place // arity
+        level = [sha(*level[i : i + arity]) for i in range(0, len(level), arity)]
+    return level[0], paths
+
+
+def plainly(rows, arity=3):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    sources = defaultdict(list)
+    for row in rows:
+        sources[(row[1] is not None, (row[1] or "").encode())].append(row)
+    order, trees = sorted(sources), []
+    for key in order:
+        own = sorted(sources[key], key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r)))
+        trees.append((own, *climb([leaf_of(r) for r in own], arity)))
+    root, over = climb([t[1] for t in trees], arity)
+    out = []
+    for (own, subroot, paths), above in zip(trees, over, strict=True):
+        for row, path in zip(own, paths, strict=True):
+            node = leaf_of(row)
+            if zlib.crc32(str("" if row[0] is None else row[0]).encode()) % 2 == 0 and row[4] is not None:
+                node = leaf_of((*row[:4], row[4].replace("\n", "")))
+            for before, after in path + above:
+                node = sha(*before, node, *after)
+            proof = sha(*("".join(before + after) for before, after in path + above))
+            out.append((row[0], leaf_of(row), subroot, root, proof, node, node == root))
+    return out
+
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def run(spark, rows, tmp_path_factory, **more):
+    """The query over a table of these rows and columns that operators use inside."""
+    path = str(tmp_path_factory.mktemp("merkle"))
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit(k).alias(c) for k, c in enumerate(["hash", "tree", "pos", "nodes", "row", "first", "leaf", "claimed", "run", "proof", "number"])))
+    df.write.parquet(f"{path}/documents.parquet")
+    return [tuple(r) for r in M.op12_merkle(spark, path).collect()]
+
+
+def test_awkward(spark, tmp_path_factory):
+    rows = [(d, s, lang, None if t is None else len(t), t) for d, t, lang, s in cases.DOCS]
+    rows += [(9, "", "x", 1, "a\nb"), (9, "", "x", 1, "a\nc"), (9, "é", None, -3, "\n\n"), (None, None, None, None, None), (None, None, None, None, None), (-5, "ź", "z", 0, "")]
+    rows += [(20 + k, "one", "en", k, f"line {k}\nline") for k in range(31)]
+    rows += [(77, "copies", "en", 1, "same\n")] * 14
+    got = run(spark, rows, tmp_path_factory)
+    assert sorted(got, key=repr) == sorted(plainly(rows), key=repr)
+    assert {True, False} == {r[6] for r in got}
+
+
+def test_empty(spark, tmp_path_factory):
+    assert run(spark, [], tmp_path_factory) == []
+
+
+def test_sizes(spark):
+    """A tree of every size to 14 and some about powers, for three arities."""
+    r = random.Random(3)
+    rows = [(r.randrange(10**6), f"s{n:02}", "en", n, str(r.random())) for n in [*range(1, 15), 26, 27, 28] for _ in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for arity in (2, 3, 5):
+        made = M.build(df, arity=arity)
+        got = made.proofs().select("doc_id", M.as_text(F.col("leaf")), M.as_text(F.col("subroot")), M.proof_digest(F.col("proof")), M.as_text(M.folded(F.col("leaf"), F.col("proof")))).collect()
+        assert sorted(map(tuple, got)) == sorted((w[0], w[1], w[2], w[4], w[3]) for w in plainly(rows, arity))
+        assert made.root == plainly(rows, arity)[0][3]
+    with pytest.raises(ValueError, match="two nodes"):
+        M.build(df, arity=1)
+
+
+def test_a_changed_field_is_found(spark):
+    rows = [(k, "s", None, None, "") for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    claims = {"claimed": M.leaf_digest({"doc_id": F.col("doc_id"), "source": F.col("source"), "lang": F.when(F.col("doc_id") != 7, F.col("lang")).otherwise(F.lit("")), "n_chars": F.col("n_chars"), "text": F.col("text")})}
+    made = M.build(df, carry=claims)
+    bad = made.proofs().where(M.as_text(M.folded(F.col("claimed"), F.col("proof"))) != made.root).collect()
+    assert [r.doc_id for r in bad] == [7]
+
+
+def test_many_partitions(spark, sf):
+    docs = cases.documents(sf, spark)
+    want = M.build(docs).root
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert M.build(docs.repartition(17)).root == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
