@@ -49,7 +49,8 @@ def year_between(year: Column, low: Column, high: Column) -> Column:
 def matches(request: dict[str, str], text: Column, title: Column, author: Column, source: Column, year: Column) -> Column:
     """The whole request against one row's columns; unset fields ask for nothing.
 
-    Fields that need no tokens are tested first, and the tokens are made once: they are the argument of one lambda.
+    Fields that need no tokens are tested first, and the tokens are made once: they are the argument of one lambda. A null text or
+    title counts as empty.
     """
     get = lambda k: F.lit(request.get(k) or "")
     out = F.lit(True)
@@ -60,6 +61,6 @@ def matches(request: dict[str, str], text: Column, title: Column, author: Column
             out = out & field_contains(field, get(key))
     asked = [(key, ask) for key, ask in (("allWords", has_all), ("exact", has_phrase), ("atLeast", has_any), ("without", has_none)) if request.get(key)]
     if asked:
-        where = tokens(title if request.get("scope") == "title" else text)
+        where = tokens(F.coalesce(title if request.get("scope") == "title" else text, F.lit("")))
         out = out & F.exists(F.array(where), lambda t: reduce(and_, (ask(t, get(key)) for key, ask in asked)))
     return out

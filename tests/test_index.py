@@ -1,0 +1,119 @@
+"""Requests against works through the index, and substring search, each against the one-request operators."""
+
+import random
+from functools import reduce
+
+import pytest
+from pyspark.sql import functions as F
+
+from litsieve.operators import index as X
+from litsieve.operators import match as M
+from litsieve.operators import substring as G
+from litsieve.schemas import REQUEST, REQUEST_FIELDS
+
+WORDS = ["graph", "mining", "of", "the", "Data", "straße", "ÉTÉ", "漢字", "2020", "a"]
+
+
+def works(spark, rows):
+    return spark.createDataFrame(rows, "work long, text string, title string, author string, source string, year int")
+
+
+def requests(spark, rows):
+    return spark.createDataFrame([(k, *(r.get(f) for f in REQUEST_FIELDS)) for k, r in enumerate(rows)], f"request_id long, {REQUEST}")
+
+
+def random_works(r, n):
+    text = lambda most: r.choice([" ", ", "]).join(r.choice(WORDS) for _ in range(r.randint(0, most)))
+    return [(k, text(25), text(4), r.choice(["Ann Lee", "LEE, Bob", "Zoë 😀", "", None]), r.choice(["Nature", "nat. bio", "J", None]), r.choice([None, 1990, 2000, 2010])) for k in range(n)]
+
+
+def random_request(r):
+    pick = lambda n, by=" ": by.join(r.choice(WORDS) for _ in range(r.randint(1, n)))
+    out = {}
+    if r.random() < 0.5:
+        out["allWords"] = pick(3)
+    if r.random() < 0.4:
+        out["exact"] = pick(3, r.choice([" ", " - ", "  "]))
+    if r.random() < 0.3:
+        out["atLeast"] = pick(3)
+    if r.random() < 0.4:
+        out["without"] = pick(2)
+    if r.random() < 0.3:
+        out["scope"] = "title"
+    if r.random() < 0.3:
+        out["author"] = r.choice(["lee", "LE", "e", "ann lee", "ë 😀", "nobody", ""])
+    if r.random() < 0.3:
+        out["source"] = r.choice(["nat", "J", "t. b", "x"])
+    if r.random() < 0.3:
+        out["ylo"] = r.choice(["1995", "x", ""])
+    if r.random() < 0.3:
+        out["yhi"] = r.choice(["2005", "1980", "20.5"])
+    return out
+
+
+AWKWARD = [
+    {}, {"without": "the"}, {"allWords": "!!!", "exact": "...", "atLeast": "-", "without": "?"}, {"allWords": "the the the"}, {"exact": "a a a"}, {"exact": "of of"},
+    {"allWords": "graph", "without": "graph"}, {"atLeast": "nowhere none"}, {"allWords": "graph nowhere"}, {"exact": "the", "scope": "title"}, {"author": "lee"}, {"source": "nat", "without": "the"},
+    {"author": "e", "source": "a", "ylo": "1995"}, {"allWords": "STRASSE"}, {"allWords": "Straße été"}, {"yhi": "1999"}, {"scope": "title"}, {"scope": None, "allWords": None, "exact": ""},
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_match_requests(spark, seed):
+    r = random.Random(seed)
+    rows = random_works(r, 70) + [(100, None, None, None, None, None), (101, "a a a b", "of of of", "Lee", "Nature", 2000), (102, "a a", "of", "Lee", "Nature", 2000), (None, "graph", "graph", "Lee", "J", 2000)]
+    df = works(spark, rows).cache()
+    asked = AWKWARD + [random_request(r) for _ in range(30)]
+    index = X.build_index(df)
+    got = sorted(tuple(x) for x in X.match_requests(requests(spark, asked), index).collect())
+    one = [df.where("work is not null").where(M.matches(q, *(F.col(c) for c in ("text", "title", "author", "source", "year")))).select(F.lit(k).cast("long").alias("request_id"), "work") for k, q in enumerate(asked)]
+    want = sorted(tuple(x) for x in reduce(lambda a, b: a.unionByName(b), one).collect())
+    assert got == want
+    assert len({k for k, _ in got}) > 15
+
+
+def test_shards_and_repeated_requests(spark, monkeypatch):
+    df = works(spark, random_works(random.Random(5), 40))
+    index = X.build_index(df)
+    asked = requests(spark, [{}, {"without": "the"}])
+    want = sorted(tuple(x) for x in X.match_requests(asked, index).collect())
+    monkeypatch.setattr(X, "SHARD_WORKS", 7)
+    assert sorted(tuple(x) for x in X.match_requests(asked, index).collect()) == want
+    twice = sorted(tuple(x) for x in X.match_requests(asked.unionByName(asked), index).collect())
+    assert twice == sorted(want * 2)
+
+
+def test_empty(spark):
+    index = X.build_index(works(spark, []))
+    assert X.match_requests(requests(spark, AWKWARD), index).count() == 0
+    index = X.build_index(works(spark, random_works(random.Random(1), 3)))
+    assert X.match_requests(requests(spark, []), index).count() == 0
+
+
+def test_term_positions(spark):
+    row = spark.range(1).select(X.term_positions(F.array(*map(F.lit, ["b", "a", "b", "b", "c"]))).alias("t"), X.term_positions(F.array().cast("array<string>")).alias("none")).first()
+    assert [(x.term, x.positions) for x in row.t] == [("a", [1]), ("b", [0, 2, 3]), ("c", [4])]
+    assert row.none == []
+
+
+def test_no_all_pairs_join(spark):
+    df = works(spark, random_works(random.Random(2), 30))
+    plan = X.match_requests(requests(spark, AWKWARD), X.build_index(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_contains_pairs(spark):
+    r = random.Random(7)
+    text = lambda most: "".join(r.choice("abA ñ😀") for _ in range(r.randint(0, most)))
+    parts, values = [text(5) for _ in range(120)] + [None, "", "zzz", "a"], [text(14) for _ in range(150)] + [None, "", "ab" * 3000]
+    got = G.contains_pairs(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    want = {(p.lower(), v.lower()) for p in parts if p for v in values if v is not None and p.lower() in v.lower()}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_rows_containing(spark):
+    rows = spark.createDataFrame([(1, "Ann Lee"), (2, "ann lee"), (3, "Bob"), (4, None), (4, "Lee")], "work long, author string")
+    asked = spark.createDataFrame([("x", "LEE"), ("y", "ann"), ("y", "ann"), ("z", ""), ("z", None), ("q", "nobody")], "request string, wanted string")
+    got = sorted((r.request, r.work) for r in G.rows_containing(asked, rows, "wanted", "author").collect())
+    assert got == [("x", 1), ("x", 2), ("x", 4), ("y", 1), ("y", 1), ("y", 2), ("y", 2)]

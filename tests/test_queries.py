@@ -2,7 +2,7 @@
 
 import pytest
 
-from litsieve.plans.queries import QUERIES, SQL
+from litsieve.plans.registry import QUERIES, SQL
 
 
 def rows(columns, data):
