@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.functions.text import filled
 from litsieve.operators.compile import human_link, link_formula, request_query
+from litsieve.operators.numbering import numbered
 from litsieve.operators.response import hits_text
 from litsieve.schemas import LOG, REQUEST_FIELDS
+from litsieve.session import create_once, exists
 
 # The scope that an empty one stands for, the log sheet's name and its two header rows (column D is a spacer),
 # and what is said about a selection that isn't a row of the log.
@@ -26,10 +30,10 @@ class LogRowError(LookupError):
     """There is no such row in the log."""
 
 
-def log_rows(requests: DataFrame, hits: Column, log_id: Column, logged_at: Column, api_calls: int = 1) -> DataFrame:
+def log_rows(requests: DataFrame, hits: Column, log_id: Column, logged_at: Column, api_calls: int = 1, results: Column | None = None) -> DataFrame:
     """One log row per request: when, link, query, the nine inputs ('' for missing ones), calls and the hit count as text.
 
-    `log_id` has to be unique; pass `F.expr("uuid()")` for new rows. The clock is an argument, so that runs can be repeated.
+    `results` is that text where the service gave one. `log_id` has to be unique; pass `F.expr("uuid()")` for new rows. The clock is an argument, so that runs can be repeated.
     """
     rows = requests.withColumn("query", request_query())
     return rows.select(
@@ -39,16 +43,62 @@ def log_rows(requests: DataFrame, hits: Column, log_id: Column, logged_at: Colum
         "query",
         *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in REQUEST_FIELDS),
         F.lit(api_calls).cast("int").alias("api_calls"),
-        hits_text(hits).alias("results"),
+        (hits_text(hits) if results is None else results).alias("results"),
     )
 
 
 def append_log(rows: DataFrame, table: str) -> None:
-    """Creates the log if it isn't there, then appends."""
-    spark = rows.sparkSession
-    if not spark.catalog.tableExists(table):
-        spark.createDataFrame([], LOG).write.mode("ignore").saveAsTable(table)
-    rows.write.mode("append").saveAsTable(table)
+    """Creates the log table if it isn't there, then appends. `RunLog.append` can be repeated, this can't."""
+    rows.sparkSession.sql(f"CREATE TABLE IF NOT EXISTS {table} ({LOG}) USING parquet")
+    rows.select(*(f.split()[0] for f in LOG.split(", "))).write.mode("append").insertInto(table)
+
+
+class RunLog:
+    """A log that runs append to, each run once, in a folder: `rows/run=<id>` has a run's rows, `runs/<id>` says that they are whole.
+
+    Nothing has to be created first. A run that stopped before its marker left rows that no reader sees; its repetition writes
+    them again. A row whose log_id an earlier run has committed isn't added, and where two runs added one at the same time, readers see
+    that of the run that was committed first.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _marker(self, run_id: str) -> str:
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run_id):
+            raise ValueError(f"a run is named by letters, digits, '.', '_' and '-', not {run_id!r}")
+        return f"{self.path}/runs/{run_id}"
+
+    def committed(self, run_id: str) -> bool:
+        return exists(self.spark, self._marker(run_id))
+
+    def append(self, rows: DataFrame, run_id: str) -> bool:
+        """Adds the rows of a run, one for each log_id; False if the run is in the log already."""
+        marker = self._marker(run_id)
+        if exists(self.spark, marker):
+            return False
+        self._write(rows, run_id)
+        return create_once(self.spark, marker, run_id)
+
+    def _write(self, rows: DataFrame, run_id: str) -> None:
+        known = self.read().select("log_id")
+        one = rows.groupBy("log_id").agg(F.min(F.struct(*(c for c in rows.columns if c != "log_id"))).alias("_row")).select("log_id", "_row.*")
+        one.join(known, "log_id", "left_anti").write.mode("overwrite").parquet(f"{self.path}/rows/run={run_id}")
+
+    def read(self) -> DataFrame:
+        """The rows of committed runs, one for each log_id."""
+        if not exists(self.spark, f"{self.path}/runs"):
+            return self.spark.createDataFrame([], LOG)
+        runs = self.spark.read.text(f"{self.path}/runs", wholetext=True).select(F.col("value").alias("run"), F.col("_metadata.file_modification_time").alias("_since"))
+        rows = self.spark.read.schema(f"{LOG}, run string").parquet(f"{self.path}/rows").join(runs, "run")
+        names = [f.split()[0] for f in LOG.split(", ")]
+        first = F.min_by(F.struct(*names), F.struct("_since", "run"))
+        return rows.groupBy("log_id").agg(first.alias("_row")).select("_row.*")
+
+
+def numbered_log(log: DataFrame) -> DataFrame:
+    """The log with `number`, the place of each row from 1 in the order of logging (then of log_id)."""
+    return numbered(log, ["logged_at", "log_id"])
 
 
 def recalled(log: DataFrame, *keep: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Answers of services that aren't there, made from the address alone, for the queries over derived requests.
+"""Stand-in for the remote services in the queries over derived requests: answers made from the address alone.
 
 The length of the query (or text) decides what happens: refused, broken, no JSON, or an answer with a hit.
 """
@@ -9,6 +9,7 @@ import json
 from urllib.parse import unquote
 
 from litsieve.operators.compile import SEARCH_BASE
+from litsieve.operators.citations import WORK_BASE
 from litsieve.operators.works import CATALOGUE_BASE
 
 BUSY = "<html>busy"
@@ -36,3 +37,15 @@ def works(url: str, headers: dict[str, str]) -> tuple[int, str]:
     if len(text) % 3 == 0:
         return 200, '{"results": []}'
     return 404, BUSY if len(text) % 3 == 1 else json.dumps({"results": [{"id": "W4", "title": text, "versions_count": 2}]})
+
+
+def citations(url: str, headers: dict[str, str]) -> tuple[int, str]:
+    """The work `W<k>` of so many as the contact's name says; every ninth isn't known, every seventh is busy."""
+    identifier, _, contact = url.removeprefix(f"{CATALOGUE_BASE}/").partition("?mailto=")
+    k, n = int(identifier.rpartition("W")[2]), int(contact.partition("@")[0])
+    if k % 9 == 4:
+        return 404, '{"error": "no such work"}'
+    if k % 7 == 5:
+        return 503, BUSY
+    cited = [f"{WORK_BASE}W{(k * a + b) % n}" for a, b in ((7, 3), (11, 5))]
+    return 200, json.dumps({"id": f"{WORK_BASE}W{k}", "title": f"work {k}", "referenced_works": cited, "cited_by_count": k % 10, "publication_year": 1990 + k % 30})

@@ -299,7 +299,7 @@ def _table(spark: SparkSession, name: str) -> str:
 
     def drop() -> None:
         if spark.sparkContext._jsc is not None:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            R.drop_results(spark, table)
 
     atexit.register(drop)
     return table

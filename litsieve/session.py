@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -83,6 +84,27 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any of Spark's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file; False if it is there already. Of several drivers that try, one succeeds where the store can tell."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = system.create(at, False)
+    except Py4JJavaError as error:
+        if system.exists(at):
+            return False
+        raise error
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
     path = scratch(df.sparkSession, tag)

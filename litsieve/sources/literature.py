@@ -28,6 +28,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from litsieve.operators.compile import HIGH_YEAR, LOW_YEAR, SEARCH_BASE
 from litsieve.operators.works import CATALOGUE_BASE, DOI_BASE, DOI_MARK, ID_MARK
+from litsieve.session import exists
 
 PUSHDOWN_FLAG = "spark.sql.python.filterPushdown.enabled"
 KEY_VARIABLE = "LITSIEVE_API_KEY"
@@ -162,10 +163,16 @@ def fetch(requests: DataFrame, query_col: str = "query", **options: str) -> Data
     return requests.mapInArrow(run, schema)
 
 
-def captured(answers: DataFrame, path: str) -> DataFrame:
-    """The answers, written to path once and read back: what reads them calls nobody."""
-    answers.write.mode("errorifexists").parquet(path)
-    return answers.sparkSession.read.schema(answers.schema).parquet(path)
+def captured(answers: DataFrame, path: str, resume: bool = False) -> DataFrame:
+    """The answers, written to path once and read back: what reads them calls nobody.
+
+    With `resume` answers that are there whole are taken as they are, and half-written ones are replaced; the path then has to
+    stand for one set of requests.
+    """
+    spark = answers.sparkSession
+    if not (resume and exists(spark, f"{path}/_SUCCESS")):
+        answers.write.mode("overwrite" if resume else "errorifexists").parquet(path)
+    return spark.read.schema(answers.schema).parquet(path)
 
 
 def payload_files(spark: SparkSession, path: str) -> DataFrame:

@@ -20,10 +20,15 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want)
 
 
+#: queries that send rows through Python themselves; those of calls (search_, stream_, works_, snowball_live) did so before the
+#: table that their plan reads was written
+IN_PYTHON = {"response_dump"}
+
+
 def test_no_python_in_plans(spark, sf):
     for name, query in QUERIES.items():
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan, name
+        assert ("Python" in plan or "Arrow" in plan) == (name in IN_PYTHON), name
 
 
 def test_entry(spark):
