@@ -13,9 +13,11 @@ shared, so only prefix shingles of frequency two and more are indexed: ordinary
 3. Group pairs. The groups that share a prefix shingle (a bucket) are first compared with one pivot of the bucket and size
    band. Most buckets of near copies are connected by that, and a pair of documents that are connected needs no check.
    What stays between different components is paired group by group within neighbouring size bands, under length and
-   position filters, expanded to members, held against parity bitmaps of the sets, which rule out most, and verified. So no
-   link between different components can be lost, whatever the size of a bucket, and a bucket of thousands of near copies
-   costs some comparisons a document, not all pairs.
+   position filters, expanded to members and held against parity bitmaps of the sets. Their difference is a lower bound of the
+   sets' own, so pairs above the limit go, and the likeliest pairs are verified first: those that differ by at most a first
+   share of the limit, then, between the components that are still apart, by more, at last by the whole limit. So no link
+   between different components can be lost, whatever the size of a bucket, and a cloud of thousands of near copies costs
+   some comparisons a document, not all its links.
 4. Components by large-star and small-star steps.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; fewer than n words
@@ -45,6 +47,9 @@ FEW_CHUNKS = 64  # so that small tables are not one task
 KEY_BITS = 56
 PIVOT_ROUNDS = 6
 BITMAP = 256
+SHARES = (0.6, 0.8, 1.0)  # of the most members that linked sets may differ in, stage by stage; the last has to be 1
+FEW_PAIRS = 50_000  # so many pairs of groups at most are compared in one stage
+BEFORE = 32  # shingles before a posting's own that it remembers
 PAIRS_PER_POSTING = 100  # another round of pivots costs more than to filter this many pairs of groups
 
 
@@ -138,8 +143,12 @@ def _prefixes(words: int, ranges: int, percent: int, bits: int):
         keys, _ = _chunk_keys(sets, bits)
         cuts = _cuts(keys, ranges, bits)
         classes = np.zeros(len(keys), np.uint8)
+        answered = 0
         for r, block in zip(answers.column("key_range").to_pylist(), answers.column("classes"), strict=True):
-            classes[cuts[r] : cuts[r + 1]] = np.frombuffer(block.as_py(), np.uint8)
+            classes[cuts[r] : cuts[r + 1]] = (own := np.frombuffer(block.as_py(), np.uint8))
+            answered += len(own)
+        if answered != len(keys):
+            raise RuntimeError("a chunk has other rows than before: the input isn't the same each time it is read")
         sizes, signatures, prefixes, places, bitmaps, stored, seen = [], [], [], [], [], [], set()
         for s in sets:
             n = len(s)
@@ -231,41 +240,44 @@ def grouped_rows(docs: DataFrame, words: int, percent: int, id_col: str = "doc_i
     groups = write_table(groups, "groups")
     members = write_table(members.select("rep", "g", "h", "n", "bitmap").join(groups.select("g", "h", "gid"), ["g", "h"]).select("rep", "gid", "n", "bitmap"), "members")
     postings = groups.select("gid", "n", "place", F.posexplode("prefix").alias("k", "shingle"))
-    postings = postings.select("shingle", "gid", "n", (F.col("place") + F.col("k")).alias("at"), _band("n", percent).alias("band"))
+    postings = postings.select("shingle", "gid", "n", "k", (F.col("place") + F.col("k")).alias("at"), _band("n", percent).alias("band"))
     # a shingle of one group alone pairs nothing but the members of that group
     postings = write_table(postings, "postings")
     drop_table(groups)
 
     labels = members.select("rep", F.col("rep").alias("component"))
-    edges, last = spark.createDataFrame([], "a long, b long"), float("inf")
+    edges, last, settled = spark.createDataFrame([], "a long, b long"), float("inf"), False
     used: list[DataFrame] = []
     for salt in range(PIVOT_ROUNDS + 1):
-        state = members.join(labels, "rep").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_postings = postings.join(state, "gid")
+        at = postings
         if salt:
-            buckets = open_postings.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
-            main = open_postings.groupBy("shingle", "low").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
-            open_postings = write_table(open_postings.join(buckets.join(main, "shingle").select("shingle", "main"), "shingle"), "open")
-            used.append(open_postings)
+            at = write_table(_open(postings, members, labels), "open")
+            used.append(at)
             aside = F.sum((~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))).cast("long"))
-            sizes = open_postings.groupBy("shingle").agg(aside.alias("x"), F.count("*").alias("y"))
+            sizes = at.groupBy("shingle").agg(aside.alias("x"), F.count("*").alias("y"))
             pairs, rows = sizes.agg(F.sum(F.col("x") * F.col("y")), F.sum("y")).first()
-            if rows is None:
-                break
-            if salt == PIVOT_ROUNDS or pairs <= PAIRS_PER_POSTING * rows or pairs > 0.7 * last:
-                edges, labels = _labelled(_rest(open_postings, members, labels, sets, percent).unionByName(edges), members, used)
+            settled = rows is None
+            if settled or salt == PIVOT_ROUNDS or pairs <= PAIRS_PER_POSTING * rows or pairs > 0.7 * last:
                 break
             last = pairs
         # pivots: the group with the least salted hash in a bucket's size band, for that band and the next
-        least = open_postings.groupBy("shingle", "band").agg(F.min_by("gid", F.struct(F.xxhash64("gid", F.lit(salt)), "gid")).alias("pivot"))
+        least = at.groupBy("shingle", "band").agg(F.min_by("gid", F.struct(F.xxhash64("gid", F.lit(salt)), "gid")).alias("pivot"))
         pivots = least.unionByName(least.withColumn("band", F.col("band") + 1))
-        pairs = open_postings.select("shingle", "band", "gid").join(pivots, ["shingle", "band"]).select("gid", "pivot").distinct()
+        pairs = at.select("shingle", "band", "gid").join(pivots, ["shingle", "band"]).select("gid", "pivot").distinct()
         pairs = pairs.join(members, "gid").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
         if salt:
             own = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
             other = labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
             pairs = pairs.join(own, "a").join(other, "b").where("ca <> cb").select("a", "b")
         edges, labels = _labelled(_verified(pairs, sets, percent).unionByName(edges), members, used)
+    shares = () if settled else SHARES if pairs > FEW_PAIRS else SHARES[-1:]
+    for share in shares:
+        if share > shares[0]:
+            at = write_table(_open(postings, members, labels), "open")
+            used.append(at)
+            if at.isEmpty():
+                break
+        edges, labels = _labelled(_rest(at, members, labels, sets, percent, share).unionByName(edges), members, used)
 
     component = owner.join(labels, "rep", "left").select("signature", "least", F.coalesce("component", "rep").alias("component"))
     ids = component.groupBy("component").agg(F.min("least").alias("least_id"))
@@ -298,8 +310,18 @@ def _difference(sizes: F.Column, percent: int) -> F.Column:
     return sizes - 2 * F.ceil(sizes * percent / (100 + percent))
 
 
-def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different components that share a bucket: what the pivots left."""
+def _open(postings: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of buckets with more than one component: least and largest component of the group, main one of the bucket."""
+    state = members.join(labels, "rep").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = postings.join(state, "gid")
+    buckets = placed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    main = placed.groupBy("shingle", "low").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("low", F.struct("c", "low")).alias("main"))
+    return placed.join(buckets.join(main, "shingle").select("shingle", "main"), "shingle")
+
+
+def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, share: float) -> DataFrame:
+    """Links between documents of different components that share a bucket, of those whose parity bitmaps differ by at most
+    `share` of the limit."""
     settled = (F.col("low") == F.col("main")) & (F.col("high") == F.col("main"))
     # of a group's parity bitmaps the bits that all members have and those that any has
     words = range(BITMAP // 64)
@@ -307,8 +329,10 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
     bits = members.groupBy("gid").agg(*told)
     told = [f"{name}{k}" for k in words for name in ("all", "any")]
     rows = open_postings.withColumn("settled", settled).join(bits, "gid").join(sets.select(F.col("rep").alias("gid"), "prefix"), "gid")
-    # a pair is taken at the first shingle that it shares, or not at all: if that bucket isn't open, the pair is connected
-    rows = rows.withColumn("before", F.slice("prefix", F.lit(1), F.array_position("prefix", F.col("shingle")).cast("int") - 1)).drop("prefix")
+    # a pair is taken at the first shingle that it shares, or not at all: if that bucket isn't open, the pair is connected. Where
+    # more than BEFORE others lie between two that it shares, it may be taken again, so what a posting carries is bounded
+    begin = F.greatest(F.lit(0), F.col("k") - BEFORE)
+    rows = rows.withColumn("before", F.slice("prefix", begin + 1, F.col("k") - begin)).drop("prefix", "k")
     x = rows.where(~F.col("settled")).select("shingle", "band", *(F.col(c).alias(f"{c}_x") for c in ("gid", "n", "at", "low", "high", "before", *told)))
     # sizes that can link lie in the same band or in neighbouring ones, so a bucket is split by bands
     y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_y") for c in ("gid", "n", "at", "low", "high", "settled", "before", *told)))
@@ -325,14 +349,14 @@ def _rest(open_postings: DataFrame, members: DataFrame, labels: DataFrame, sets:
         & ~F.arrays_overlap("before_x", "before_y")
         # after the first shared shingle in order at most that many more are shared
         & (most * (100 + percent) >= need)
-        & (groups_apart <= _difference(F.col("n_x") + F.col("n_y"), percent))
+        & (groups_apart <= share * _difference(F.col("n_x") + F.col("n_y"), percent))
     )
-    pairs = pairs.select("gid_x", "gid_y")
+    pairs = pairs.select("gid_x", "gid_y").distinct()
     member = members.join(labels, "rep")
     one = member.select(F.col("gid").alias("gid_x"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
     two = member.select(F.col("gid").alias("gid_y"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
     apart = sum(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in words)
-    near = apart <= _difference(F.col("na") + F.col("nb"), percent)
+    near = apart <= share * _difference(F.col("na") + F.col("nb"), percent)
     pairs = pairs.join(one, "gid_x").join(two, "gid_y").where((F.col("ca") != F.col("cb")) & near)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _verified(pairs, sets, percent)

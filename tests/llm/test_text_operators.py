@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from litsieve.llm import byte_bpe, chat_perspectives, exact_dedup, jaccard_join, kernel, packing, registry
@@ -154,6 +155,47 @@ def test_jaccard_join_with_repeated_ids(spark, bits):
     assert len(kept) == len(set(brute.values()))
 
 
+def cloud(n, seed, words=150, edits=4):
+    """Copies of one text with some words changed, many pairs of which lie about the threshold."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(400)}" for _ in range(words)]
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(r.randint(0, edits)):
+            copy[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("before", [1, 32])
+def test_stages_of_what_pivots_leave(spark, monkeypatch, before):
+    """A cloud whose links few pivots find: the stages find the rest, and compare fewer pairs from one to the next."""
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0)
+    rest, shares, compared = jaccard_join._rest, [], []
+
+    def counted(at, members, labels, sets, percent, share):
+        shares.append(share)
+        compared.append(labels.select("component").distinct().count())
+        return rest(at, members, labels, sets, percent, share)
+
+    monkeypatch.setattr(jaccard_join, "_rest", counted)
+    rows = cloud(160, before) + [(1000 + k, t) for k, t in cloud(60, 50 + before, words=40, edits=3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jaccard_join.similar_groups(df, 5, 80).collect()} == brute_groups(rows, 5, 80)
+    assert shares == list(jaccard_join.SHARES) and compared == sorted(compared, reverse=True)
+
+
+def test_another_reading_of_the_input_is_noticed():
+    words = "one two three four five six seven"
+    docs = pa.table({"doc_id": [1], "body": pa.array([words.encode()], pa.binary())})
+    run = jaccard_join._prefixes(4, 16, 85, 56)
+    with pytest.raises(RuntimeError, match="other rows"):
+        run(docs, pa.table({"key_range": pa.array([0], pa.int32()), "chunk": pa.array([0]), "classes": pa.array([b"\0"], pa.binary())}))
+
+
 def test_only_shared_shingles_are_indexed(spark):
     """Postings a document don't grow with the number of unrelated documents."""
     r = random.Random(3)
@@ -170,7 +212,6 @@ def test_packed_keys():
 
 
 def test_frequencies_in_parts(monkeypatch):
-    import pyarrow as pa
 
     r = np.random.default_rng(2)
     blocks = [np.unique(r.integers(0, 60, 40, dtype=np.uint64) << np.uint64(48)) for _ in range(5)]
@@ -213,7 +254,6 @@ def test_components(spark):
 
 
 def test_kernel_words():
-    import pyarrow as pa
 
     texts = [b"", b" a\tb\x0bc ", b"one", b"x" * 5000, "ä é\n漢".encode(), b"  "]
     for size in (1, 7, 1 << 20):
