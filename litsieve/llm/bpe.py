@@ -1,11 +1,17 @@
-"""Byte-pair merging of many words at once: exact ranked merges, vectorised over a flat array of symbols."""
+"""Byte-pair merging of many words at once: exact ranked merges, vectorised over a flat array of symbols.
+
+A round makes one merge in each word, so words of many symbols are merged one by one with a heap instead.
+"""
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 _NONE = np.int64(1 << 60)
 _FIRST = 512
+LONG_WORD = 128  # symbols
 
 
 class PairMerger:
@@ -18,6 +24,7 @@ class PairMerger:
         self.keys = np.full(size, np.uint64(2**64 - 1), np.uint64)
         self.rank = np.full(size, _NONE, np.int64)
         self.merged = np.zeros(size, np.int32)
+        self.pairs: dict[int, tuple[int, int]] | None = None  # of long words, made when there is one
         slots, at = self._slot(keys), np.arange(len(keys))
         self.probes = 0
         while len(at):  # linear probing: of those that want a free slot, the first gets it
@@ -58,12 +65,51 @@ class PairMerger:
             wait = wait[~hit & (held != np.uint64(2**64 - 1))]
         return rank, where
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """One word after all merges, in n log n steps: a heap of (rank, place), symbols linked to their neighbours."""
+        if self.pairs is None:
+            used = self.rank < _NONE
+            self.pairs = dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist(), strict=True), strict=True))
+        pairs, n = self.pairs, len(symbols)
+        rank, _ = self._find(symbols[:-1], symbols[1:])
+        places = np.flatnonzero(rank < _NONE)
+        heap = ((rank[places] << 32) | places).tolist()
+        heapify(heap)
+        own, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heappop(heap)
+            at = top & 0xFFFFFFFF
+            right = after[at]
+            if own[at] < 0 or right == n:
+                continue
+            found = pairs.get((own[at] << 32) | own[right])
+            if found is None or found[0] != top >> 32:
+                continue  # one of the two has been merged meanwhile
+            own[at], own[right] = found[1], -1
+            right = after[at] = after[right]
+            if right < n:
+                before[right] = at
+                if (found := pairs.get((own[at] << 32) | own[right])) is not None:
+                    heappush(heap, (found[0] << 32) | at)
+            left = before[at]
+            if left >= 0 and (found := pairs.get((own[left] << 32) | own[at])) is not None:
+                heappush(heap, (found[0] << 32) | left)
+        out = np.array(own, np.int32)
+        return out[out >= 0]
+
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of words laid end to end and their lengths (all at least 1) -> the same after all merges."""
         n = len(lengths)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         symbols, words = symbols.astype(np.int32), np.arange(n)
         lengths = lengths.astype(np.int64)
+        long = lengths > LONG_WORD
+        if long.any():
+            ends = np.cumsum(lengths)
+            for w in np.flatnonzero(long).tolist():
+                merged = self.merge_long(symbols[ends[w] - lengths[w] : ends[w]])
+                done.append((np.array([w]), np.array([len(merged)]), merged))
+            symbols, words, lengths = symbols[np.repeat(~long, lengths)], words[~long], lengths[~long]
         rank = slot = None
         while len(words):
             starts = np.cumsum(lengths) - lengths

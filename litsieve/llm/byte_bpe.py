@@ -32,6 +32,7 @@ from litsieve.llm.common import read
 
 MAP_BUCKETS = 1 << 15
 CACHED_WORDS = 350_000
+CACHED_CHARS = 4_096  # longer words are not kept
 
 #: The public pattern, with white space as the White_Space property: the `regex` module's `\s` has four controls more.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -154,7 +155,11 @@ class RankEncoder:
             else:
                 words[word] = code
         self._add(fresh)
-        return [b"".join(map(words.__getitem__, doc)) for doc in split]
+        out = [b"".join(map(words.__getitem__, doc)) for doc in split]
+        for word in fresh:
+            if len(word) > CACHED_CHARS:
+                del words[word]
+        return out
 
     def decode(self, code: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(code, "<u4").tolist()))

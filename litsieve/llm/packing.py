@@ -39,6 +39,7 @@ MAX_LOSS_TOKENS = 4096
 END_ID = 2
 OPEN_SEQUENCES = 24
 CACHED_WORDS = 250_000
+CACHED_CHARS = 4_096  # longer words are not kept
 BATCH_BYTES = 384 << 10
 
 _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -152,7 +153,11 @@ class WordEncoder:
             else:
                 words[word] = code
         self._add(fresh)
-        return [b"".join(map(words.__getitem__, doc)) for doc in split]
+        out = [b"".join(map(words.__getitem__, doc)) for doc in split]
+        for word in fresh:
+            if len(word) > CACHED_CHARS:
+                del words[word]
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
