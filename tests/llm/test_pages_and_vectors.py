@@ -319,7 +319,7 @@ def test_parts_of_names_are_no_marks(spark, page):
 
 def test_doubtful_blocks_go_only_if_repeated(spark):
     def page(k, doubtful):
-        return f"<article><p>text {k}</p><div class=notice>{doubtful}</div><p>end</p></article><p>outside</p>"
+        return f"<article><p>text {k}</p><div class=search-results>{doubtful}</div><p>end</p></article><p>outside</p>"
 
     same = "this notice of ten words stands on every such page"
     own = [" ".join(f"own{k}x{j}" for j in range(10)) for k in range(3)]
