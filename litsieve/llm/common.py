@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -52,6 +52,29 @@ def one_row_an_id(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.col(by)).alias("_one")).select("doc_id", "_one.*")
 
 
+def rows_within(rows: DataFrame, order: Column, size: Column, most: int) -> list[Row]:
+    """The rows of a bounded sample, each whole: all of them if their sizes sum to `most` at most.
+
+    Else those of more than a twentieth of it are left out, so that a few giants don't stand for the rest, and the others are taken
+    in `order` (a hash of what identifies a row) until the next would be too much. So no row's place or partition matters.
+    """
+    kept = write_table(rows.withColumns({"_order": order.cast("long"), "_size": size.cast("long")}), "sample")
+    sizes = sorted((r._order, r._size) for r in kept.select("_order", "_size").collect())  # as many as the sample has rows
+    chosen = kept
+    if sum(n for _, n in sizes) > most:
+        total, last = 0, None
+        for key, n in sizes:
+            if 20 * n > most:
+                continue
+            if total + n > most:
+                break
+            total, last = total + n, key
+        chosen = kept.where((20 * F.col("_size") <= most) & (F.col("_order") <= F.lit(last).cast("long")))
+    out = chosen.drop("_order", "_size").collect()
+    drop_table(kept)
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -5,8 +5,8 @@ count as their small letters and a Chinese character is one character). A featur
 n-grams times its inverse document frequency, so a score is a sum over positions and whole texts of any length are scored
 in linear time and bounded memory, a block of characters at a time. Languages and document frequencies are counted over every
 row that may be learned from; the weights are fitted on a sample of them: the `sample_rows` rows of least key, and of every
-language the LANGUAGE_ROWS of least key, at most ROW_BUCKETS n-grams of each (its most frequent), and calibrated by one
-temperature on a held-back fifth.
+language the LANGUAGE_ROWS of least key, whole texts with at most `sample_grams` distinct n-grams together
+(`common.rows_within`), and calibrated by one temperature on a held-back fifth.
 
 Defined results: null, empty or letterless text gives `und` with score 0.0; if nothing can be learned (no labelled row)
 every row is `und`; with one language every row with a letter gets it; rows without an id are predicted, and learned from
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fold, read, text_bytes
+from litsieve.llm.common import fold, read, rows_within, text_bytes
 from litsieve.llm.kernel import parts
 
 BUCKETS = 1 << 16
 PIECES = 16
 SAMPLE_ROWS = 3000
 LANGUAGE_ROWS = 50
-ROW_BUCKETS = 8192
+SAMPLE_GRAMS = 16_000_000
 BLOCK = 1 << 20  # bytes of a text that are decoded at a time
 RARE = 1.25  # how far beyond the rarest held-back text of a known language a text may lie
 PRIOR = 50  # n-grams of average rarity that every text is given, so that a few words prove nothing
@@ -130,9 +130,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in _texts(batch.column(2)):
             index, counts = gram_counts(data)
             share = (counts / max(1, counts.sum())).astype(np.float32)
-            if len(index) > ROW_BUCKETS:
-                some = np.sort(np.argsort(-share, kind="stable")[:ROW_BUCKETS])
-                index, share = index[some], share[some]
             buckets.append(index.tobytes())
             shares.append(share.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["rank", "lang", "buckets", "shares"])
@@ -202,7 +199,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss)) if len(y) else 1.0
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
+def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_grams: int = SAMPLE_GRAMS) -> LanguageModel | None:
     """Learn from all rows of docs with a language: languages and frequencies of all of them, weights on a sample.
 
     `key` orders the sample (default: a hash of the text); the sample_rows rows with the smallest keys are taken, and of each
@@ -221,8 +218,8 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     near = sample.join(cuts, "lang").where((F.col("rank") <= cut) | (F.col("rank") <= F.col("own"))).select("rank", "lang", "body")
     coded = near.mapInArrow(_features, "rank long, lang string, buckets binary, shares binary")
     # rows of one key count once: an id or a text that repeats may not fill the sample
-    rows = coded.groupBy("rank").agg(F.min_by(F.struct("lang", "buckets", "shares"), F.struct("lang", F.xxhash64("buckets", "shares"))).alias("r")).select("rank", "r.*").collect()
-    rows = sorted(rows, key=lambda r: r.rank)
+    one = coded.groupBy("rank").agg(F.min_by(F.struct("lang", "buckets", "shares"), F.struct("lang", F.xxhash64("buckets", "shares"))).alias("r")).select("rank", "r.*")
+    rows = sorted(rows_within(one, F.col("rank"), F.length("buckets") / 2, sample_grams), key=lambda r: r.rank)
     languages = sorted({r.lang for r in rows})
     idf = np.log((1 + n) / (1 + frequencies)) + 0.1
     x = []

@@ -3,8 +3,8 @@
 score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), linear in the number of
 non-zero features by the sum-of-squares identity. Features: distinct lower-cased words hashed to 2**18 buckets with
 log-scaled, unit-length counts, and one indicator per binned statistic (capitals, symbols, digits, repeated words,
-lengths and so on). Weights are fitted with Adagrad on at most `sample_rows` labelled ids (those of least id hash, one row
-each) and at most `row_words` distinct words of each (those of least bucket number); every text is scored whole.
+lengths and so on). Weights are fitted with Adagrad on the whole texts of at most `sample_rows` labelled ids (those of least id
+hash, one row each) with at most `sample_features` features together (`common.rows_within`); every text is scored whole.
 
 Defined results: null counts as empty; empty text gets the score of its statistics alone; rows without an id are scored but
 never learned from; without any labelled row every score is 0.5; with one class only, scores lean to it; repeated ids come
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, text_bytes
+from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, rows_within, text_bytes
 from litsieve.llm.kernel import SEGMENT, parts, word_hashes, word_spans
 
 WORD_BUCKETS = 1 << 18
@@ -29,7 +29,7 @@ STATISTICS = 12
 FEATURES = WORD_BUCKETS + STATISTICS * BINS
 RANK = 4
 SAMPLE_ROWS = 6000
-ROW_WORDS = 8192
+SAMPLE_FEATURES = 16_000_000
 THRESHOLD = 0.3
 
 #: upper case, lower case or non-ASCII, digit, odd symbol, line end
@@ -114,26 +114,22 @@ class FactorisationMachine:
         return self
 
 
-def _sample_features(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, values = [], []
-            for _, _, data, offsets in parts(batch.column(2)):
-                for i, x in features(data, offsets):
-                    some = np.r_[: min(most, len(i) - STATISTICS), len(i) - STATISTICS : len(i)]
-                    index.append(i[some].astype(np.int32).tobytes())
-                    values.append(x[some].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "buckets", "shares"])
-
-    return run
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        index, values = [], []
+        for _, _, data, offsets in parts(batch.column(2)):
+            for i, x in features(data, offsets):
+                index.append(i.astype(np.int32).tobytes())
+                values.append(x.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "y", "buckets", "shares"])
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, row_words: int = ROW_WORDS) -> FactorisationMachine | None:
-    """Fit on at most sample_rows labelled documents whose crc32 fold of 5 is not 0, row_words words each; None without any."""
+def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> FactorisationMachine | None:
+    """Fit on at most sample_rows labelled documents whose crc32 fold of 5 is not 0, with sample_features features; None without any."""
     sample = labelled_sample(docs, labels, label, sample_rows).select("doc_id", "y", "body")
-    coded = sample.mapInArrow(_sample_features(row_words), "doc_id long, y int, buckets binary, shares binary")
-    rows = one_row_an_id(coded.withColumn("by", F.xxhash64("buckets", "shares")), "by").collect()
-    rows = sorted(rows, key=lambda r: r.doc_id)
+    coded = sample.mapInArrow(_sample_features, "doc_id long, y int, buckets binary, shares binary")
+    one = one_row_an_id(coded.withColumn("by", F.xxhash64("buckets", "shares")), "by")
+    rows = sorted(rows_within(one, F.xxhash64("doc_id"), F.length("buckets") / 4, sample_features), key=lambda r: r.doc_id)
     if not rows:
         return None
     return FactorisationMachine().fit([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.y) for r in rows])

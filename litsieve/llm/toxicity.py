@@ -7,9 +7,8 @@ logistic layer on top can tell one hit from several. Embeddings, filters and the
 trained together by Adagrad. Forwards pooling takes the maximum; backwards each third shares its gradient among its windows
 by a softmax that sharpens from epoch to epoch, as windows that aren't yet the maximum would otherwise learn nothing.
 
-The model is fitted on at most `sample_rows` labelled ids (those of least id hash, one row each) and at most `row_words`
-words of each: longer rows give evenly spaced windows from their first word to their last. These bounds hold row by row, so
-no row's length or place changes what another contributes.
+The model is fitted on the whole texts of at most `sample_rows` labelled ids (those of least id hash, one row each) with at
+most `sample_words` words together (`common.rows_within`).
 
 Thresholds are calibrated by language on a held-back fifth of the sample: the logit is shifted so that 0.5 is the best
 threshold for the language that a small naive Bayes model reads from the text (no language column is used for a score).
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, text_bytes
+from litsieve.llm.common import fold, labelled_sample, one_row_an_id, read, rows_within, text_bytes
 from litsieve.llm.kernel import LOWER, mix, parts, word_hashes
 
 BUCKETS = 1 << 18
@@ -39,8 +38,8 @@ PREFIXES = (4, 6)
 THIRDS = 3
 LANGUAGE_BUCKETS = 1 << 15
 SAMPLE_ROWS = 10_000
-ROW_WORDS = 1_500
-THINNED_WINDOW = 64
+SAMPLE_WORDS = 8_000_000
+STEP_WORDS = 1 << 17  # a step on more words is made in parts, at least a document each
 LONG_BYTES, LONG_BLOCK = 1 << 20, 1 << 17  # texts of more bytes are scored so many words at a time
 EPOCHS, STEPS = 4, 300  # so many epochs, and more of them where they have fewer steps than that
 SHARPNESS = (1.0, 0.1)  # temperature of the backward softmax in the first and the last epoch
@@ -252,7 +251,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
     trainer, order = _Trainer(model), np.random.default_rng(2)
     for temperature in np.geomspace(*SHARPNESS, epochs) if epochs else ():
         for at in np.array_split(order.permutation(use), steps):
-            trainer.step([docs[k] for k in at], y[at], temperature)
+            for some in _in_parts(at, docs, STEP_WORDS):
+                trainer.step([docs[k] for k in some], y[some], temperature)
     _fit_languages(model, docs, langs)
     _calibrate(model, docs, y, np.flatnonzero(held) if held.any() else use)
     return model
@@ -275,7 +275,8 @@ def _calibrate(model: ConvolutionalClassifier, docs: list[np.ndarray], y: np.nda
     Within the widest such gap it lies nearer the class whose logits spread less.
     """
     logits, lang = [], []
-    for some in np.array_split(rows, max(1, len(rows) // 64)):
+    steps = np.array_split(rows, max(1, len(rows) // 64))
+    for some in (part for step in steps for part in _in_parts(step, docs, STEP_WORDS)):
         codes = np.concatenate([docs[k] for k in some])
         first = np.concatenate([[0], np.cumsum([len(docs[k]) for k in some])])
         logits.append(model.raw_logits(codes, first))
@@ -303,38 +304,38 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float(low + (high - low) * (clean + 1e-3) / (clean + toxic + 2e-3))
 
 
-def thinned(codes: np.ndarray, most: int) -> np.ndarray:
-    """At most `most` words in windows spaced evenly from the first word to the last; all of them where they fit."""
-    if len(codes) <= most:
-        return codes
-    width = min(THINNED_WINDOW, max(1, most // 8))
-    starts = np.linspace(0, len(codes) - width, most // width).astype(np.int64)
-    return codes[(starts[:, None] + np.arange(width)).ravel()]
+def _in_parts(at: np.ndarray, docs: list[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """The documents of a step in order, so many together that they have `most` words at most; a longer one alone."""
+    begin, words = 0, 0
+    for k, d in enumerate(at.tolist()):
+        if k > begin and words + len(docs[d]) > most:
+            yield at[begin:k]
+            begin, words = k, 0
+        words += len(docs[d])
+    yield at[begin:]
 
 
-def _sample_codes(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, _, data, offsets in parts(batch.column(3)):
-                codes, first = word_codes(data, offsets)
-                out += [thinned(codes[first[d] : first[d + 1]], most).tobytes() for d in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "lang", "codes"])
-
-    return run
+def _sample_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for _, _, data, offsets in parts(batch.column(3)):
+            codes, first = word_codes(data, offsets)
+            out += [codes[first[d] : first[d + 1]].tobytes() for d in range(len(offsets) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "lang", "codes"])
 
 
-def draw_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, row_words: int) -> list[tuple[int, int, str | None, np.ndarray]]:
-    """(doc_id, label, lang, word codes) of the rows to fit on, by id; one job, whatever the number of partitions."""
+def draw_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> list[tuple[int, int, str | None, np.ndarray]]:
+    """(doc_id, label, lang, word codes) of the rows to fit on, by id."""
     sample = labelled_sample(docs, labels, label, sample_rows, F.col("lang").cast("string").alias("lang")).select("doc_id", "y", "lang", "body")
-    coded = sample.mapInArrow(_sample_codes(row_words), "doc_id long, y int, lang string, codes binary")
-    rows = one_row_an_id(coded.withColumn("by", F.xxhash64("codes", "lang")), "by").select("doc_id", "y", "lang", "codes").collect()
+    coded = sample.mapInArrow(_sample_codes, "doc_id long, y int, lang string, codes binary")
+    one = one_row_an_id(coded.withColumn("by", F.xxhash64("codes", "lang")), "by").select("doc_id", "y", "lang", "codes")
+    rows = rows_within(one, F.xxhash64("doc_id"), F.length("codes") / (4 * (2 + len(PREFIXES))), sample_words)
     return sorted(((r.doc_id, r.y, r.lang, np.frombuffer(r.codes, np.int32).reshape(-1, 2 + len(PREFIXES))) for r in rows), key=lambda r: r[0])
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, row_words: int = ROW_WORDS) -> ConvolutionalClassifier | None:
-    """Fit on at most sample_rows labelled documents outside fold 0 of 5, row_words words each; None without any label."""
-    rows = draw_sample(docs, labels, label, sample_rows, row_words)
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> ConvolutionalClassifier | None:
+    """Fit on at most sample_rows labelled documents outside fold 0 of 5, with sample_words words; None without any label."""
+    rows = draw_sample(docs, labels, label, sample_rows, sample_words)
     if not rows:
         return None
     return fit([r[3] for r in rows], np.array([r[1] for r in rows], np.float32), [r[2] for r in rows])

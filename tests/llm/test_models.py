@@ -43,7 +43,7 @@ def test_toxicity(spark):
 def test_toxicity_learns_by_training(spark):
     """The trained filters do the work: the random start guesses, and so does always saying the commoner label."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.draw_sample(docs, labels, "toxic", 1500, 500)
+    rows = toxicity.draw_sample(docs, labels, "toxic", 1500)
     train, test = rows[:1000], rows[1000:]
     accuracy = []
     for epochs in (0, None):
@@ -208,22 +208,111 @@ def test_scores_read_whole_texts():
 
 
 def test_toxicity_sample_ignores_the_layout(spark):
-    """A labelled text of millions of words, wherever it stands, changes no other row's use; nor does the partitioning."""
+    """A labelled text of very many words, wherever it stands, changes no other row's use; nor does the partitioning. Rows are whole."""
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(50_000 if k == 1 else 200)), "en" if k < 100 else "fr", "s") for k in range(200)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
     drawn = []
-    for some, parts in ((rows, 1), (rows[::-1], 50), ([r for r in rows if r[0] != 1], 3)):
+    for some, parts, words in ((rows, 1, 60_000), (rows[::-1], 50, 60_000), ([r for r in rows if r[0] != 1], 3, 60_000), (rows, 2, 20_000), (rows[::-1], 7, 20_000), (rows, 3, 10**6)):
         df = spark.createDataFrame(some, cases.SCHEMA).repartition(parts)
-        drawn.append([(i, y, lang, c.tobytes()) for i, y, lang, c in toxicity.draw_sample(df, labels, "toxic", 1000, 100)])
-    assert drawn[0] == drawn[1] and [r for r in drawn[0] if r[0] != 1] == drawn[2]
-    assert {r[2] for r in drawn[2]} == {"en", "fr"} and all(0 < len(r[3]) <= 100 * 16 for r in drawn[0])
-
-
-def test_thinned():
-    codes = np.arange(4_000, dtype=np.int32).reshape(-1, 4)
-    assert toxicity.thinned(codes, 1000) is codes
-    few = toxicity.thinned(codes, 200)
-    assert len(few) <= 200 and few[0, 0] == 0 and few[-1, 3] == 3_999 and len(np.unique(few[:, 0] // 400)) == 10
+        drawn.append([(i, y, lang, c.tobytes()) for i, y, lang, c in toxicity.draw_sample(df, labels, "toxic", 1000, words)])
+    assert drawn[0] == drawn[1] == drawn[2] and drawn[3] == drawn[4]
+    assert {r[2] for r in drawn[2]} == {"en", "fr"} and all(len(r[3]) == 200 * 16 for r in drawn[2])
+    assert len(drawn[3]) == 100 and set(drawn[3]) < set(drawn[2])  # in the order of their hashes, as many as fit
+    assert {r[0] for r in drawn[5]} - {r[0] for r in drawn[2]} == {1} and {len(r[3]) for r in drawn[5] if r[0] == 1} == {50_000 * 16}
+
+
+def test_steps_in_parts():
+    docs = [np.zeros((n, 4), np.int32) for n in (5, 0, 30, 3, 4, 100, 1)]
+    split = [p.tolist() for p in toxicity._in_parts(np.arange(7), docs, 10)]
+    assert split == [[0, 1], [2], [3, 4], [5], [6]] and [p.tolist() for p in toxicity._in_parts(np.arange(7), docs, 1000)] == [list(range(7))]
+
+
+def test_factorisation_machine_step():
+    """One Adagrad step against numeric derivatives of the loss."""
+    r = np.random.default_rng(4)
+    index, x, y, l2, rate = np.array([1, 4, 7]), np.array([0.5, 1.0, -0.3]), 1, 1e-5, 0.15
+    model = quality.FactorisationMachine(10, 3)
+    model.w[:], model.v[:], model.w0 = r.normal(0, 0.3, 10), r.normal(0, 0.3, (10, 3)), 0.2
+
+    def loss(w0, w, v):
+        pairs = sum((v[a] @ v[b]) * x[i] * x[j] for i, a in enumerate(index) for j, b in enumerate(index) if i < j)
+        return np.log1p(np.exp(-(w0 + w[index] @ x + pairs)))
+
+    start = (model.w0, model.w.astype(np.float64), model.v.astype(np.float64))
+    model.fit([(index, x, y)], epochs=1, rate=rate, l2=l2)
+    assert model.w0 - start[0] == pytest.approx(rate * 1.0, rel=1e-3)  # the first step of Adagrad has its rate's length
+    for k, scale in ((1, rate), (2, 0.3 * rate)):
+        for at in np.ndindex(start[k].shape):
+            moved = (model.w, model.v)[k - 1][at] - start[k][at]
+            up, down = ([a.copy() if k2 else a for k2, a in enumerate(start)] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            g = (loss(*up) - loss(*down)) / 2e-5 + (l2 * start[k][at] if at[0] in index else 0)
+            assert moved == pytest.approx(-scale * g / np.sqrt(1e-6 + g * g), abs=2e-3)
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    r = np.random.default_rng(6)
+    rows = [(np.sort(r.choice(50, 6, replace=False)), r.normal(size=6), int(r.integers(0, 3))) for _ in range(15)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.01
+    got, bias = language_id.fit_ftrl(rows, 3, alpha, beta, l1, l2, epochs=2)
+    z, n = {}, {}
+
+    def weight(key, l1):
+        zk, nk = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - np.sign(zk) * l1) / ((beta + nk**0.5) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            index, values, y = rows[k]
+            features = [*zip(index.tolist(), values.tolist(), strict=True), (-1, 1.0)]
+            w = {(c, i): weight((c, i), 0.0 if i < 0 else l1) for c in range(3) for i, _ in features}
+            logits = np.array([sum(w[c, i] * v for i, v in features) for c in range(3)])
+            p = np.exp(logits) / np.exp(logits).sum()
+            for c in range(3):
+                for i, v in features:
+                    g = (p[c] - (c == y)) * v
+                    old = n.get((c, i), 0.0)
+                    z[c, i] = z.get((c, i), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[c, i]
+                    n[c, i] = old + g * g
+    want = np.array([[weight((c, i), l1) for i in range(50)] for c in range(3)])
+    assert np.allclose(got[:, :50], want) and not got[:, 50:].any() and np.allclose(bias, [weight((c, -1), 0.0) for c in range(3)])
+    assert (want == 0).sum() > 5  # the penalty leaves some at nothing
+
+
+def test_convolution_step():
+    """The first step of Adagrad moves each weight against the numeric derivative of the loss (pooling by nearly the maximum)."""
+    r = np.random.default_rng(8)
+    docs = [r.integers(0, 40, (n, 4)).astype(np.int32) for n in (7, 12, 1, 20)]
+    y = np.array([1, 0, 1, 0], np.float32)
+    codes, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    model = toxicity.ConvolutionalClassifier(5)
+    model.embedding = model.embedding.astype(np.float64) * 20
+    model.filters = [f.astype(np.float64) for f in model.filters]
+    model.out = r.normal(0, 0.5, model.out.shape)
+    model.bias = np.full(model.bias.shape, 0.3)
+
+    def loss():
+        logits = model.raw_logits(codes, first).astype(np.float64)
+        return np.mean(np.log1p(np.exp(logits)) - y * logits)
+
+    chosen = [(a, tuple(r.integers(0, s) for s in a.shape)) for a in (model.out, model.bias, *model.filters) for _ in range(12)]
+    chosen += [(model.embedding, (int(r.integers(0, 40)), int(r.integers(0, toxicity.DIMENSIONS)))) for _ in range(25)]
+    before, slopes = [], []
+    for a, at in chosen:
+        own = a[at]
+        a[at] = own + 1e-4
+        up = loss()
+        a[at] = own - 1e-4
+        slopes.append((up - loss()) / 2e-4)
+        a[at] = own
+        before.append(own)
+    toxicity._Trainer(model).step(docs, y, 1e-4)
+    moved = np.array([a[at] for a, at in chosen]) - before
+    slopes = np.array(slopes)
+    clear = np.abs(slopes) > 2e-3
+    assert clear.sum() > 20 and (np.sign(moved[clear]) == -np.sign(slopes[clear])).mean() > 0.95
 
 
 def test_rare_languages_are_learned(spark):
