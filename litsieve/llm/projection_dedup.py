@@ -9,16 +9,17 @@
    the threshold does (five standard deviations) are left out; the others are candidates.
 4. Passes go on until a pair at the threshold is missed with a chance of at most MISSED. That chance is measured, not assumed:
    a row's neighbours at distance `window` tell how many leading bits b of the key a partner has to share to lie within reach,
-   and its distance from the mean tells how likely one bit is shared (q), so a pass finds it with chance q**b. Nothing caps the
-   passes; where they would cost more than comparing all pairs of the label, all pairs are compared (step 6), which misses none.
+   and its distance from the mean tells how likely one bit is shared (q), so a pass finds it with chance q**b. Every label takes
+   the passes that its size asks for, and nothing caps those that the measure adds; where the added ones would cost more than
+   comparing all pairs of the label, that follows instead (step 6), which misses none.
 5. Candidates are verified by cosine in double precision: first every row's nearest ones, then those that would connect
    different components.
-6. Every pair of classes within a component (and within a label that takes no passes) is compared in cells: members are dealt
+6. Every pair of classes within a component (and within a label whose passes don't suffice) is compared in cells: members are dealt
    into groups (of GROUP_BYTES at most, few small ones where that is all), and each pair of groups is one task, which adds up exact link counts and emits no pair but links
    that unite something new. So n_links holds every link within a component, also those that no window saw.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link
-with nothing and are kept; vectors of other length never link; repeated ids are vectors of their own, each with its own links;
+Defined results: vectors that are null, empty, zero or hold null or non-finite components (or finite ones whose squares
+overflow), and rows with a null label, link with nothing and are kept; vectors of other length never link; repeated ids are vectors of their own, each with its own links;
 rows without an id take part, and a component's id is the least id in it, null if there is none (then its rows are kept); an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -399,9 +400,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     sums = classes.select("label", "vector").mapInArrow(_sums(kind), "label long, size long, n long, total binary")
     means = write_table(sums.groupBy("label", "size").applyInArrow(_add_sums, "label long, size long, n long, mean binary"), "means")
     plan = means.select("label", "size", "n", F.lit(0).cast("long").alias("begin"), _passes_column(F.col("n"), threshold, window).alias("end"))
-    plan = write_table(plan.withColumn("exact", 2 * window * F.col("end") >= F.col("n")), "plan")
+    plan = write_table(plan.where("n > 1").withColumn("exact", F.lit(False)), "plan")
     exact = plan.where("exact").select("label", "size")
-    plan = plan.where("not exact")
     pairs = spark.createDataFrame([], "a long, b long, near boolean")
     while not plan.isEmpty():  # each round at least takes some labels off or adds passes, up to the cost of all pairs
         found = _pass_rows(classes, means, plan, kind, threshold, window)
@@ -421,7 +421,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     for done in (pairs, links, others, component):
         drop_table(done)
 
-    # members of the groups whose pairs are all compared: components, and labels that take no passes
+    # members of the groups whose pairs are all compared: components, and labels whose passes don't suffice
     slim_classes = classes.select("key", "label", "size", "copies", "vector")
     whole = slim_classes.join(exact.distinct(), ["label", "size"], "left_semi").withColumn("whole", F.lit(True)).withColumn("owner", F.col("label"))
     parts = slim_classes.join(joined.withColumnRenamed("vertex", "key"), "key").join(exact.distinct(), ["label", "size"], "left_anti")

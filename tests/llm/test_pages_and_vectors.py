@@ -264,6 +264,27 @@ def test_recall_of_passes(spark, spread, window):
     assert (np.array(found[0]) <= want).all() and sum(found[0]) >= 0.99 * want.sum()
 
 
+@pytest.mark.parametrize("n", [150, 5000])
+def test_labels_take_passes_at_the_usual_window(spark, monkeypatch, n):
+    """A label of the supplied tables' size and a large one: their links come from passes, not from all pairs."""
+    x = planted(1.0, n=n, pairs=n // 5)
+    units = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (units @ units.T >= 0.93).sum(axis=1) - 1
+    seen, pass_rows, planned = [], P._pass_rows, P._planned
+    monkeypatch.setattr(P, "_pass_rows", lambda *a: seen.append("passes") or pass_rows(*a))
+
+    def plan(*a):
+        out = planned(*a)
+        seen.append(out.where("exact").count())
+        return out
+
+    monkeypatch.setattr(P, "_planned", plan)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = [r.n_links for r in P.near_vectors(df).orderBy("vec_id").collect()]
+    assert seen[0] == "passes" and sum(k for k in seen if k != "passes") == 0  # no label was compared whole
+    assert (np.array(got) <= want).all() and sum(got) >= 0.99 * want.sum() > 0
+
+
 def off_centre(n=3000, pairs=300, dims=64, seed=5):
     """One label whose vectors lie around one direction (mean cosine about 0.84), with planted pairs at 0.935 or more."""
     r = np.random.default_rng(seed)
