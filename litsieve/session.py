@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -105,6 +106,12 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished rounds: it does so when the driver has collected the frames they belong to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
     path = scratch(df.sparkSession, tag)

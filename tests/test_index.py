@@ -78,6 +78,7 @@ def test_shards_and_repeated_requests(spark, monkeypatch):
     asked = requests(spark, [{}, {"without": "the"}])
     want = sorted(tuple(x) for x in X.match_requests(asked, index).collect())
     monkeypatch.setattr(X, "SHARD_WORKS", 7)
+    monkeypatch.setattr(X, "LEAST_SHARDS", 1)
     assert sorted(tuple(x) for x in X.match_requests(asked, index).collect()) == want
     twice = sorted(tuple(x) for x in X.match_requests(asked.unionByName(asked), index).collect())
     assert twice == sorted(want * 2)
