@@ -15,7 +15,7 @@ shared, so only prefix shingles of frequency two and more are indexed: ordinary
    What stays between different components is paired group by group within neighbouring size bands, under length and
    position filters, expanded to members and held against parity bitmaps of the sets. Their difference is a lower bound of the
    sets' own, so pairs above the limit go, and the likeliest pairs are verified first: those that differ by at most a first
-   share of the limit, then, between the components that are still apart, by more, at last by the whole limit. So no link
+   share of the limit, then, between the components that are still apart, by the whole limit. So no link
    between different components can be lost, whatever the size of a bucket, and a cloud of thousands of near copies costs
    some comparisons a document, not all its links.
 4. Components by large-star and small-star steps.
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from litsieve.llm.common import drop_table, keep_rows, read, text_bytes, write_table
 from litsieve.llm.components import connected_components
 from litsieve.llm.kernel import mix, shingle_sets
+from litsieve.session import collect_garbage
 
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
@@ -47,7 +48,7 @@ FEW_CHUNKS = 64  # so that small tables are not one task
 KEY_BITS = 56
 PIVOT_ROUNDS = 6
 BITMAP = 256
-SHARES = (0.6, 0.8, 1.0)  # of the most members that linked sets may differ in, stage by stage; the last has to be 1
+SHARES = (0.7, 1.0)  # of the most members that linked sets may differ in, stage by stage; the last has to be 1
 FEW_PAIRS = 50_000  # so many pairs of groups at most are compared in one stage
 BEFORE = 32  # shingles before a posting's own that it remembers
 PAIRS_PER_POSTING = 100  # another round of pivots costs more than to filter this many pairs of groups
@@ -301,6 +302,7 @@ def _labelled(edges: DataFrame, members: DataFrame, used: list[DataFrame]) -> tu
     labels = write_table(labels.select("rep", F.coalesce("component", "rep").alias("component")), "labels")
     while used:
         drop_table(used.pop())
+    collect_garbage(edges.sparkSession)
     used += [edges, labels]
     return edges, labels
 
