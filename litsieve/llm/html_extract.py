@@ -2,11 +2,12 @@
 
 A page is cut into blocks with one pass over its tags. Marks decide where they can: blocks inside an article (or main)
 element are the main text; blocks inside menus, page headers, footers, sidebars, notices, adverts, forms and reader comments
-are not. On pages without such an element the unmarked blocks are open, and the host decides: their token streams are
-concatenated, a suffix array with common prefix lengths finds token runs of MIN_RUN and more that occur on MIN_PAGES
-distinct page bodies of the host, and what such runs cover goes, while unique runs stay, also within a block.
+are not. On pages without such an element the unmarked blocks are open, and the host decides: the token streams of all its
+pages, marked ones too, are concatenated, a suffix array with common prefix lengths finds token runs of MIN_RUN and more that
+occur on MIN_PAGES distinct page bodies of the host, and what such runs cover goes, while unique runs stay, also within a block.
 
-The array alone can't give the right text (the README has figures): it removes an article that stands on two pages of a
+Hosts whose pages leave nothing open need no array: it could change no text of theirs. The array alone can't give the right text
+(the README has figures): it removes an article that stands on two pages of a
 host and keeps a footer that stands on one. So it never overrules a mark.
 
 Marks are tags, roles, whole class names, whole ids of containers and known compounds (share-buttons); parts of names are
@@ -46,6 +47,7 @@ from litsieve.llm.common import read, write_table
 MIN_RUN = 8
 MIN_PAGES = 2
 TOKENS_PER_SHARD = 500_000
+OPEN, STAYS, GOES = range(3)  # what marks say of a block
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -331,7 +333,7 @@ def _without(block: str, covered: np.ndarray, min_run: int) -> str:
 
 
 def _uncovered(min_run: int):
-    """The text of every distinct body: certain blocks whole, the unique runs of the others."""
+    """The text of every distinct body: the unique runs of its blocks, checked against marks: what they keep is whole, what they drop goes."""
 
     def run(bodies: pa.Table, repeated: pa.Table) -> pa.Table:
         known = np.sort(repeated.column("fingerprint").to_numpy()) if len(repeated) else np.zeros(0, np.int64)
@@ -348,9 +350,10 @@ def _uncovered(min_run: int):
                 np.add.at(hit, at[found] + min_run, -1)
             cover = np.cumsum(hit)[:n] > 0
             kept, begin = [], 0
-            for block, stays in zip(body, sure, strict=True):
+            for block, state in zip(body, sure, strict=True):
                 end = begin + len(block.split())
-                kept.append(block if stays else _without(block, cover[begin:end], min_run))
+                if state != GOES:
+                    kept.append(block if state == STAYS else _without(block, cover[begin:end], min_run))
                 begin = end
             texts.append("\n".join(k for k in kept if k))
         return pa.table({"host": bodies.column("host"), "digest": bodies.column("digest"), "text": pa.array(texts, pa.string())})
@@ -366,23 +369,21 @@ def host_of(url: str | None) -> str:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's text where marks decide it, else its host, its blocks and the digest of them."""
+    """Each page's host, all its visible blocks with what marks say of them, and the digest of both; the text of pages without a host."""
     for batch in batches:
         texts, hosts, open_blocks, certain, digests = [], [], [], [], []
         for url, page in zip(batch.column(1), batch.column(2), strict=True):
             found = blocks(page.as_py() or "")
-            if any(main for _, main in found):  # then only doubtful blocks of the article are open
-                found = [(text, main) for text, main in found if main is not False]
-            decided = all(main for _, main in found)
-            host = "" if decided else host_of(url.as_py())
-            sure = [bool(main) for _, main in found]
-            texts.append("\n".join(text for text, _ in found) if not host else None)
+            marked = any(main for _, main in found)  # then blocks outside the article go, and only doubtful ones within are open
+            host = host_of(url.as_py()) if found else ""
+            states = [(OPEN if main is None or not marked else GOES) if not main else STAYS for _, main in found]
+            texts.append("\n".join(text for (text, _), state in zip(found, states, strict=True) if state != GOES) if not host else None)
             hosts.append(host or None)
             open_blocks.append([text for text, _ in found] if host else None)
-            certain.append(sure if host else None)
-            digests.append(hashlib.sha256(repr(found).encode("utf-8", "surrogatepass")).digest() if host else None)
+            certain.append(states if host else None)
+            digests.append(hashlib.sha256(repr((found, states)).encode("utf-8", "surrogatepass")).digest() if host else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(open_blocks, pa.list_(pa.string())), pa.array(certain, pa.list_(pa.bool_())), pa.array(digests, pa.binary())],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(open_blocks, pa.list_(pa.string())), pa.array(certain, pa.list_(pa.int8())), pa.array(digests, pa.binary())],
             ["page_id", "url", "text", "host", "body", "certain", "digest"],
         )
 
@@ -390,9 +391,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = write_table(slim.mapInArrow(_parse, "page_id long, url string, text string, host string, body array<string>, certain array<boolean>, digest binary"), "pages")
-    sure = parsed.where("text is not null").select("page_id", "url", "text")
-    bodies = parsed.where("text is null").groupBy("host", "digest").agg(F.first("body").alias("body"), F.first("certain").alias("certain"))
+    parsed = write_table(slim.mapInArrow(_parse, "page_id long, url string, text string, host string, body array<string>, certain array<tinyint>, digest binary"), "pages")
+    # of a host on whose pages marks leave nothing open, the array could change no text; else all of its pages go there
+    asking = write_table(parsed.where(F.exists("certain", lambda s: s == OPEN)).select("host").distinct(), "open-hosts")
+    by_marks = F.transform(F.filter(F.arrays_zip("body", "certain"), lambda b: b["certain"] == STAYS), lambda b: b["body"])
+    sure = parsed.where("text is not null").select("page_id", "url", "text").unionByName(parsed.where("text is null").join(asking, "host", "left_anti").select("page_id", "url", F.array_join(by_marks, "\n").alias("text")))
+    left = parsed.where("text is null").join(asking, "host", "left_semi")
+    bodies = left.groupBy("host", "digest").agg(F.first("body").alias("body"), F.first("certain").alias("certain"))
     bodies = write_table(bodies.withColumn("tokens", F.aggregate("body", F.lit(0), lambda n, b: n + F.size(F.split(b, " ")))), "bodies")
     sizes = bodies.groupBy("host").agg(F.ceil(F.sum("tokens") / tokens_per_shard).alias("shards"))
     # dealt by host and shard anew: the join's partitioning by host would do for Spark, but not for a large host
@@ -402,7 +407,7 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     repeated = found.groupBy("host", "fingerprint").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
     back = found.join(repeated.select("host", "fingerprint"), ["host", "fingerprint"], "left_semi").select("host", "shard", "fingerprint").repartition("host", "shard")
     texts = dealt.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInArrow(_uncovered(min_run), "host string, digest binary, text string")
-    rest = parsed.where("text is null").select("page_id", "url", "host", "digest").join(texts, ["host", "digest"]).select("page_id", "url", "text")
+    rest = left.select("page_id", "url", "host", "digest").join(texts, ["host", "digest"]).select("page_id", "url", "text")
     return sure.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

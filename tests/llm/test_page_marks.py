@@ -92,3 +92,12 @@ def test_query_where_the_array_decides_some_blocks(spark, tmp_path):
     for k in range(6):
         assert got[k] == f"sure {k}\n{own(k)}" and got[10 + k] == own(10 + k)  # the host repeats the rest
         assert got[20 + k] == f"{same}\n{own(20 + k)}" and got[30 + k] == same  # another host each; marks are never overruled
+
+
+def test_marked_pages_tell_what_a_host_repeats(spark):
+    """The one page of a host without marks: what its marked pages carry outside their articles goes, what is its own stays."""
+    same, own = " ".join(f"same{k}" for k in range(12)), " ".join(f"own{k}" for k in range(12))
+    rows = [(k, "https://h.example/a", f"<div>{same}</div><article><p>text {k} of its own</p></article>") for k in range(3)]
+    rows += [(9, "https://h.example/b", f"<div>{same}</div><div>{own}</div>"), (10, None, f"<div>{same}</div><main>m</main>")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"text {k} of its own" for k in range(3)}, 9: own, 10: "m"}
