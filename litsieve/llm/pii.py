@@ -9,13 +9,16 @@ separators, Luhn) and context (characters and cue words around it); a score cali
 kind, what is added. Added spans overlap neither each other nor a base span; of overlapping ones the higher score wins, then
 the earlier, then the longer.
 
-No table says what is personal data, so the trees learn from the base rules: in sampled documents the candidates that are a base
+No table says what is personal data, so the trees learn from the base rules: in every document the candidates that are a base
 span are positive, those that cut or overrun one and all others negative; every base span is also rewritten the way people
 disguise such data (`disguised`), in its place, and found again by the generators. The threshold of a kind is the least score that
 at most `FALSE_RATE` of the held-back candidates away from base spans reach; with too few examples of a kind nothing is added to it.
 
-The model is fitted on the documents of at most `sample_rows` ids (those of least hash) and at most `cell_rows` candidates for each
-kind and label; it is some kB and broadcast.
+The model is fitted on all candidates of all documents, copies with the same text around them once; a fifth, by that text, is held
+back for calibration and threshold. Examples whose features are alike are one row with their number. Each level of a tree is one
+pass over these rows that adds up gradients by kind, node, feature and bin, so `TREES` x `DEPTH` passes in all; only such sums,
+of a fixed number, come to the driver. They are whole numbers, so that neither order nor partitions change the model, which is
+some kB and broadcast.
 
 Defined results: null counts as empty and has no spans; positions are code points; ids may be null or repeat, each row comes
 back; no documents give no rows; a long text is one row of work in one task, linear in its length; other columns are ignored,
@@ -24,24 +27,30 @@ whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.common import drop_table, read, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS, CELL_ROWS = 20_000, 4_000
 TREES, DEPTH, RATE, SMOOTH, BINS = 50, 4, 0.25, 1.0, 32
 FALSE_RATE, LEAST_SCORE, LEAST_EXAMPLES = 0.001, 0.5, 20
+HELD = 5  # one in so many examples is held back
+STEPS, MOST_LOGIT = 256, 100  # held-back logits are counted in steps of 1 / STEPS, up to MOST_LOGIT
+UNIT = 2.0**26  # what gradients are whole multiples of when they are added up
 SCORED_ROWS = 4_096  # candidates scored at a time
+TASK_ROWS = 50_000  # examples that differ, for each task of a pass of fitting
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -180,7 +189,7 @@ def _char_class(c: str) -> int:
 
 
 def describe(text: str, span: Span) -> list[float]:
-    """Format and context of a candidate."""
+    """Format and context of a candidate; of each feature there are some hundred values at most, as candidates are short."""
     kind, a, b = span
     s, before, after = text[a:b], text[max(0, a - _CONTEXT) : a], text[b : b + 3]
     groups = _GROUP.findall(s)
@@ -195,7 +204,7 @@ def describe(text: str, span: Span) -> list[float]:
         len(s), len(digits), letters, s.count(" "), s.count("."), s.count("-"), s.count("(") + s.count(")"), s.count("[") + s.count("]"), s.count("/"),
         len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], len(set(digits)), len(set(gaps)),
         s[:1] == "+" or before[-1:] == "+", digits[:1] == "0", "@" in s or "＠" in s, " at " in lowered or "at)" in lowered or "at]" in lowered, " dot " in lowered or "dot)" in lowered or "dot]" in lowered,
-        len(labels[-1]), labels[-1].isalpha(), kind in (2, 3) and luhn(digits), kind == 1 and all(map(_small_part, groups)), sum(map(str.isupper, s)) / max(1, letters),
+        len(labels[-1]), labels[-1].isalpha(), kind in (2, 3) and luhn(digits), kind == 1 and all(map(_small_part, groups)), round(sum(map(str.isupper, s)) / max(1, letters), 2),
         _char_class(before[-1:]), _char_class(after[:1]), before[-1:] in ("=", '"', "'", "#", "$", "€"),
         after[:1] in pairs and after[1:2].isdigit() or after[:1].isdigit(), before[-1:] in pairs and before[-2:-1].isdigit() or before[-1:].isdigit(),
         *(bool(cue.search(before)) for cue in _CUES),
@@ -215,47 +224,92 @@ class BoostedTrees:
     cuts: np.ndarray
     values: np.ndarray  # trees x leaves
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.prior)
-        rows, inner = np.arange(len(x)), self.features.shape[1]
-        for f, c, v in zip(self.features, self.cuts, self.values, strict=True):
-            node = np.zeros(len(x), np.int64)
-            while inner and len(node) and node[0] < inner:
-                node = 2 * node + 1 + (x[rows, f[node]] > c[node])
-            out += v[node - inner]
+    def nodes(self, t: int, x: np.ndarray, levels: int) -> np.ndarray:
+        """Where rows are in tree t after so many levels, counted from 0 within the last one."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(levels):
+            node = 2 * node + 1 + (x[rows, self.features[t, node]] > self.cuts[t, node])
+        return node - (2**levels - 1)
+
+    def logits(self, x: np.ndarray, trees: int | None = None) -> np.ndarray:
+        """By the first `trees` trees, or all."""
+        out, depth = np.full(len(x), self.prior), self.values.shape[1].bit_length() - 1
+        for t in range(len(self.features) if trees is None else trees):
+            out += self.values[t, self.nodes(t, x, depth)]
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, weights: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> BoostedTrees:
-    """Second-order boosting of the logistic loss over binned features."""
-    edges = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for column in x.T]
-    codes = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T, strict=True)], axis=1)  # code > k where x > edges[k]
-    n, features, inner = len(x), x.shape[1], 2**depth - 1
-    flat = codes + np.arange(features) * BINS
-    share = np.clip((weights * y).sum() / weights.sum(), 1e-6, 1 - 1e-6)
-    model = BoostedTrees(float(np.log(share / (1 - share))), np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
-    logits = np.full(n, model.prior)
+def unfitted(negative: float, positive: float, trees: int = TREES, depth: int = DEPTH) -> BoostedTrees:
+    """Trees without splits, and the prior of so many examples."""
+    share, inner = np.clip(positive / (negative + positive), 1e-6, 1 - 1e-6), 2**depth - 1
+    return BoostedTrees(float(np.log(share / (1 - share))), np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
+
+
+def cut_points(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where a feature is cut into bins, from its values in order and their counts by label (values x 2): between all values if
+    they are few, else at quantiles to which each label contributes the same."""
+    if len(values) <= BINS:
+        return values[:-1]
+    mass = (counts / np.maximum(counts.sum(axis=0), 1)).sum(axis=1).cumsum()
+    return np.unique(values[np.searchsorted(mass, np.linspace(0, mass[-1], BINS + 1)[1:-1])])
+
+
+def coded(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bins of all features: code > k where x > edges[k]."""
+    return np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
+
+
+def gradient_sums(model: BoostedTrees, t: int, level: int, codes: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gradients and curvatures of the logistic loss, in units, by node of a level of tree t, feature and code."""
+    p = 1 / (1 + np.exp(-model.logits(codes, t)))
+    cells = codes.shape[1] * BINS
+    place = (model.nodes(t, codes, level)[:, None] * cells + np.arange(0, cells, BINS) + codes).ravel()
+    sums = (weights * np.rint(s * UNIT) for s in (p - y, p * (1 - p)))
+    return np.stack([np.rint(np.bincount(place, np.repeat(s, codes.shape[1]), 2**level * cells)) for s in sums]).astype(np.int64)
+
+
+def split_level(model: BoostedTrees, t: int, level: int, sums: np.ndarray, edges: list[np.ndarray]) -> None:
+    """Give the nodes of a level their best cuts, as codes, and after the last level the leaves their values."""
+    first, width = 2**level - 1, 2**level
+    g, h = sums.reshape(2, width, len(edges), BINS).cumsum(axis=3) / UNIT
+    whole_g, whole_h = g[:, :, -1:], h[:, :, -1:]
+    gain = g**2 / (h + SMOOTH) + (whole_g - g) ** 2 / (whole_h - h + SMOOTH) - whole_g**2 / (whole_h + SMOOTH)
+    best = gain.reshape(width, -1).argmax(axis=1)
+    for k in range(width):
+        f, code = divmod(int(best[k]), BINS)
+        if gain[k, f, code] > 1e-9 and code < len(edges[f]):
+            model.features[t, first + k], model.cuts[t, first + k] = f, code
+        else:
+            f, code = 0, BINS - 1  # all go left
+        if 2 * width == model.values.shape[1]:
+            left_g, left_h = g[k, f, code], h[k, f, code]
+            model.values[t, 2 * k] = -RATE * left_g / (left_h + SMOOTH)
+            model.values[t, 2 * k + 1] = -RATE * (whole_g[k, f, 0] - left_g) / (whole_h[k, f, 0] - left_h + SMOOTH)
+
+
+def boost(models: dict[int, BoostedTrees], edges: dict[int, list[np.ndarray]], sums: Callable[[int, int], dict[int, np.ndarray]], trees: int = TREES, depth: int = DEPTH) -> dict[int, BoostedTrees]:
+    """Second-order boosting of some models side by side; sums(t, level) are the gradients of all examples, by model."""
     for t in range(trees):
-        p = 1 / (1 + np.exp(-logits))
-        sums = np.stack([weights * (p - y), weights * p * (1 - p)])
-        node = np.zeros(n, np.int64)
         for level in range(depth):
-            first, width = 2**level - 1, 2**level
-            place = ((node - first)[:, None] * (features * BINS) + flat).ravel()
-            g, h = (np.bincount(place, np.repeat(s, features), width * features * BINS).reshape(width, features, BINS).cumsum(axis=2) for s in sums)
-            whole_g, whole_h = g[:, :, -1:], h[:, :, -1:]
-            gain = g**2 / (h + SMOOTH) + (whole_g - g) ** 2 / (whole_h - h + SMOOTH) - whole_g**2 / (whole_h + SMOOTH)
-            best = gain.reshape(width, -1).argmax(axis=1)
-            for k in range(width):
-                f, code = divmod(int(best[k]), BINS)
-                if gain[k, f, code] > 1e-9 and code < len(edges[f]):
-                    model.features[t, first + k], model.cuts[t, first + k] = f, edges[f][code]
-            node = 2 * node + 1 + (x[np.arange(n), model.features[t, node]] > model.cuts[t, node])
-        leaf = node - inner
-        g, h = (np.bincount(leaf, s, inner + 1) for s in sums)
-        model.values[t] = -RATE * g / (h + SMOOTH)
-        logits += model.values[t, leaf]
-    return model
+            for k, found in sums(t, level).items():
+                split_level(models[k], t, level, found, edges[k])
+    out = {}
+    for k, m in models.items():
+        cuts = m.cuts.copy()
+        for at in np.argwhere(np.isfinite(cuts)):
+            cuts[tuple(at)] = edges[k][m.features[tuple(at)]][int(cuts[tuple(at)])]
+        out[k] = BoostedTrees(m.prior, m.features, cuts, m.values)
+    return out
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, weights: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> BoostedTrees:
+    """The same boosting of examples in memory."""
+    edges = []
+    for column in x.T:
+        values, place = np.unique(column, return_inverse=True)
+        edges.append(cut_points(values, np.stack([np.bincount(place, weights * (y == k), len(values)) for k in (0, 1)], axis=1)))
+    codes, model = coded(x, edges), unfitted((weights * (1 - y)).sum(), (weights * y).sum(), trees, depth)
+    return boost({0: model}, {0: edges}, lambda t, level: {0: gradient_sums(model, t, level, codes, y, weights)}, trees, depth)[0]
 
 
 def _platt(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -345,7 +399,8 @@ def disguised(kind: int, span: str, variant: int) -> str:
 
 def _seen(text: str, span: Span) -> int:
     """A number for a candidate with the text around it: examples from copies of a text share it."""
-    return zlib.crc32(text[max(0, span[1] - _CONTEXT) : span[2] + 3].encode("utf-8", "replace"))
+    around = text[max(0, span[1] - _CONTEXT) : span[2] + 3].encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True)
 
 
 def examples(text: str) -> Iterator[tuple[int, int, bool, int, list[float]]]:
@@ -366,53 +421,126 @@ def examples(text: str) -> Iterator[tuple[int, int, bool, int, list[float]]]:
 
 
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text in batch.column(0):
-            found = list(examples(text.as_py() or ""))
-            for k in range(0, len(found), SCORED_ROWS):
-                some = found[k : k + SCORED_ROWS]
-                columns = [pa.array([e[0] for e in some], pa.int32()), pa.array([e[1] for e in some], pa.int32()), pa.array([e[2] for e in some]), pa.array([e[3] for e in some], pa.int64()), pa.array([e[4] for e in some], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "y", "away", "seen", "x"])
-
-
-def fit_kind(x: np.ndarray, y: np.ndarray, away: np.ndarray, weights: np.ndarray) -> tuple[BoostedTrees, tuple[float, float], float] | None:
-    """Trees, calibration and threshold of a kind; None with too few examples. Every fifth row is held back."""
-    held = np.arange(len(y)) % 5 == 4
-    if min(y.sum(), len(y) - y.sum()) < LEAST_EXAMPLES:
-        return None
-    trees = fit_trees(x[~held], y[~held], weights[~held])
-    logits = trees.logits(x[held])
-    slope, shift = _platt(logits, y[held], weights[held])
-    p = 1 / (1 + np.exp(-np.clip(slope * logits + shift, -30, 30)))
-    wrong = (y[held] == 0) & away[held]
-    order = np.argsort(-p[wrong])
-    passing = np.cumsum(weights[held][wrong][order])
-    limit = p[wrong][order][(passing > FALSE_RATE * passing[-1]).argmax()] if len(order) else 0.0  # the first score at which too many pass
-    return trees, (slope, shift), float(max(LEAST_SCORE, np.nextafter(limit, 1.0)))
-
-
-def fit_pii_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> PiiModel:
-    """Fit on the documents of at most sample_rows ids, and cell_rows candidates for each kind and label."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = slim.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    found = slim.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_example_rows, "kind int, y int, away boolean, seen long, x array<double>")
-    kept = write_table(found.distinct().withColumn("key", F.xxhash64("seen", "kind", "y", "x", "away")), "pii-examples")  # one of all copies
-    totals = {(r.kind, r.y): r["count"] for r in kept.groupBy("kind", "y").count().collect()}
-    rows = []
-    for kind, y in sorted(totals):
-        cell = kept.where((F.col("kind") == kind) & (F.col("y") == y))
-        rows += cell.orderBy("key").limit(cell_rows).select("kind", "key", "y", "away", "x").collect()
-    rows.sort()
-    drop_table(kept)
-    model = PiiModel()
-    for kind in range(len(KINDS)):
+    types = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64())]
+    for some in batched((e for batch in batches for text in batch.column(0) for e in examples(text.as_py() or "")), SCORED_ROWS):
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*some, strict=True), types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "y", "away", "seen", "x"])
+
+
+def _numbers_of(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in names]
+
+
+def _codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("codes")).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _with_codes(edges: dict[int, list[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """kind, y, away, held, x, n with codes in place of x; kinds without edges go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (kinds,) = _numbers_of(batch, "kind")
+            for kind in edges:
+                part = batch.filter(pa.array(kinds == kind))
+                if part.num_rows:
+                    x = part.column(4).flatten().to_numpy().reshape(part.num_rows, -1)
+                    codes = pa.array([row.tobytes() for row in coded(x, edges[kind])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], codes, part.column(5)], ["kind", "y", "away", "held", "codes", "n"])
+
+    return run
+
+
+def _blocks(rows: Iterator[Row]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """kind, codes, y, n of many rows of a kind."""
+    for some in batched(rows, SCORED_ROWS):
+        for kind in sorted({r.kind for r in some}):
+            own = [r for r in some if r.kind == kind]
+            codes = np.frombuffer(b"".join(r.codes for r in own), np.uint8).reshape(len(own), -1)
+            yield kind, codes, np.array([r.y for r in own]), np.array([r.n for r in own])
+
+
+def _summed(models: dict[int, BoostedTrees], t: int, level: int) -> Callable[[Iterator[tuple]], Iterator[dict[int, np.ndarray]]]:
+    """The gradient sums of a task's blocks, by kind."""
+
+    def run(blocks: Iterator[tuple]) -> Iterator[dict[int, np.ndarray]]:
+        sums: dict[int, np.ndarray] = {}
+        for kind, codes, y, n in blocks:
+            sums[kind] = sums.get(kind, 0) + gradient_sums(models[kind], t, level, codes, y, n)
+        yield sums
+
+    return run
+
+
+def _both(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return {kind: a.get(kind, 0) + b.get(kind, 0) for kind in a | b}
+
+
+def _stepped(models: dict[int, BoostedTrees]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with their logits in steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (kinds,), codes = _numbers_of(batch, "kind"), _codes_of(batch)
+            step = np.zeros(len(kinds), np.int32)
+            for kind in np.unique(kinds).tolist():
+                step[kinds == kind] = np.floor(np.clip(models[kind].logits(codes[kinds == kind]), -MOST_LOGIT, MOST_LOGIT) * STEPS)
+            columns = [batch.column(batch.schema.get_field_index(name)) for name in ("kind", "y", "away", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(step)], ["kind", "y", "away", "n", "step"])
+
+    return run
+
+
+def calibrated(step: np.ndarray, y: np.ndarray, away: np.ndarray, n: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Calibration and threshold from the numbers of held-back examples by step of their logits."""
+    slope, shift = _platt((step + 0.5) / STEPS, y, n)
+    order = np.argsort(-step, kind="stable")
+    wrong = np.where((y == 0) & away, n, 0)[order]
+    if not wrong.sum():
+        return (slope, shift), LEAST_SCORE
+    # the first step at which too many pass: only what lies above it is let through
+    limit = (step[order][(wrong.cumsum() > FALSE_RATE * wrong.sum()).argmax()] + 1) / STEPS
+    score = 1 / (1 + np.exp(-np.clip(slope * limit + shift, -30, 30)))
+    return (slope, shift), float(max(LEAST_SCORE, np.nextafter(score, 1.0)))
+
+
+def fit_pii_model(docs: DataFrame, text_col: str = "text") -> PiiModel:
+    """Fit on all candidates of all documents."""
+    found = docs.select(F.col(text_col)).mapInArrow(_example_rows, "kind int, y int, away boolean, seen long, x array<double>").distinct()  # one of all copies
+    held = F.pmod(F.col("seen"), F.lit(HELD)) == HELD - 1
+    alike = write_table(found.groupBy("kind", "y", (held & F.col("away")).alias("away"), held.alias("held"), "x").agg(F.count("*").alias("n")), "pii-examples")
+    totals = {kind: [0, 0] for kind in range(len(KINDS))}
+    fitted_on = {kind: [0, 0] for kind in range(len(KINDS))}
+    for r in alike.groupBy("kind", "y").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n")).otherwise(0)).alias("fit")).collect():
+        totals[r.kind][r.y], fitted_on[r.kind][r.y] = r.n, r.fit
+    models = {kind: unfitted(*fitted_on[kind]) for kind, both in totals.items() if min(both) >= LEAST_EXAMPLES and sum(fitted_on[kind])}
+    if not models:
+        drop_table(alike)
+        return PiiModel()
+
+    # bins of the features: their values are few whatever the documents, so their counts come to the driver
+    values = alike.where(~F.col("held")).select("kind", "y", "n", F.posexplode("x").alias("feature", "value"))
+    counts: dict[tuple[int, int], dict[float, list[int]]] = {}
+    for r in values.groupBy("kind", "feature", "value").agg(*(F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))).collect():
+        counts.setdefault((r.kind, r.feature), {})[r.value] = [r.n0, r.n1]
+    edges = {kind: [cut_points(np.array(sorted(c)), np.array([c[v] for v in sorted(c)])) for _, c in sorted((f, c) for (k, f), c in counts.items() if k == kind)] for kind in models}
+    same = alike.mapInArrow(_with_codes(edges), "kind int, y int, away boolean, held boolean, codes binary, n long")
+    binned = write_table(same.groupBy("kind", "y", "away", "held", "codes").agg(F.sum("n").alias("n")), "pii-bins")
+    drop_table(alike)
+
+    # many passes over few rows: as many tasks as the rows need, however many files they came in
+    tasks = 1 + binned.count() // TASK_ROWS
+    blocks = binned.where(~F.col("held")).select("kind", "y", "codes", "n").coalesce(tasks).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    on_values = boost(models, edges, lambda t, level: blocks.mapPartitions(_summed(models, t, level)).treeReduce(_both))
+    blocks.unpersist()
+    steps = binned.where("held").mapInArrow(_stepped(models), "kind int, y int, away boolean, n long, step int")
+    rows = sorted(steps.groupBy("kind", "y", "away", "step").agg(F.sum("n").alias("n")).collect())
+    drop_table(binned)
+    out = PiiModel()
+    for kind, trees in on_values.items():
         own = [r for r in rows if r.kind == kind]
-        if own:
-            y = np.array([r.y for r in own], np.float64)
-            weights = np.array([totals[kind, r.y] for r in own]) / np.array([min(cell_rows, totals[kind, r.y]) for r in own])
-            if (fitted := fit_kind(np.array([r.x for r in own]), y, np.array([r.away for r in own]), weights)) is not None:
-                model.kinds[kind] = fitted
-    return model
+        out.kinds[kind] = (trees, *calibrated(*(np.array([r[name] for r in own]) for name in ("step", "y", "away", "n"))))
+    return out
 
 
 # -- search ----------------------------------------------------------------------------------------------------------------

@@ -126,6 +126,49 @@ def test_model_finds_disguised_spans_and_leaves_other_numbers(spark):
         assert all(b <= c for (_, b), (c, _) in zip(own, own[1:], strict=False))
 
 
+def test_every_document_is_learned_from(spark):
+    # what is to be learned stands only in the rows that a sample of 20,000 ids by hash would leave out, and in rows without an id
+    rows = spark.range(20_400).orderBy(F.xxhash64("id"), "id").select("id").collect()
+    r, late = random.Random(8), {row.id for row in rows[20_000:]}
+    told = [(None if k % 9 == 0 else k, f"{prose(r, 4)} call +1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)} {prose(r, 3)} sum {r.randint(10**7, 10**8)} {prose(r, 2)}") for k in sorted(late)]
+    docs = cases.docs(spark, [(row.id, "nothing here", None, None) for row in rows[:20_000]] + [(k, t, None, None) for k, t in told])
+    model = M.fit_pii_model(docs)
+    assert sorted(model.kinds) == [3]
+
+    # the prior is that of all examples, and trees, calibration and threshold are those of all of them in memory, in any partitions
+    found = {(e[1], e[2], e[3], tuple(e[4])) for _, t in told for e in M.examples(t) if e[0] == 3}
+    y, away, seen = (np.array([e[k] for e in found]) for k in range(3))
+    x, kept = np.array([e[3] for e in found]), seen % M.HELD != M.HELD - 1
+    assert kept.sum() > 1000
+    want = M.fit_trees(x[kept], y[kept], np.ones(kept.sum()))
+    for got, calibration, threshold in (model.kinds[3], M.fit_pii_model(docs.repartition(3)).kinds[3]):
+        assert got.prior == want.prior == pytest.approx(np.log(y[kept].mean() / (1 - y[kept].mean())))
+        assert all(np.array_equal(getattr(got, name), getattr(want, name)) for name in ("features", "cuts", "values"))
+        slope, shift = calibration
+        p = 1 / (1 + np.exp(-np.clip(slope * want.logits(x[~kept]) + shift, -30, 30)))
+        wrong = (y[~kept] == 0) & away[~kept]
+        assert wrong.sum() > 50 and (p[wrong] >= threshold).sum() <= M.FALSE_RATE * wrong.sum()
+
+
+def test_cells_are_not_capped(spark):
+    r = random.Random(9)
+    docs = cases.docs(spark, [(k, " / ".join(f"{prose(r, 3)} a{k}x{j}@mail.example.com" for j in range(60)), None, None) for k in range(100)])
+    prior = M.fit_pii_model(docs).kinds[0][0].prior
+    found = {(e[1], e[2], e[3], tuple(e[4])) for d in docs.collect() for e in M.examples(d.text) if e[0] == 0}
+    y = np.array([e[0] for e in found if e[2] % M.HELD != M.HELD - 1])
+    assert min(y.sum(), len(y) - y.sum()) > 4000
+    assert prior == pytest.approx(np.log(y.sum() / (len(y) - y.sum())))
+
+
+def test_threshold():
+    step, y = np.array([9, 5, 5, 2, -3]), np.array([1, 1, 0, 0, 0])
+    n = np.array([50, 20, 3, 2000, 500])
+    (slope, shift), threshold = M.calibrated(step * M.STEPS, y, np.ones(5, bool), n)
+    score = 1 / (1 + np.exp(-slope * (5 + 1 / M.STEPS) - shift))  # three of 2,503 would be too many, two of 2,502 not
+    assert threshold == pytest.approx(max(M.LEAST_SCORE, score)) and threshold > score
+    assert M.calibrated(step * M.STEPS, y, np.zeros(5, bool), n)[1] == M.LEAST_SCORE
+
+
 def test_no_examples_no_model(spark):
     assert M.fit_pii_model(cases.empty(spark)).kinds == {}
     assert M.find_pii(cases.empty(spark), M.PiiModel()).count() == 0
